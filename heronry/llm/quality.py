@@ -42,6 +42,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def settled(condition: Column) -> Column:
+    """`condition`, computed where it stands: a filter on it isn't moved below the columns it is made of, which would compute them anew for each use."""
+    return condition & (F.spark_partition_id() >= 0)
+
+
 def without(text: Column, characters: str) -> Column:
     for c in characters:
         text = F.replace(text, F.lit(c), F.lit(""))
@@ -118,7 +123,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "q_cleaned": F.when((F.size("q_good") == F.size("q_full")), F.col("q_text")).otherwise(F.array_join("q_good", "\n")),
     })
     kept = ~F.col("q_base_failed") & (F.col("q_good_chars") >= (1 - MAX_LINE_LOSS) * F.col("q_all_chars"))
-    return staged.withColumn("q_kept", kept).drop("q_text", "q_words", "q_lines", "q_full", "q_unique", "q_good")
+    return staged.withColumn("q_kept", settled(kept)).drop("q_text", "q_words", "q_lines", "q_full", "q_unique", "q_good")
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
