@@ -61,10 +61,10 @@ def powers(base: int, length: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def hash_words(raw: np.ndarray, offsets: np.ndarray):
-    """(64-bit hash of each word, index of its text) for the UTF-8 bytes of consecutive texts."""
+def hash_words(raw: np.ndarray, offsets: np.ndarray, places: bool = False):
+    """(64-bit hash of each word, index of its text[, its first byte]) for the UTF-8 bytes of consecutive texts."""
     if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))[: 2 + places]
     low = LOWER[raw]
     word = WORD_BYTE[low]
     first = np.zeros(len(raw) + 1, bool)
@@ -82,7 +82,7 @@ def hash_words(raw: np.ndarray, offsets: np.ndarray):
     h ^= (ends - starts).astype(np.uint64) * WEIGHT[1]
     h ^= h >> np.uint64(32)
     h *= WEIGHT[2]
-    return h ^ (h >> np.uint64(29)), np.searchsorted(offsets, starts, side="right") - 1
+    return (h ^ (h >> np.uint64(29)), np.searchsorted(offsets, starts, side="right") - 1, starts)[: 2 + places]
 
 
 class Queries:
