@@ -40,6 +40,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def as_row(df: DataFrame, **columns: str) -> DataFrame:
+    """The whole rows of `df` in the struct `row`, beside the named columns, so that no name in `df` meets one of ours."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *(F.col(f"`{c}`").alias(name) for name, c in columns.items()))
+
+
 def with_columns(schema: T.StructType, added: list[T.StructField]) -> T.StructType:
     """`schema` with columns of our own; they replace columns of the same name."""
     names = {f.name.lower() for f in added}

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heronry.llm.common import ASCII_LOWER, add_arrays, pack_bounds, text_buffers, text_bytes, with_columns
+from heronry.llm.common import ASCII_LOWER, add_arrays, as_row, pack_bounds, text_buffers, text_bytes, with_columns
 
 SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 16 << 20
@@ -286,9 +286,9 @@ def contaminated(n_hit: Column, n_words: Column) -> Column:
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
-def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest match and its place."""
-    found = annotate(docs, benchmark, **options)
+    found = annotate(docs.select(F.col(id_col).alias("doc_id"), F.col(options.pop("text_col", "text")).alias("text")), benchmark, **options)
     longest = F.array_max(F.transform("dc_matches", lambda m: F.struct(m["n_words"].alias("n"), (-m["doc_word"]).alias("at"), m["item_id"].alias("item"))))
     n_hit = hit_words(F.col("dc_runs"))
     return found.select(
@@ -306,5 +306,5 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that aren't contaminated, with their own columns."""
-    found = annotate(docs, benchmark, **options)
-    return found.filter(~contaminated(hit_words(F.col("dc_runs")), F.col("dc_n_words"))).select(*docs.columns)
+    found = annotate(as_row(docs, text=options.pop("text_col", "text")), benchmark, **options)
+    return found.filter(~contaminated(hit_words(F.col("dc_runs")), F.col("dc_n_words"))).select("row.*")

@@ -24,6 +24,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heronry.llm.common import as_row
+
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -129,12 +131,14 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: the base counts and the verdict."""
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "line_loss")
-    return measure(docs, text_col).select(F.col(id_col).alias("doc_id"), *(F.col(f"q_{n}").alias(n) for n in names))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return measure(rows).select("doc_id", *(F.col(f"q_{n}").alias(n) for n in names))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """The kept documents with their good lines; `length_col` follows the text where it exists."""
-    kept = measure(docs, text_col).filter("q_kept").withColumn(text_col, F.col("q_cleaned"))
+    kept = measure(as_row(docs, text=text_col)).filter("q_kept")
+    changed = {text_col: F.col("q_cleaned")}
     if length_col in docs.columns:
-        kept = kept.withColumn(length_col, F.char_length(text_col).cast(docs.schema[length_col].dataType))
-    return kept.select(*docs.columns)
+        changed[length_col] = F.char_length("q_cleaned").cast(docs.schema[length_col].dataType)
+    return kept.select(*(changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heronry.llm.common import ASCII_LOWER, cut
+from heronry.llm.common import ASCII_LOWER, as_row, cut
 
 #: Generator of the Golay code [23,12,7], and of the Hamming code [15,11,3], as bits of a polynomial.
 GOLAY, HAMMING = 0xAE3, 0x13
@@ -275,6 +275,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with one of each group, that with the smallest id; rows without an id stay."""
     found = near_duplicates(docs, id_col, text_col)
-    stay = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(stay, docs[id_col].cast("long") == stay["__keep"]).drop("__keep").dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    stay = found.filter("doc_id = component_id").select("doc_id").distinct()
+    rows = as_row(docs, id=id_col).withColumn("doc_id", F.col("id").cast("long"))
+    kept = rows.join(stay, "doc_id").dropDuplicates(["doc_id"])
+    return kept.select("row.*").unionByName(docs.filter(F.col(id_col).isNull()))

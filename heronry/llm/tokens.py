@@ -1,7 +1,8 @@
 """Token ids of texts with a byte-level BPE vocabulary.
 
 The vocabulary file in rank form gives the ids of the tokenizer file of the
-same name, several times as fast; the tests hold both against each other.
+same name, several times as fast; the tests hold both against each other. As with
+that file, the string of the special token in a text becomes its id.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ import numpy as np
 #: The pattern of the vocabulary (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: The special token and its id (fixed values).
+SPECIAL = {"<|endoftext|>": 50256}
+
 _ENCODERS: dict = {}
 
 
@@ -32,13 +36,14 @@ def encoder(path: str):
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        _ENCODERS[path] = tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _ENCODERS[path] = tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
     return _ENCODERS[path]
 
 
 def encode(path: str, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts in a row, number of ids of each); `end` is added to each text; null is empty."""
-    ids = [encoder(path).encode_ordinary(text or "") for text in texts]
+    own = encoder(path)
+    ids = [own.encode(x, allowed_special="all") if any(s in x for s in SPECIAL) else own.encode_ordinary(x) for x in (t or "" for t in texts)]
     if end is not None:
         for x in ids:
             x.append(end)
