@@ -7,8 +7,6 @@ that file, the string of the special token in a text becomes its id.
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 
 #: The pattern of the vocabulary (fixed value).
@@ -43,9 +41,12 @@ def encoder(path: str):
 def encode(path: str, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts in a row, number of ids of each); `end` is added to each text; null is empty."""
     own = encoder(path)
-    ids = [own.encode(x, allowed_special="all") if any(s in x for s in SPECIAL) else own.encode_ordinary(x) for x in (t or "" for t in texts)]
+    ids = [own.encode_to_numpy(t or "", allowed_special="all" if t and any(s in t for s in SPECIAL) else set(), disallowed_special=()) for t in texts]
+    size = np.fromiter(map(len, ids), np.int64, len(ids))
+    count = size + (end is not None)
+    flat = np.empty(int(count.sum()), np.uint16)
     if end is not None:
-        for x in ids:
-            x.append(end)
-    count = np.fromiter(map(len, ids), np.int64, len(ids))
-    return np.fromiter(chain.from_iterable(ids), np.uint16, int(count.sum())), count
+        flat[np.cumsum(count) - 1] = end
+    for x, at in zip(ids, (np.cumsum(count) - count).tolist()):
+        flat[at : at + len(x)] = x
+    return flat, count
