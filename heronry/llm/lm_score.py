@@ -8,14 +8,15 @@ unknown. At the bottom stands the word's share of all other words, or
 `alpha` over the number of all words plus one for a word that only this
 document has.
 
-The work is three relations. n-grams: documents are dealt over shards by
-hash, and each shard's different n-grams go out once, packed by hash bucket.
-Counts: each bucket adds up its n-grams over the shards. Scores: each shard
-gets back the counts of those of its n-grams that other shards have too
-(for the rest its own count is the whole count), joins them to the exploded
+The work is three relations. n-grams: documents are dealt by hash over shards
+of about SHARD_BYTES of text, and each shard's different n-grams go out once
+with their counts, packed by hash bucket. Counts: each bucket adds up its
+n-grams over the shards and answers each shard, n-gram by n-gram, how often
+the others have it. Scores: each shard joins the answers to the exploded
 n-grams of its documents, and sums per document. A frequent n-gram takes at
-most one entry a shard, so no bucket is hot, and an n-gram takes about nine
-bytes of shuffle. n-grams are compared by 64-bit hashes.
+most one entry a shard, so no bucket is hot. n-grams are compared by hashes
+that are SPARE_BITS longer than the number of all n-grams takes (64 bits at
+most), so about one lookup in 16 million meets a wrong n-gram.
 
 Words are op1's: digits, lower-cased A-Z letters and characters beyond ASCII.
 Defined cases: null or word-free text has no words, score 0 and a null mean;
@@ -26,16 +27,19 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heronry.llm.common import text_buffers
+from heronry.llm.common import pack_bounds, text_buffers
 from heronry.llm.decontaminate import hash_words
 
 ORDER = 3
 ALPHA = 0.4
+SHARD_BYTES = 12 << 20
+SPARE_BITS = 24
+#: Bytes of text that are hashed at once.
+STEP_BYTES = 1 << 20
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -54,22 +58,28 @@ def grams(words: np.ndarray, doc: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
-def of_texts(texts: pa.Array, order: int):
-    """(words' documents, n-gram hashes by order) of a column of texts."""
+def of_texts(texts: pa.Array, order: int, bits: int = 64):
+    """(words' documents, n-gram hashes of so many bits by order) of a column of texts; 0 stands for none."""
     offsets, raw = text_buffers(texts)
-    words, doc = hash_words(raw, offsets)
-    return doc, grams(words, doc, order)
-
-
-def pack_sorted(values: np.ndarray) -> bytes:
-    """Sorted 64-bit hashes as the bytes of their differences, plane by plane; empty high planes take nothing."""
-    d = np.diff(values, prepend=np.uint64(0))
-    planes = d.astype("<u8").view(np.uint8).reshape(-1, 8).T
+    bounds = pack_bounds(np.diff(offsets), STEP_BYTES)
+    docs, hashes = [np.zeros(0, np.int64)], [[np.zeros(0, np.uint64)] for _ in range(order)]
+    for a, b in zip(bounds, bounds[1:]):
+        part = offsets[a : b + 1]
+        words, doc = hash_words(raw[part[0] : part[-1]], part - part[0])
+        docs.append(doc + a)
+        for out, h in zip(hashes, grams(words, doc, order)):
+            out.append(np.where(h == 0, h, np.maximum(h >> np.uint64(64 - bits), np.uint64(1))))
+    return np.concatenate(docs), [np.concatenate(x) for x in hashes]
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane; planes of zeros take nothing."""
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8).T
     used = [k for k in range(8) if planes[k].any()]
     return bytes([sum(1 << k for k in used)]) + len(values).to_bytes(4, "little") + b"".join(planes[k].tobytes() for k in used)
 
 
-def unpack_sorted(blob: bytes) -> np.ndarray:
+def unpack(blob: bytes) -> np.ndarray:
     n = int.from_bytes(blob[1:5], "little")
     planes = np.zeros((n, 8), np.uint8)
     at = 5
@@ -77,50 +87,46 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
         if blob[0] >> k & 1:
             planes[:, k] = np.frombuffer(blob, np.uint8, n, at)
             at += n
-    return np.cumsum(planes.reshape(-1).view("<u8"), dtype=np.uint64)
+    return planes.reshape(-1).view("<u8")
 
 
-def pack_counts(n: np.ndarray) -> bytes:
-    """Counts in the fewest bytes that hold the largest."""
-    width = 1 if not len(n) or n.max() < 1 << 8 else 2 if n.max() < 1 << 16 else 8
-    return bytes([width]) + n.astype(f"<u{width}").tobytes()
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Sorted hashes as their differences."""
+    return pack(np.diff(values, prepend=np.uint64(0)))
 
 
-def unpack_counts(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, f"<u{blob[0]}", offset=1).astype(np.int64)
+def unpack_sorted(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpack(blob), dtype=np.uint64)
 
 
-def distinct_counts(hashes: np.ndarray):
-    found, n = np.unique(hashes[hashes != 0], return_counts=True)
-    return found, n
+def bucket_edges(values: np.ndarray, n_buckets: int, bits: int) -> list[int]:
+    """Where each bucket of the hash range starts and the last ends in sorted `values`."""
+    step = (1 << bits) // n_buckets + 1
+    inner = np.searchsorted(values, np.array([k * step for k in range(1, n_buckets)], np.uint64)).tolist() if n_buckets > 1 else []
+    return [0, *inner, len(values)]
 
 
-def bucket_edges(values: np.ndarray, n_buckets: int) -> np.ndarray:
-    """Where each bucket of the hash range starts in sorted `values`."""
-    step = (1 << 64) // n_buckets + 1
-    return np.searchsorted(values, np.array([k * step for k in range(1, n_buckets)], np.uint64)).astype(np.int64) if n_buckets > 1 else np.zeros(0, np.int64)
+def in_other_documents(doc: np.ndarray, h: np.ndarray, elsewhere: np.ndarray) -> np.ndarray:
+    """How often other documents have the n-gram that ends at each word; `elsewhere`: how often other shards have the different n-grams, in order."""
+    out = np.zeros(len(h), np.int64)
+    there = np.nonzero(h)[0]
+    if not len(there):
+        return out
+    _, at, n = np.unique(h[there], return_inverse=True, return_counts=True)
+    out[there] = elsewhere[at] + n[at] - 1
+    again = np.nonzero(n[at] > 1)[0]  # else its own occurrence is the only one of the shard
+    _, pair, own = np.unique(at[again] << 32 | doc[there[again]], return_inverse=True, return_counts=True)
+    out[there[again]] -= own[pair] - 1
+    return out
 
 
-def score_documents(doc: np.ndarray, hashes: list[np.ndarray], n_docs: int, known: list[tuple[np.ndarray, np.ndarray]], total: int, alpha: float):
-    """Per document: words, words scored at each order (0: unknown), sum of natural logs."""
+def score_documents(doc: np.ndarray, others: list[np.ndarray], n_docs: int, total: int, alpha: float):
+    """Per document: words, words scored at each order (0: unknown), sum of natural logs; `others` by order."""
     n_words = np.bincount(doc, minlength=n_docs)
-    others = []  # by order: count in other documents of the n-gram that ends at each word
-    for h, (values, counts) in zip(hashes, known):
-        key = np.stack([doc.astype(np.uint64), h], axis=1)
-        order = np.lexsort((key[:, 1], key[:, 0]))
-        new = np.ones(len(order), bool)
-        new[1:] = (np.diff(key[order, 0]) != 0) | (np.diff(key[order, 1]) != 0)
-        group = np.cumsum(new) - 1
-        own = np.empty(len(order), np.int64)
-        own[order] = np.bincount(group)[group] if len(order) else 0
-        at = np.minimum(np.searchsorted(values, h), max(0, len(values) - 1))
-        whole = counts[at] if len(values) else np.zeros(len(h), np.int64)
-        others.append(np.where(h != 0, whole - own, 0))
     size = total - n_words[doc]
     level = np.zeros(len(doc), np.int64)
-    log = np.full(len(doc), np.log(alpha) - np.log(total + 1.0)) if len(doc) else np.zeros(0)
-    top = len(hashes)
-    log += (top - 1) * np.log(alpha)
+    top = len(others)
+    log = np.full(len(doc), top * np.log(alpha) - np.log(total + 1.0))
     seen = others[0] > 0
     log[seen] = np.log(others[0][seen] / size[seen]) + (top - 1) * np.log(alpha)
     level[seen] = 1
@@ -130,64 +136,74 @@ def score_documents(doc: np.ndarray, hashes: list[np.ndarray], n_docs: int, know
         context[1:] = others[n - 2][:-1]
         log[seen] = np.log(others[n - 1][seen] / context[seen]) + (top - n) * np.log(alpha)
         level[seen] = n
-    sums = np.bincount(doc, weights=log, minlength=n_docs)
+    sums = np.bincount(doc, weights=log, minlength=n_docs).astype(np.float64)
     return n_words, [np.bincount(doc[level == n], minlength=n_docs) for n in range(top + 1)], sums
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, alpha: float = ALPHA, shards: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_words, n_unknown, n_1 .. n_order (words by the order they are scored at), log_score, mean_log_score."""
-    n = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    total, size = (int(x or 0) for x in rows.agg(F.sum(n_words(F.col("text"))), F.sum(F.octet_length("text"))).first())
+    n = shards or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    bits = min(64, SPARE_BITS + (order * total).bit_length())
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).repartition(n, "shard")
 
+    def table(out: list[tuple], schema: str) -> pa.Table:
+        names = [x.split()[0] for x in schema.split(", ")]
+        kinds = [pa.binary() if x.endswith("binary") else pa.int32() for x in schema.split(", ")]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * len(names), kinds)], names=names)
+
+    asked, answered = "bucket int, shard int, n int, grams binary, counts binary", "shard int, bucket int, n int, more binary"
+
     def count_shard(key, frame):
-        _, hashes = of_texts(pa.array(frame["text"], pa.large_string()), order)
+        _, hashes = of_texts(frame["text"].combine_chunks(), order, bits)
         out = []
         for k, h in enumerate(hashes, 1):
-            values, counts = distinct_counts(h)
-            edges = [0, *bucket_edges(values, n).tolist(), len(values)]
-            out += [(b, key[0], k, pack_sorted(values[s:e]), pack_counts(counts[s:e])) for b, (s, e) in enumerate(zip(edges, edges[1:])) if e > s]
-        return pd.DataFrame(out, columns=["bucket", "shard", "n", "grams", "counts"])
+            values, counts = np.unique(h[h != 0], return_counts=True)
+            edges = bucket_edges(values, n, bits)
+            out += [(b, key[0].as_py(), k, pack_sorted(values[s:e]), pack(counts[s:e])) for b, (s, e) in enumerate(zip(edges, edges[1:])) if e > s]
+        return table(out, asked)
 
     def add_up(key, frame):
         out = []
-        for k, part in frame.groupby("n"):
-            sent = [unpack_sorted(x) for x in part["grams"]]
-            counts = [unpack_counts(x) for x in part["counts"]]
+        orders, asking = frame["n"].to_numpy(), frame["shard"].to_numpy()
+        for k in np.unique(orders).tolist():
+            rows = np.nonzero(orders == k)[0].tolist()
+            sent = [unpack_sorted(frame["grams"][i].as_py()) for i in rows]
+            counts = [unpack(frame["counts"][i].as_py()).astype(np.int64) for i in rows]
             values, at = np.unique(np.concatenate(sent), return_inverse=True)
-            total = np.zeros(len(values), np.int64)
-            np.add.at(total, at, np.concatenate(counts))
-            ends = np.cumsum([len(x) for x in sent])
-            for shard, own, a, e in zip(part["shard"], counts, ends - [len(x) for x in sent], ends):
-                more = np.nonzero(total[at[a:e]] > own)[0]
-                if len(more):
-                    out.append((shard, key[0], k, pack_sorted(values[at[a:e][more]]), pack_counts(total[at[a:e][more]])))
-        return pd.DataFrame(out, columns=["shard", "bucket", "n", "grams", "counts"])
-
-    sent = dealt.groupBy("shard").applyInPandas(count_shard, "bucket int, shard int, n int, grams binary, counts binary")
-    back = sent.groupBy("bucket").applyInPandas(add_up, "shard int, bucket int, n int, grams binary, counts binary")
-    total = int(rows.select(F.sum(n_words(F.col("text")))).first()[0] or 0)
+            total = np.bincount(at, weights=np.concatenate(counts), minlength=len(values)).astype(np.int64)
+            end = 0
+            for i, own in zip(rows, counts):
+                start, end = end, end + len(own)
+                more = total[at[start:end]] - own
+                if more.any():
+                    out.append((int(asking[i]), key[0].as_py(), k, pack(more)))
+        return table(out, answered)
+
+    sent = dealt.groupBy("shard").applyInArrow(count_shard, asked)
+    back = sent.groupBy("bucket").applyInArrow(add_up, answered)
     names = ["n_unknown", *(f"n_{k}" for k in range(1, order + 1))]
+    schema = "doc_id long, n_words long, " + ", ".join(f"{x} long" for x in names) + ", log_score double, mean_log_score double"
 
     def finish(key, frame, answers):
-        doc, hashes = of_texts(pa.array(frame["text"], pa.large_string()), order)
-        known = []
+        doc, hashes = of_texts(frame["text"].combine_chunks(), order, bits)
+        orders, buckets = answers["n"].to_numpy(), answers["bucket"].to_numpy()
+        others = []
         for k, h in enumerate(hashes, 1):
-            values, counts = distinct_counts(h)
-            for x in answers[answers["n"] == k].itertuples():
-                counts[np.searchsorted(values, unpack_sorted(x.grams))] = unpack_counts(x.counts)
-            known.append((values, counts))
-        words, levels, sums = score_documents(doc, hashes, len(frame), known, total, alpha)
-        out = pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n_words": words} | dict(zip(names, levels)) | {"log_score": np.round(sums, 6)})
-        out["mean_log_score"] = np.where(words > 0, np.round(sums / np.maximum(words, 1), 6), np.nan)
-        return out
+            values = np.unique(h[h != 0])
+            edges, elsewhere = bucket_edges(values, n, bits), np.zeros(len(values), np.int64)
+            for i in np.nonzero(orders == k)[0].tolist():
+                elsewhere[edges[buckets[i]] : edges[buckets[i] + 1]] = unpack(answers["more"][i].as_py())
+            others.append(in_other_documents(doc, h, elsewhere))
+        words, levels, sums = score_documents(doc, others, len(frame), total, alpha)
+        mean = pa.array(np.round(sums / np.maximum(words, 1), 6), mask=words == 0)
+        columns = [frame["doc_id"].combine_chunks(), *(pa.array(x.astype(np.int64)) for x in (words, *levels)), pa.array(np.round(sums, 6)), mean]
+        return pa.Table.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
 
-    schema = "doc_id long, n_words long, " + ", ".join(f"{x} long" for x in names) + ", log_score double, mean_log_score double"
-    scored = dealt.groupBy("shard").cogroup(back.groupBy("shard")).applyInPandas(finish, schema)
-    return scored.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("mean_log_score")))
+    return dealt.groupBy("shard").cogroup(back.groupBy("shard")).applyInArrow(finish, schema)
 
 
 def n_words(text):
     """Number of words, as a column."""
-    spaced = F.regexp_replace(text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ")
-    return F.size(F.array_remove(F.split(spaced, " "), "")).cast("long")
+    return F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
