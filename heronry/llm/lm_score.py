@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heronry.llm.common import pack_bounds, text_buffers
+from heronry.llm.common import pack_bounds, text_buffers, text_bytes
 from heronry.llm.decontaminate import hash_words
 
 ORDER = 3
 ALPHA = 0.4
 SHARD_BYTES = 12 << 20
-SPARE_BITS = 24
+SPARE_BITS = 21
 #: Bytes of text that are hashed at once.
 STEP_BYTES = 1 << 20
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -58,18 +58,26 @@ def grams(words: np.ndarray, doc: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
-def of_texts(texts: pa.Array, order: int, bits: int = 64):
-    """(words' documents, n-gram hashes of so many bits by order) of a column of texts; 0 stands for none."""
+def chunks(texts: pa.Array, order: int, bits: int = 64):
+    """Yields (first text, next text, words' documents, n-gram hashes of so many bits by order) of consecutive texts; 0 stands for none."""
     offsets, raw = text_buffers(texts)
     bounds = pack_bounds(np.diff(offsets), STEP_BYTES)
-    docs, hashes = [np.zeros(0, np.int64)], [[np.zeros(0, np.uint64)] for _ in range(order)]
     for a, b in zip(bounds, bounds[1:]):
         part = offsets[a : b + 1]
         words, doc = hash_words(raw[part[0] : part[-1]], part - part[0])
-        docs.append(doc + a)
-        for out, h in zip(hashes, grams(words, doc, order)):
-            out.append(np.where(h == 0, h, np.maximum(h >> np.uint64(64 - bits), np.uint64(1))))
-    return np.concatenate(docs), [np.concatenate(x) for x in hashes]
+        yield a, b, doc, [np.where(h == 0, h, np.maximum(h >> np.uint64(64 - bits), np.uint64(1))) for h in grams(words, doc, order)]
+
+
+def count_texts(texts: pa.Array, order: int, bits: int):
+    """Yields (different n-grams, their counts) by order."""
+    found: list[list] = [[] for _ in range(order)]
+    for _, _, _, hashes in chunks(texts, order, bits):
+        for out, h in zip(found, hashes):
+            out.append(h[h != 0])
+    for k in range(order):
+        whole = np.concatenate(found[k]) if found[k] else np.zeros(0, np.uint64)
+        found[k] = []
+        yield np.unique(whole, return_counts=True)
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -106,17 +114,16 @@ def bucket_edges(values: np.ndarray, n_buckets: int, bits: int) -> list[int]:
     return [0, *inner, len(values)]
 
 
-def in_other_documents(doc: np.ndarray, h: np.ndarray, elsewhere: np.ndarray) -> np.ndarray:
-    """How often other documents have the n-gram that ends at each word; `elsewhere`: how often other shards have the different n-grams, in order."""
+def in_other_documents(doc: np.ndarray, h: np.ndarray, values: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """How often other documents have the n-gram that ends at each word; `whole`: how often all have the n-grams `values`."""
     out = np.zeros(len(h), np.int64)
     there = np.nonzero(h)[0]
-    if not len(there):
-        return out
-    _, at, n = np.unique(h[there], return_inverse=True, return_counts=True)
-    out[there] = elsewhere[at] + n[at] - 1
-    again = np.nonzero(n[at] > 1)[0]  # else its own occurrence is the only one of the shard
-    _, pair, own = np.unique(at[again] << 32 | doc[there[again]], return_inverse=True, return_counts=True)
-    out[there[again]] -= own[pair] - 1
+    different, at, n = np.unique(h[there], return_inverse=True, return_counts=True)
+    own = np.ones(len(there), np.int64)
+    again = np.nonzero(n[at] > 1)[0]
+    _, pair, times = np.unique(at[again] << 32 | doc[there[again]], return_inverse=True, return_counts=True)
+    own[again] = times[pair]
+    out[there] = whole[np.searchsorted(values, different)][at] - own
     return out
 
 
@@ -143,9 +150,9 @@ def score_documents(doc: np.ndarray, others: list[np.ndarray], n_docs: int, tota
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, alpha: float = ALPHA, shards: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_words, n_unknown, n_1 .. n_order (words by the order they are scored at), log_score, mean_log_score."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    total, size = (int(x or 0) for x in rows.agg(F.sum(n_words(F.col("text"))), F.sum(F.octet_length("text"))).first())
+    size = text_bytes(rows, "text")
     n = shards or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
-    bits = min(64, SPARE_BITS + (order * total).bit_length())
+    bits = min(64, SPARE_BITS + (order * size).bit_length())
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).repartition(n, "shard")
 
     def table(out: list[tuple], schema: str) -> pa.Table:
@@ -156,12 +163,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     asked, answered = "bucket int, shard int, n int, grams binary, counts binary", "shard int, bucket int, n int, more binary"
 
     def count_shard(key, frame):
-        _, hashes = of_texts(frame["text"].combine_chunks(), order, bits)
         out = []
-        for k, h in enumerate(hashes, 1):
-            values, counts = np.unique(h[h != 0], return_counts=True)
+        for k, (values, counts) in enumerate(count_texts(frame["text"].combine_chunks(), order, bits), 1):
             edges = bucket_edges(values, n, bits)
-            out += [(b, key[0].as_py(), k, pack_sorted(values[s:e]), pack(counts[s:e])) for b, (s, e) in enumerate(zip(edges, edges[1:])) if e > s]
+            out += [(b, key[0].as_py(), k, pack_sorted(values[s:e]), pack(counts[s:e])) for b, (s, e) in enumerate(zip(edges, edges[1:])) if e > s or k == 1]
         return table(out, asked)
 
     def add_up(key, frame):
@@ -179,6 +184,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
                 more = total[at[start:end]] - own
                 if more.any():
                     out.append((int(asking[i]), key[0].as_py(), k, pack(more)))
+            if k == 1:  # each bucket tells each shard how many words it has counted
+                words = pack(total.sum(keepdims=True))
+                out += [(int(asking[i]), key[0].as_py(), 0, words) for i in rows]
         return table(out, answered)
 
     sent = dealt.groupBy("shard").applyInArrow(count_shard, asked)
@@ -187,23 +195,23 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     schema = "doc_id long, n_words long, " + ", ".join(f"{x} long" for x in names) + ", log_score double, mean_log_score double"
 
     def finish(key, frame, answers):
-        doc, hashes = of_texts(frame["text"].combine_chunks(), order, bits)
-        orders, buckets = answers["n"].to_numpy(), answers["bucket"].to_numpy()
-        others = []
-        for k, h in enumerate(hashes, 1):
-            values = np.unique(h[h != 0])
-            edges, elsewhere = bucket_edges(values, n, bits), np.zeros(len(values), np.int64)
+        texts, orders, buckets = frame["text"].combine_chunks(), answers["n"].to_numpy(), answers["bucket"].to_numpy()
+        known = []
+        for k, (values, whole) in enumerate(count_texts(texts, order, bits), 1):
+            edges = bucket_edges(values, n, bits)
             for i in np.nonzero(orders == k)[0].tolist():
-                elsewhere[edges[buckets[i]] : edges[buckets[i] + 1]] = unpack(answers["more"][i].as_py())
-            others.append(in_other_documents(doc, h, elsewhere))
-        words, levels, sums = score_documents(doc, others, len(frame), total, alpha)
-        mean = pa.array(np.round(sums / np.maximum(words, 1), 6), mask=words == 0)
-        columns = [frame["doc_id"].combine_chunks(), *(pa.array(x.astype(np.int64)) for x in (words, *levels)), pa.array(np.round(sums, 6)), mean]
+                whole[edges[buckets[i]] : edges[buckets[i] + 1]] += unpack(answers["more"][i].as_py()).astype(np.int64)
+            known.append((values, whole))
+        total = sum(int(unpack(answers["more"][i].as_py())[0]) for i in np.nonzero(orders == 0)[0].tolist())
+        ints, sums = [np.zeros((order + 2, 0), np.int64)], [np.zeros(0)]
+        for a, b, doc, hashes in chunks(texts, order, bits):
+            others = [in_other_documents(doc, h, *x) if len(doc) else np.zeros(0, np.int64) for h, x in zip(hashes, known)]
+            words, levels, log = score_documents(doc, others, b - a, total, alpha)
+            ints.append(np.stack([words, *levels]))
+            sums.append(log)
+        ints, sums = np.concatenate(ints, axis=1), np.concatenate(sums)
+        mean = pa.array(np.round(sums / np.maximum(ints[0], 1), 6), mask=ints[0] == 0)
+        columns = [frame["doc_id"].combine_chunks(), *(pa.array(x) for x in ints), pa.array(np.round(sums, 6)), mean]
         return pa.Table.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
 
     return dealt.groupBy("shard").cogroup(back.groupBy("shard")).applyInArrow(finish, schema)
-
-
-def n_words(text):
-    """Number of words, as a column."""
-    return F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
