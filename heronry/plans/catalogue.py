@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heronry.plans import records, relational, series, spatial, streams, texts
+from heronry.plans import evidence, forecasts, records, relational, series, spatial, streams, texts
 from heronry.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "records", "relational", "series", "spatial", "streams", "texts"]
+__all__ = ["ORACLE_SQL", "QUERIES", "evidence", "forecasts", "records", "relational", "series", "spatial", "streams", "texts"]
