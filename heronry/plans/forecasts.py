@@ -101,7 +101,7 @@ def block_bootstrap_lb(t) -> DataFrame:
     o = Window.orderBy("week")  # one row a week
     gains = weekly.select("week", "n", F.lag("n", 1).over(o).alias("a"), F.lag("n", 2).over(o).alias("b")).filter("b is not null")
     d = gains.select((F.row_number().over(o) - 1).cast("long").alias("i"), (F.abs(F.col("n") - F.col("b")) - F.abs(F.col("n") - F.col("a"))).alias("gain"))
-    known = d.agg(F.count("*").alias("k"), F.round(F.avg("gain"), 6).alias("gain"))
+    known = d.agg(F.count("*").alias("k"), F.round(F.avg("gain"), 6).alias("gain")).filter("k > 0")
     draws = t.spark.range(N_RESAMPLES).withColumnRenamed("id", "r").crossJoin(F.broadcast(known.select("k"))).select("r", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("j"))
     i = F.floor(F.pmod((F.col("r") * 7919 + F.col("j") * 104729 + 12345) * 1103515245, F.lit(2147483648)) / 65536) % F.col("k")
     means = draws.select("r", "k", i.alias("i")).join(d, "i").groupBy("r").agg((F.sum("gain") / F.first("k")).alias("mean"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heronry.plans.registry import query
-from heronry.streaming.replay import event_stream, replay
+from heronry.streaming.replay import event_stream, replay, split_stream, upsert_replay
+from heronry.streaming.state import silent_gaps
 
 _NTZ = "timestamp_ntz"
 
@@ -41,3 +42,19 @@ def stream_static_join(t) -> DataFrame:
     static = t.nation.select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_regionkey").cast("long").alias("region"))
     joined = event_stream(t.spark, t.folder).withColumn("k", F.col("user_id") % 25).join(static, "k")
     return replay(joined.groupBy("event_type", "region").agg(F.count("*").alias("n")), "complete")
+
+
+@query("""WITH e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
+SELECT user_id, before AS gap_start, ts AS gap_end FROM e WHERE ts - before > INTERVAL 12 HOUR""")
+def stream_gap_detector(t) -> DataFrame:
+    """Silences of over 12 hours, signalled by the state of each user when the next event comes."""
+    gaps = silent_gaps(event_stream(t.spark, t.folder).select("user_id", "ts"), "user_id", hours=12)
+    return replay(gaps, "append").select("user_id", F.col("gap_start").cast(_NTZ).alias("gap_start"), F.col("gap_end").cast(_NTZ).alias("gap_end"))
+
+
+@query("""WITH l AS (SELECT user_id, event_type, arg_max(event_id, event_id) AS event_id, arg_max(value, event_id) AS value, count(*)::BIGINT AS n FROM events GROUP BY ALL)
+SELECT user_id, event_type, event_id, value FROM l WHERE value >= 1""")
+def stream_retract(t) -> DataFrame:
+    """A table kept by key over batches in any order: a newer version replaces what stands, and one below 1 retracts it."""
+    stream = split_stream(t.spark, t.folder, 4).select("user_id", "event_type", "event_id", "value")
+    return upsert_replay(stream, ["user_id", "event_type"], "event_id").filter("value >= 1")

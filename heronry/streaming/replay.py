@@ -32,3 +32,33 @@ def replay(stream: DataFrame, mode: str) -> DataFrame:
     run = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def split_stream(spark: SparkSession, folder: str, n: int) -> DataFrame:
+    """The table events as n files in order of time, one file a batch."""
+    path = fresh_folder(spark)
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    events.repartitionByRange(n, "ts").write.parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def upsert_replay(stream: DataFrame, keys: list[str], version: str) -> DataFrame:
+    """The latest version of each key after all batches.
+
+    Each batch writes the table anew beside the one before it, under its own
+    number, so a batch that is run again gives the same table. Versions of a
+    key have to differ; equal ones are one row.
+    """
+    spark, folder = stream.sparkSession, fresh_folder(stream.sparkSession)
+    rest = [c for c in stream.columns if c not in keys]
+    numbers: list[int] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        before = [k for k in numbers if k < number]
+        table = batch.unionByName(spark.read.parquet(f"{folder}/table-{before[-1]}")) if before else batch
+        latest = table.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("__latest"))
+        latest.select(*keys, "__latest.*").write.mode("overwrite").parquet(f"{folder}/table-{number}")
+        numbers[:] = [*before, number]
+
+    stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/table-{numbers[-1]}") if numbers else spark.createDataFrame([], stream.schema)
