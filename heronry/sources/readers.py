@@ -104,3 +104,29 @@ def tab_rows(spark: SparkSession, path: str, wanted: dict[str, int], width: int)
 def night_of(ts: Column) -> Column:
     """The date of the night from noon to noon that holds an instant."""
     return F.to_date(ts - F.expr("interval 12 hours"))
+
+
+def channel_posts(spark: SparkSession, path: str) -> DataFrame:
+    """(channel, post, at, text, links) of saved pages of a public channel, once a post; quoted replies aren't text. Posts without a number go."""
+    pages = spark.read.option("wholetext", True).text(path)
+    part = F.explode(F.split("value", '<div class="tgme_widget_message ')).alias("part")
+    blocks = pages.select(part).filter(F.contains("part", F.lit('data-post="')))
+    body = F.regexp_extract("part", r'(?s)js-message_text"[^>]*>(.*?)</div>', 1)
+    plain = F.regexp_replace(F.regexp_replace(body, "<br */?>", "\n"), "<[^>]*>", "")
+    for name, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        plain = F.replace(plain, F.lit(name), F.lit(mark))
+    where = r'data-post="([^"/]+)/(\d+)"'
+    posts = blocks.select(
+        F.regexp_extract("part", where, 1).alias("channel"),
+        F.regexp_extract("part", where, 2).try_cast("long").alias("post"),
+        F.try_to_timestamp(F.regexp_extract("part", '<time[^>]*datetime="([^"]+)"', 1)).alias("at"),
+        F.trim(plain).alias("text"),
+        F.regexp_extract_all(body, F.lit('href="(https?://[^"]+)"'), F.lit(1)).alias("links"),
+    )
+    return posts.filter("post is not null").dropDuplicates(["channel", "post"])
+
+
+def value_at_hour(hours: Column, values: Column, at: Column) -> Column:
+    """The value of the hour that holds `at`, out of parallel arrays of hours and values; null if the hour isn't there."""
+    place = F.array_position(hours, F.date_trunc("hour", at))
+    return F.when(place > 0, F.get(values, (place - 1).cast("int")))

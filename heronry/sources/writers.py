@@ -70,3 +70,11 @@ def write_version(tables: dict[str, DataFrame], path: str, version: str) -> Data
     manifest = reduce(DataFrame.unionByName, told)
     manifest.write.mode("overwrite").json(f"{path.rstrip('/')}/v={version}/manifest")
     return spark.read.schema(manifest.schema).json(f"{path.rstrip('/')}/v={version}/manifest")
+
+
+def write_cells(rows: DataFrame, path: str, degrees: float, period: str = "day") -> None:
+    """Counts of (at, lat, lon) per grid cell, in one folder a day or month; cells are named by their lower corner."""
+    when = F.date_format("at", "yyyy-MM-dd" if period == "day" else "yyyy-MM")
+    corner = lambda c: F.round(F.floor(F.col(c) / degrees) * degrees, 6)
+    counted = rows.dropna(subset=["at", "lat", "lon"]).groupBy(when.alias("period"), corner("lat").alias("cell_lat"), corner("lon").alias("cell_lon")).agg(F.count("*").alias("n"))
+    counted.write.mode("overwrite").partitionBy("period").parquet(path)

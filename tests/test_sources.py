@@ -93,3 +93,24 @@ def test_features_csv_and_versions(spark, tmp_path):
     assert {r.name: r.n_rows for r in manifest} == {"one": 3, "none": 0}
     one = next(r.digest for r in manifest if r.name == "one")
     assert writers.fingerprint(df.repartition(3)).first().digest == one != writers.fingerprint(df.union(df.limit(1))).first().digest
+
+
+def test_channel_posts(spark, tmp_path):
+    def post(number, text, reply=""):
+        return f'<div class="tgme_widget_message js-widget_message" data-post="some/{number}"><time datetime="2025-01-02T03:04:05+00:00" class="time">{reply}<div class="tgme_widget_message_text js-message_text" dir="auto">{text}</div></div>'
+
+    reply = '<div class="tgme_widget_message_text js-message_reply_text" dir="auto">old</div>'
+    page = "<html>" + post(7, 'a<br/>b &amp;lt; <a href="http://x/1">c</a>', reply) + post(8, "") + "</html>"
+    put(tmp_path, "a.html", page)
+    put(tmp_path, "b.html", page)
+    got = sorted((r.channel, r.post, r.at, r.text, r.links) for r in readers.channel_posts(spark, str(tmp_path)).collect())
+    at = dt.datetime(2025, 1, 2, 3, 4, 5)
+    assert got == [("some", 7, at, "a\nb &lt; c", ["http://x/1"]), ("some", 8, at, "", [])]
+
+
+def test_value_at_hour_and_cells(spark, tmp_path):
+    df = spark.sql("select array(timestamp'2025-01-02 03:00:00', timestamp'2025-01-02 04:00:00') as h, array(1.5, null) as v, timestamp'2025-01-02 03:59:00' as a, timestamp'2025-01-02 05:00:00' as b")
+    assert [float(df.select(readers.value_at_hour(F.col("h"), F.col("v"), F.col("a"))).first()[0]), df.select(readers.value_at_hour(F.col("h"), F.col("v"), F.col("b"))).first()[0]] == [1.5, None]
+    rows = spark.createDataFrame([(dt.datetime(2025, 1, 2), 1.2, -0.1), (dt.datetime(2025, 1, 2), 1.4, -0.4), (dt.datetime(2025, 1, 3), 1.2, None)], "at timestamp, lat double, lon double")
+    writers.write_cells(rows, str(tmp_path / "cells"), 0.5)
+    assert [(str(r.period), r.cell_lat, r.cell_lon, r.n) for r in spark.read.parquet(str(tmp_path / "cells")).collect()] == [("2025-01-02", 1.0, -0.5, 2)]
