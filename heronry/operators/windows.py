@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,14 +58,21 @@ def densify(counts: DataFrame, keys: list[str], day: str, value: str, step: str
 
 
 def ewma(df: DataFrame, keys: list[str], order: str, value: str, half_life: float, name: str = "ewma") -> DataFrame:
-    """Mean of all values so far, each halved in weight every `half_life` rows; weights are relative to the row, so no history is collected twice."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    history = F.reverse(F.collect_list(value).over(upto))
-    weight = lambda i: F.pow(F.lit(0.5), i / F.lit(float(half_life)))
-    top = F.aggregate(F.transform(history, lambda x, i: x * weight(i)), F.lit(0.0), lambda a, x: a + x)
-    low = F.aggregate(F.transform(history, lambda x, i: weight(i)), F.lit(0.0), lambda a, x: a + x)
-    return df.withColumn(name, top / low)
+    """Mean of all values so far, each halved in weight every `half_life` values; nulls are passed over.
+
+    Running sums in blocks of 64 half-lives, weighted from the block's start,
+    so weights stay below 2^64; beyond the block before, a value would weigh
+    less than a double holds. No history is gathered.
+    """
+    size = math.ceil(64 * half_life)
+    nth = F.count(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - 1
+    placed = df.withColumn("__i", nth).withColumns({"__b": F.floor(F.col("__i") / size), "__at": F.pmod(F.col("__i"), F.lit(size))})
+    weighed = placed.withColumn("__w", F.when(F.col(value).isNotNull(), F.pow(F.lit(2.0), F.col("__at") / half_life)))
+    here = Window.partitionBy(*keys, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("__b").rangeBetween(-1, -1)
+    total = lambda c: F.sum(c).over(here) + F.coalesce(F.sum(c).over(before), F.lit(0.0)) * 2.0 ** (-size / half_life)
+    told = weighed.withColumn(name, total(F.col(value) * F.col("__w")) / total(F.col("__w")))
+    return told.drop("__i", "__b", "__at", "__w")
 
 
 def nearest_rank(values: Column, q: float) -> Column:

@@ -7,6 +7,7 @@ from collections import defaultdict
 
 from heronry.operators.graphs import connected_components, paths
 from heronry.operators.phrases import containing, similar_sets
+from heronry.operators.windows import ewma
 from heronry.plans.catalogue import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -95,3 +96,17 @@ def test_similar_sets_against_all_pairs(spark):
         want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and 100 * len({*a[2]} & {*b[2]}) >= percent * len({*a[2]} | {*b[2]})}
         got = similar_sets(spark.createDataFrame(rows, "id int, block string, words array<string>"), percent).collect()
         assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
+
+
+def test_ewma_over_several_blocks_and_nulls(spark):
+    rng = random.Random(9)
+    values = [None, *(rng.choice([None, rng.uniform(-5, 5)]) if k % 7 == 0 else rng.uniform(-5, 5) for k in range(250))]
+    rows = [("a", k, v) for k, v in enumerate(values)] + [("b", 0, 2.0)]
+    got = {(r.g, r.k): r.e for r in ewma(spark.createDataFrame(rows, "g string, k int, v double"), ["g"], "k", "v", 1.0, "e").collect()}
+    seen = []
+    for k, v in enumerate(values):
+        seen += [v] if v is not None else []
+        weights = [0.5 ** (len(seen) - 1 - j) for j in range(len(seen))]
+        want = sum(w * x for w, x in zip(weights, seen)) / sum(weights) if seen else None
+        assert (got["a", k] is None) if want is None else abs(got["a", k] - want) < 1e-9
+    assert got["b", 0] == 2.0
