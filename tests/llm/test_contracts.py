@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from heronry.llm import decontaminate, packing, quality, secrets, simhash
+from heronry.llm import decontaminate, packing, quality, secrets, simhash, tokens
 
 FOLDER = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -250,6 +250,19 @@ def test_packing(request, source):
     assert padding <= 0.02 * sum(covered.values())
 
 
+@pytest.mark.parametrize("text", ["a" + " " * 2_000_000 + "b", "a\n" + "\n" * 2_000_000, "é <|endoftext|>" + "\u3000" * 1_300_000 + " b"])
+def test_very_long_whitespace(text):
+    ids, count = tokens.encode(tokens.default_path(), ["x", text, None], 1)
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = own.encode(text, add_special_tokens=False).ids
+    assert count.tolist() == [2, len(want) + 1, 1] and np.array_equal(ids[2:-2], want)
+
+
+def test_packing_very_long_whitespace(spark):
+    found = packing.pack(spark.createDataFrame([(1, "a" + " " * 2_000_000 + "b"), (2, "c")], "doc_id long, text string")).collect()
+    assert sum(r.length for r in found if r.doc_id == 1) == 2_000_001 + 1
+
+
 def test_empty_tables(spark, docs):
     none, bench = docs.limit(0), spark.createDataFrame([], "item_id string, text string")
     assert decontaminate.report(none, bench).count() == simhash.near_duplicates(none).count() == quality.report(none).count() == 0
