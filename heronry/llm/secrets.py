@@ -1,8 +1,11 @@
 """Secret scans: patterns for known forms, and a character convolutional network for the rest.
 
-The base patterns always count. Every further candidate (a run of 16 or more
-key characters with a letter and a digit, away from base matches, or a
-private-key header) is read with its context by a small network in numpy.
+The base patterns always count. Every further candidate is read with its
+context by a small network in numpy: a run of 16 or more key characters with
+a letter and a digit, a private-key header, and in URLs the password before
+an @ and the value of a parameter named like a key, of any length and with any
+punctuation. Base matches are cut out of candidates and the stretches beside
+them are candidates of their own; of a URL value that a match cuts, all of them.
 The driver trains it on labelled findings that are generated from a seed
 (`n_findings`, the bound of its training data): keys of several forms in code
 and prose against mail addresses, paths, host names, identifiers, versions
@@ -40,6 +43,9 @@ KINDS = ("assign", "access", "hex", "learned")
 MIN_VALUE = 6
 
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,}|-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")
+#: Values in URLs: the password before an @, a parameter named like a key.
+IN_URL = re.compile(r"(?<=://)[^\s/?#@:\"'<>]*:([^\s/@\"<>]+)@|(?<=[?&])[\w.-]{0,40}?(?:pass|pwd|secret|token|key|auth|sig)[\w.-]{0,40}=([^\s&#\"'<>]+)", re.IGNORECASE | re.ASCII)
+MIN_RUN = 16
 BEFORE, INSIDE, AFTER = 24, 40, 12
 LENGTH = BEFORE + INSIDE + AFTER
 WIDTH, FILTERS = 5, 24
@@ -63,18 +69,29 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """Spans for the network: none overlaps a base span."""
-    out, k = [], 0
-    busy = sorted(taken)
-    for m in CANDIDATE.finditer(text):
-        s, e = m.span()
-        if not m[0].startswith("-----") and not (any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])):
-            continue
-        while k < len(busy) and busy[k][1] <= s:
-            k += 1
-        if not any(a < e and s < b for a, b, _ in busy[k : k + 8]):
+    """Spans for the network: none overlaps a base span or another one."""
+    in_url = [m.span(m.lastindex) for m in IN_URL.finditer(text)] if "://" in text or "=" in text else []
+    out = list(beside(in_url, taken))
+    for s, e in beside([m.span() for m in CANDIDATE.finditer(text)], sorted([*taken, *((s, e, "") for s, e in out)])):
+        run = text[s:e]
+        if run.startswith("-----BEGIN ") or (len(run) >= MIN_RUN and any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
             out.append((s, e))
-    return out
+    return sorted(out)
+
+
+def beside(spans: list[tuple[int, int]], taken: list[tuple[int, int, str]]):
+    """The stretches of `spans` (apart, in order) that no span in `taken` (by start) covers."""
+    k, upto = 0, 0
+    for s, e in spans:
+        at = max(s, upto)
+        while k < len(taken) and taken[k][0] < e:
+            if at < taken[k][0]:
+                yield at, taken[k][0]
+            upto = max(upto, taken[k][1])
+            at = max(at, upto)
+            k += 1
+        if at < e:
+            yield at, e
 
 
 def windows(text: str, start: int, end: int) -> list[list[int]]:
@@ -97,7 +114,14 @@ def generated_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
     word = lambda: pick("etaoinshrdlu", 2, 9)
     prose = lambda: " ".join(word() for _ in range(rng.randint(2, 6)))
 
+    chosen = lambda: "".join([word().capitalize() if rng.random() < 0.5 else pick(alnum, 4, 10), pick("!$%^*~,;()" + alnum, 1, 4), pick(alnum, 1, 8)])
+
     def secret() -> tuple[str, str, str]:
+        if rng.random() < 0.25:
+            if rng.random() < 0.7:
+                value = rng.choice([chosen, word, lambda: word() + rng.choice("-_.!") + word(), lambda: word() + pick(string.digits + "!", 1, 4), lambda: pick(string.ascii_letters, 6, 20)])()
+                return f"{rng.choice(['', prose() + ' '])}{rng.choice(['http', 'https', 'ftp', 'postgres', 'redis', 'amqp', 'mysql'])}://{rng.choice(['', word(), word()])}:", value, f"@{word()}{rng.choice(['', '.org', '.example.com'])}{rng.choice(['', '/', ':5432/', '/' + word()])}{rng.choice(['', ' ' + prose()])}"
+            return f"{prose()} https://{word()}.com/{word()}?{rng.choice(['', 'id=7&'])}{rng.choice(['pass', 'pwd', 'auth', 'sig', 'accesskey'])}=", chosen(), rng.choice(["", " ", "&x=1 "]) + prose()
         value = rng.choice([
             lambda: pick(b64, 20, 64),
             lambda: pick(alnum, 24, 48),
@@ -112,6 +136,8 @@ def generated_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
         return prose() + " " + lead, value, rng.choice(["", '"', " ", "\n"]) + prose()
 
     def plain() -> tuple[str, str, str]:
+        if rng.random() < 0.08:
+            return f"{prose()} https://{word()}.com/{word()}?{rng.choice(['', 'id=7&'])}{rng.choice(['keyword', 'key', 'author', 'passage', 'design', 'keys'])}=", rng.choice([word, lambda: str(rng.randint(1, 2030)), lambda: word() + rng.choice("+-_") + word()])(), rng.choice(["", " ", "&x=1 "]) + prose()
         value = rng.choice([
             lambda: f"{word()}.{rng.randint(0, 99)}",
             lambda: ".".join([word(), word() + str(rng.randint(0, 99)), word(), "com"]),
