@@ -5,14 +5,16 @@ MIN_SEEN times, others weigh nothing) is trained on the
 driver with paragraphs generated from the templates below (`per_class`, the
 bound of its training data): worded differently, with words lost or added,
 against prose, and against licences of unlisted families, the unknown class.
-A held-out part calibrates the temperature. A paragraph is a finding if the
-calibrated probability that it is no licence is below one half. Its family
-counts if its probability reaches `confident` and one of the family's
-templates shares enough word pairs with it. Else it is "unknown" if it shares
-some with any template, and else no finding.
-
-Paragraphs are lines; of lines longer than SEGMENT words, stretches of that
-many words are read, overlapping by half, so all words are read. Nothing is
+A held-out part calibrates the temperature. A stretch is a finding if the
+calibrated probability that it is no licence is below one half. A family in it
+counts if one of its templates shares enough word pairs with the stretch and
+the family's probability there, or in the words that the template covers,
+reaches `confident`. If none counts, the stretch is "unknown". Of findings
+that overlap, the one that shares most stays.
+
+Paragraphs are the lines between blank lines; they are read across their line
+ends, and each of their lines is read alone too. Of more than SEGMENT words,
+stretches of that many are read, overlapping by half, so all words are read. Nothing is
 shuffled. Defined cases: null text has no paragraphs; repeated rows are
 scanned each; an empty table gives no rows; columns named lc_* are replaced,
 others pass through.
@@ -55,8 +57,8 @@ NONE, UNKNOWN = "none", "unknown"
 CLASSES = [NONE, UNKNOWN, *TEMPLATES]
 MIN_SEEN = 3
 SEGMENT = 48
-#: Share of a template's word pairs that a paragraph has to have for its family, and for an unknown licence.
-MIN_SHARED, MIN_SHARED_UNKNOWN = 0.6, 0.4
+#: Share of a template's word pairs that a paragraph has to have for its family.
+MIN_SHARED = 0.6
 
 ADDED = [
     T.StructField("lc_paragraphs", T.LongType()),
@@ -147,6 +149,10 @@ def generated(per_class: int, seed: int) -> list[tuple[str, int]]:
 
     small = lambda n: " ".join(name().lower() if rng.random() < 0.5 else rng.choice("the of to a in is by at be this it on for was with and that an are no".split()) for _ in range(n))
 
+    common = "mit der die das und ein von den zu im es as s a t d l de la el los que y en un une et les des du pour il di che per na w z i o e".split()
+    letters = lambda: "".join(rng.choice("enisratdhulcgmobwfkzpväüößéñ") for _ in range(rng.randint(1, 10)))
+    foreign = lambda n: " ".join(rng.choice(common) if rng.random() < 0.5 else letters() for _ in range(n))
+
     def worn(text: str) -> str:
         words = [w for w in text.split() if rng.random() > 0.06]
         if rng.random() < 0.3:
@@ -163,7 +169,7 @@ def generated(per_class: int, seed: int) -> list[tuple[str, int]]:
     for k, family in enumerate(CLASSES):
         for _ in range(per_class * (4 if family == NONE else 1)):
             if family == NONE:
-                out.append((rng.choice([lambda: worn(rng.choice(PLAIN)), lambda: prose(rng.randint(1, 45)), lambda: small(rng.randint(1, 12))])(), k))
+                out.append((rng.choice([lambda: worn(rng.choice(PLAIN)), lambda: prose(rng.randint(1, 45)), lambda: small(rng.randint(1, 12)), lambda: foreign(rng.randint(1, 45)), lambda: foreign(rng.randint(1, 4)), lambda: prose(rng.randint(1, 4))])(), k))
             elif family == UNKNOWN:
                 out.append((worn(rng.choice(OTHER_LICENCE).format(name())), k))
             else:
@@ -200,24 +206,54 @@ def template_pairs() -> dict[str, list[np.ndarray]]:
     return out
 
 
-def segments(raw: np.ndarray, offsets: np.ndarray, words: np.ndarray, doc: np.ndarray, starts: np.ndarray):
-    """Lines, and overlapping stretches of long lines: (word indices, their segment), first word and size of each segment, lines by document."""
-    breaks = np.cumsum(raw == 10)
-    line = np.concatenate([[0], breaks])[starts] + doc  # a document starts a line too
-    new = np.ones(len(words), bool)
-    new[1:] = (np.diff(line) != 0) | (np.diff(doc) != 0)
-    first = np.nonzero(new)[0]
-    size = np.diff(np.append(first, len(words)))
+def stretches(first: np.ndarray, size: np.ndarray):
+    """(first word, number of words) of the overlapping stretches that cover each run of words."""
     half = SEGMENT // 2
     pieces = np.where(size <= SEGMENT, 1, -(-(size - SEGMENT) // half) + 1)
     owner = np.repeat(np.arange(len(first)), pieces)
     step = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     at = first[owner] + step * half
-    n = np.minimum(SEGMENT, first[owner] + size[owner] - at)
+    return at, np.minimum(SEGMENT, first[owner] + size[owner] - at)
+
+
+def runs(key: np.ndarray, doc: np.ndarray):
+    """(first word, number of words) of the runs of words with the same key and document."""
+    new = np.ones(len(doc), bool)
+    new[1:] = (np.diff(key) != 0) | (np.diff(doc) != 0)
+    first = np.nonzero(new)[0]
+    return first, np.diff(np.append(first, len(doc)))
+
+
+def segments(raw: np.ndarray, offsets: np.ndarray, words: np.ndarray, doc: np.ndarray, starts: np.ndarray):
+    """Stretches of paragraphs and of their lines: (word indices, their segment), first word and size of each segment, paragraphs by document."""
+    ends = np.nonzero(raw == 10)[0]
+    inked = np.cumsum((raw != 32) & ((raw < 9) | (raw > 13)))
+    blank = ends[1:][np.diff(inked[ends]) == 0]
+    line, block = np.searchsorted(ends, starts), np.searchsorted(blank, starts)
+    first, size = runs(block, doc)
+    line_first, line_size = runs(line, doc)
+    parted = ~np.isin(line_first, first) | ~np.isin(line_first + line_size, first + size)  # a paragraph of one line is read once
+    at, n = (np.concatenate(x) for x in zip(stretches(first, size), stretches(line_first[parted], line_size[parted])))
     index = np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())
     return index, np.repeat(np.arange(len(at)), n), at, n, np.bincount(doc[first], minlength=len(offsets) - 1)
 
 
+def apart(found: list[tuple]) -> list[tuple]:
+    """Of findings (…, first and last word read) that overlap in a document, the one that shares most; unknown ones give way.
+
+    A stretch without a template that the model doesn't call unknown is a part of the notice it was read with, if there is one.
+    """
+    kept: dict[int, list[tuple]] = {}
+    for x in sorted(found, key=lambda x: (x[3] == UNKNOWN, -x[5], -x[4], -x[2], x)):
+        own = kept.setdefault(x[0], [])
+        if any(x[1] < y[1] + y[2] and y[1] < x[1] + x[2] for y in own):
+            continue
+        if x[3] == UNKNOWN and x[4] < 0.5 and any(y[3] != UNKNOWN and y[6] <= x[1] and x[1] + x[2] <= y[7] for y in own):
+            continue
+        own.append(x)
+    return sorted(x[:6] for own in kept.values() for x in own)
+
+
 def scan_part(raw: np.ndarray, offsets: np.ndarray, model: Model, confident: float):
     """Paragraphs per document and findings (document, word, words, family, probability, shared)."""
     words, doc, starts = hash_words(raw, offsets, places=True)
@@ -229,15 +265,29 @@ def scan_part(raw: np.ndarray, offsets: np.ndarray, model: Model, confident: flo
     for k in np.nonzero(p[:, 0] < 0.5)[0].tolist():
         own = words[at[k] : at[k] + n[k]]
         one, two = grams(own, np.zeros(len(own), np.int64), 2)
-        c = 2 + int(p[k, 2:].argmax())
-        share = {x: max(float(np.isin(t, np.concatenate([one, two])).mean()) for t in template_pairs()[x]) for x in (CLASSES[c], UNKNOWN)}
-        known = p[k, c] >= confident and share[CLASSES[c]] >= MIN_SHARED
-        shared = share[CLASSES[c]] if known else max(share.values())
-        if not known and shared < MIN_SHARED_UNKNOWN:
-            continue
-        base = np.searchsorted(doc, doc[at[k]])
-        found.append((int(doc[at[k]]), int(at[k] - base), int(n[k]), CLASSES[c] if known else UNKNOWN, round(float(p[k, c] if known else p[k, 1]), 6), round(shared, 6)))
-    return lines, found
+        base, best, known = np.searchsorted(doc, doc[at[k]]), 0.0, []
+        for family, templates in template_pairs().items():
+            for t in templates:
+                share = float(np.isin(t, np.concatenate([one, two])).mean())
+                best = max(best, share if family in (UNKNOWN, CLASSES[2 + int(p[k, 2:].argmax())]) else 0.0)
+                if family != UNKNOWN and share >= MIN_SHARED:
+                    there = np.nonzero(np.isin(two, t) | np.isin(one, t))[0]
+                    ends = np.searchsorted(there, there + 5 * (len(t) + 1) // 4 + 1)  # where most of it stands together
+                    most = int((ends - np.arange(len(there))).argmax())
+                    known.append((int(there[most]), min(len(own), int(there[ends[most] - 1]) + 2), CLASSES.index(family), share))
+        counted, read = False, (int(at[k] - base), int(at[k] + n[k] - base))
+        if known:
+            pieces = [own[x:y] for x, y, _, _ in known]
+            size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+            each = model.probability(*features(np.concatenate(pieces), np.repeat(np.arange(len(pieces)), size)), len(pieces))
+            for (x, y, c, share), q in zip(known, each):
+                sure = max(float(q[c]), float(p[k, c]))
+                if sure >= confident:
+                    counted = True
+                    found.append((int(doc[at[k]]), int(at[k] + x - base), y - x, CLASSES[c], round(sure, 6), round(share, 6), *read))
+        if not counted:
+            found.append((int(doc[at[k]]), int(at[k] - base), int(n[k]), UNKNOWN, round(float(p[k, 1]), 6), round(best, 6), *read))
+    return lines, apart(found)
 
 
 def scan(docs: DataFrame, text_col: str = "text", confident: float = 0.5, **training) -> DataFrame:

@@ -52,6 +52,27 @@ def test_licence_findings(spark):
     assert sorted(found, key=repr) == sorted([(1, ""), (2, ""), (3, "mit"), (4, "unknown"), (5, "apache"), (5, ""), (None, "reserved")], key=repr)
 
 
+GPL = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version."
+LGPL = "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version."
+BSD = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+
+
+@pytest.mark.parametrize(
+    "text, paragraphs, want",
+    [
+        (GPL, 1, ["gpl"]), (LGPL, 1, ["lgpl"]), (BSD, 1, ["bsd"]), ("\n".join("# " + x for x in GPL.split("\n")), 1, ["gpl"]),
+        (f"plain prose about the river\r\n \t\r\n{BSD}\n\n{LGPL}", 3, ["bsd", "lgpl"]),
+        ("Licensed under the Apache License, Version 2.0\nor the MIT License, at your option.", 1, ["apache", "mit"]),
+        ("Released under the MIT License.\nLicensed under the Zorbo License version 1.0", 1, ["mit", "unknown"]),
+        ("Source code is available under the EUPL 1.2 licence", 1, ["unknown"]),
+        ("Er kam mit und ging", 1, []), ("She walked to the public library,\nwhere the books are free to all.", 1, []),
+    ],
+)
+def test_licences_across_lines(spark, text, paragraphs, want):
+    found = licenses.scan(spark.createDataFrame([(text,)], "text string")).first()
+    assert found.lc_paragraphs == paragraphs and [r.family for r in found.lc_findings] == want
+
+
 def brute_chat(rows):
     talks: dict = {}
     for c, t, r, x in rows:
