@@ -5,7 +5,9 @@ words fails if it
 * is navigation: at least two separators, one for every four words or more;
 * is symbols: over 5 % of its characters are of # * $ % & | < >;
 * shouts: 20 capitals or more, and over 30 % of its characters;
-* is a run of 12 words or more without a sentence mark;
+* has 12 words or more without a sentence mark of any script, unless it is a
+  part of wrapped text: a paragraph of two lines or more that has sentence
+  marks, at the ends of half of its lines at most (Thai and Lao write none);
 * is a short line with a boilerplate phrase;
 * repeats an earlier line.
 A document is rejected if over half of the characters of such lines go, or
@@ -38,6 +40,18 @@ BOILERPLATE = (
 )
 BOILERPLATE_MAX_CHARS = 200
 
+#: Unicode's sentence terminals of the Basic Multilingual Plane, then dots, colons, semicolons and shads.
+MARKS = (
+    "!.?\u0589\u061d-\u061f\u06d4\u0700-\u0702\u07f9\u0837\u0839\u083d\u083e\u0964\u0965\u104a\u104b\u1362\u1367\u1368\u166e\u1735\u1736\u17d4\u17d5\u1803\u1809\u1944\u1945"
+    "\u1aa8-\u1aab\u1b5a\u1b5b\u1b5e\u1b5f\u1b7d\u1b7e\u1c3b\u1c3c\u1c7e\u1c7f\u203c\u203d\u2047-\u2049\u2e2e\u2e3c\u2e53\u2e54\u3002\ua4ff\ua60e\ua60f\ua6f3\ua6f7\ua876\ua877\ua8ce\ua8cf\ua92f"
+    "\ua9c8\ua9c9\uaa5d-\uaa5f\uaaf0\uaaf1\uabeb\ufe52\ufe56\ufe57\uff01\uff0e\uff1f\uff61"
+    "\u2026:;\u037e\u061b\u0f0d-\u0f12\u1363-\u1366\ufe54\ufe55\uff1a\uff1b"
+)
+MARKED = rf"[{MARKS}\p{{IsThai}}\p{{IsLao}}]"
+#: A line's end at a mark, with closing quotes and brackets.
+MARKED_END = rf"(?md)[{MARKS}][\"'\u2019\u201d\u00bb\u300d\u300f)\]]*[\x20\x09\x0D]*$"
+BLANK_LINES = r"\n(?:[\x20\x09\x0B-\x0D]*\n)+"
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once a row."""
@@ -82,7 +96,7 @@ def repeated_window_words(words: Column, n_words: Column) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    """The rules for one line with words, but for repetition."""
+    """The rules for one line with words, but for repetition and sentence marks."""
     n_chars = F.char_length(line)
     n_words = F.size(words_of(line))
     n_marks = F.regexp_count(line, F.lit(r"[|»›·•]"))
@@ -93,11 +107,25 @@ def line_fails(line: Column) -> Column:
         ((n_marks >= 2) & (n_marks * 4 >= n_words))
         | (n_symbols * 20 > n_chars)
         | ((n_capitals >= 20) & (n_capitals * 10 > n_chars * 3))
-        | ((n_words >= 12) & ~line.rlike(r"[.!?…。:;]"))
         | ((n_chars <= BOILERPLATE_MAX_CHARS) & phrase)
     )
 
 
+def unmarked(line: Column) -> Column:
+    """A line of 12 words or more without a sentence mark."""
+    return ~line.rlike("[.!?:;]") & (F.size(words_of(line)) >= 12) & ~line.rlike(MARKED)  # the first, for speed
+
+
+def wrapped_lines(text: Column, has_word: Callable[[Column], Column]) -> Column:
+    """The lines of the paragraphs that are wrapped text."""
+
+    def wrapped(paragraph: Column) -> Column:
+        n_lines = F.size(F.filter(F.split(paragraph, "\n"), has_word))
+        return (n_lines >= 2) & paragraph.rlike(MARKED) & (F.regexp_count(paragraph, F.lit(MARKED_END)) * 2 <= n_lines)
+
+    return F.flatten(F.transform(F.filter(F.split(text, BLANK_LINES), wrapped), lambda p: F.split(p, "\n")))
+
+
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`docs` with q_ columns: the base counts, base_failed, the cleaned text, the share of characters lost, kept."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -114,8 +142,11 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "q_full": F.filter("q_lines", has_word),
     }).withColumn("q_unique", F.array_distinct("q_full"))
     staged = staged.withColumn("q_n_dup_lines", (F.size("q_full") - F.size("q_unique")).cast("long"))
+    staged = staged.withColumn("q_unmarked", F.filter("q_unique", unmarked))
+    lost = F.when(F.size("q_unmarked") > 0, F.array_except("q_unmarked", wrapped_lines(F.col("q_text"), has_word))).otherwise(F.col("q_unmarked"))
     good = F.filter("q_unique", lambda x: ~line_fails(x))
-    staged = staged.withColumn("q_good", good)
+    staged = staged.withColumns({"q_lost": lost, "q_good": good})
+    staged = staged.withColumn("q_good", F.when(F.size("q_lost") > 0, F.array_except("q_good", "q_lost")).otherwise(F.col("q_good")))
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + F.char_length(x))
     staged = staged.withColumns({"q_all_chars": total("q_full"), "q_good_chars": total("q_good")})
     failed = (F.col("q_n_words") < MIN_WORDS) | (100 * F.col("q_n_repeat_words") > 50 * F.col("q_n_words"))
@@ -125,7 +156,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "q_cleaned": F.when((F.size("q_good") == F.size("q_full")), F.col("q_text")).otherwise(F.array_join("q_good", "\n")),
     })
     kept = ~F.col("q_base_failed") & (F.col("q_good_chars") >= (1 - MAX_LINE_LOSS) * F.col("q_all_chars"))
-    return staged.withColumn("q_kept", settled(kept)).drop("q_text", "q_words", "q_lines", "q_full", "q_unique", "q_good")
+    return staged.withColumn("q_kept", settled(kept)).drop("q_text", "q_words", "q_lines", "q_full", "q_unique", "q_unmarked", "q_lost", "q_good")
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -184,6 +184,27 @@ def test_quality_lines(spark):
     assert kept.text == "\n".join(lines) and kept.n_chars == len(kept.text)
 
 
+def sentences(mark, n_words=14, n=8):
+    return [" ".join(f"w{k}x{j}" for j in range(n_words)) + mark for k in range(n)]
+
+
+@pytest.mark.parametrize("mark", [" ।", "۔", "؟", "\uff0e", "\uff1f", "\uff01", "።", "။", "!”"])
+def test_quality_marks_of_all_scripts(spark, mark):
+    text = "\n".join(sentences(mark))
+    assert [r.text for r in quality.keep_good(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()] == [text]
+
+
+def test_quality_wrapped_text(spark):
+    flow = [f"w{k}," if k % 9 == 5 else f"end{k}. Next" if k % 50 == 49 else f"w{k}" for k in range(600)]
+    wrapped = "\n".join(" ".join(flow[k : k + 14]) for k in range(0, 600, 14)) + "."
+    lines = sentences(".")
+    junk = " ".join(f"junk{j}" for j in range(20))
+    cases = [(1, wrapped, wrapped), (2, "\n\n".join([wrapped, junk]), wrapped), (3, "\n".join([*lines[:4], junk, *lines[4:]]), "\n".join(lines)), (4, "\n".join(sentences("")), None)]
+    kept = {r.doc_id: r.text for r in quality.keep_good(spark.createDataFrame([x[:2] for x in cases], "doc_id long, text string")).collect()}
+    assert kept.get(1) == wrapped and kept.get(3) == cases[2][2] and 4 not in kept
+    assert kept.get(2) == wrapped
+
+
 BASE = [
     ("assign", re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 6),
     ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
