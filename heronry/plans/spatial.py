@@ -200,6 +200,20 @@ def uncertain_date_overlap(t) -> DataFrame:
     return d.join(other, ["user_id", "day"]).filter("event_id < other").select(F.col("event_id").alias("id"), "other").distinct()
 
 
+@query("""WITH d AS (SELECT event_id, user_id, CAST(ts AS DATE) - (event_id % 2)::INT AS a, CAST(ts AS DATE) AS b FROM events)
+SELECT x.event_id AS id, count(y.event_id)::BIGINT AS n FROM d x LEFT JOIN d y ON x.user_id = y.user_id AND x.event_id <> y.event_id AND x.a <= y.b AND y.a <= x.b GROUP BY x.event_id""")
+def uncertain_date_overlap_counts(t) -> DataFrame:
+    """The overlaps of every event, counted by classes (user, day) without making the pairs."""
+    early = F.col("event_id") % 2
+    d = t.events.select("event_id", "user_id", F.to_date("ts").alias("day"), early.alias("early"))
+    day = d.groupBy("user_id", "day").agg(F.count("*").alias("n"), F.sum("early").alias("n_early"))
+    w = Window.partitionBy("user_id").orderBy("day")
+    near = lambda f, column, step: F.when(f("day").over(w) == F.date_add("day", step), f(column).over(w)).otherwise(0)
+    day = day.select("user_id", "day", "n", near(F.lag, "n", -1).alias("n_before"), near(F.lead, "n_early", 1).alias("n_after"))
+    n = F.col("n") - 1 + F.col("early") * F.col("n_before") + F.col("n_after")
+    return d.join(day, ["user_id", "day"], "left").select(F.col("event_id").alias("id"), F.coalesce(n, F.lit(0)).cast("long").alias("n"))
+
+
 @query(f"""WITH e AS (SELECT user_id, event_id, date_diff('second', TIMESTAMP '1970-01-01', ts) AS s, {LAT.format('event_id')} AS lat, {LON.format('event_id')} AS lon FROM events)
 SELECT user_id, min(s) AS first, round(min({KM.format(a='lat', b='lon', c='50.0', d='30.0')}), 4) AS km, count(*)::BIGINT AS n FROM e GROUP BY 1""")
 def min_time_min_dist(t) -> DataFrame:

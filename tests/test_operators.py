@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import random
 from collections import defaultdict
 
@@ -110,3 +111,13 @@ def test_ewma_over_several_blocks_and_nulls(spark):
         want = sum(w * x for w, x in zip(weights, seen)) / sum(weights) if seen else None
         assert (got["a", k] is None) if want is None else abs(got["a", k] - want) < 1e-9
     assert got["b", 0] == 2.0
+
+
+def test_uncertain_date_overlap_counts_every_event(spark, tmp_path):
+    rng = random.Random(5)
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(k, rng.choice([None, 1, 2, 3]), None if k % 17 == 3 else start + datetime.timedelta(hours=rng.randrange(900))) for k in range(150)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    span = {k: (u, t.date() - datetime.timedelta(days=k % 2), t.date()) for k, u, t in rows if u is not None and t is not None}
+    want = {k: sum(o != k and v[0] == span[k][0] and span[k][1] <= v[2] and v[1] <= span[k][2] for o, v in span.items()) if k in span else 0 for k, _, _ in rows}
+    assert {r.id: r.n for r in QUERIES["uncertain_date_overlap_counts"](spark, str(tmp_path)).collect()} == want
