@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heronry.session import ensure_checkpoints
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage with a reliable checkpoint in the folder of spark.checkpoint.dir, or a folder of our own where it is unset."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="heronry-"))
+    """Ends the lineage with a reliable checkpoint in the shared folder."""
+    ensure_checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

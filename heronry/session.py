@@ -1,8 +1,12 @@
-"""Session factory with the settings the operators assume."""
+"""Session factory with the settings the operators assume, and the folder that all executors share."""
 
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -33,3 +37,41 @@ def local_session(app: str = "heronry") -> SparkSession:
     """For tests and the bench."""
     cpus = os.environ.get("BENCH_CPUS", "8")
     return build_session(app, master=f"local[{cpus}]", shuffle_partitions=8)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where it is unset, a temporary one in local mode and an error on a cluster."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    now = spark.sparkContext.getCheckpointDir()
+    if now is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="heronry-"))
+        now = spark.sparkContext.getCheckpointDir()
+    return now
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """Checkpoints go to the shared folder."""
+    folder = shared_folder(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Each query that ends inside frees its shuffle files at once."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heronry.session import fresh_path
+
 
 def fresh_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, or a temporary one where that is unset (local runs)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="heronry-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder for a stream's state and tables."""
+    return fresh_path(spark, "stream")
 
 
 def event_stream(spark: SparkSession, folder: str, late: str = "2 days") -> DataFrame:
