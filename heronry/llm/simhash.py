@@ -1,24 +1,28 @@
 """Near-duplicate groups from SimHash fingerprints, by anchor-point covering.
 
-A fingerprint has 64 bits. Two blocks of 23 bits are covered by the perfect
-binary Golay code (radius 3), the last 18 bits, projected on 15, by the
-Hamming code (radius 1). A fingerprint is at home at the code word next to
-it, its anchor, and is replicated to every anchor within the covering radius
-plus the threshold. If two fingerprints differ in at most the threshold, the
-second reaches the first one's home, so comparing homes with replicas anchor
-by anchor loses no link.
-
-Two coverings, chosen by the number of different fingerprints:
-
-* segments: with 3 differing bits over three blocks some block differs in at
-  most 1, so each block alone is covered with threshold 1 (about 20 rows a
-  fingerprint, 2^12 anchors a block);
-* product: the two Golay blocks together, 2^24 anchors, with threshold 3
-  (about 300 rows a fingerprint), for which anchors stay small at any size.
+A fingerprint has 64 bits. The anchors are the code words of the product of
+two perfect binary Golay codes (23 bits each, covering radius 3); the other
+18 bits are left free. If two fingerprints differ in at most `threshold`
+bits, some word lies within half of it (rounded down) of the one and within
+the rest of the other, and the anchor next to that word lies within the
+covering radius plus these parts of both. So each fingerprint is replicated
+to the anchors that it reaches over the smaller part, as a host, and over
+the larger part, as a guest; comparing hosts with guests anchor by anchor
+loses no link. For 3 bits these are 10 and 61 rows of 17 bytes a fingerprint
+on average over 2^24 anchors, at any size of the table; carrying all of the
+threshold on one side would take 302. Only different fingerprints are
+replicated, so exact copies cost nothing.
+
+An anchor with many hosts is dealt over a grid of tasks: its hosts over the
+rows, its guests over the columns, so that each pair meets in one task and
+no task holds all of them. A task holds only the hosts of one cell; guests
+are read batch by batch, and only a star for each component goes out.
 
 Defined cases: null or word-free text has fingerprint 0, linked like any
-other; null ids belong to their group but never name it; repeated rows stay
-repeated; an empty table gives an empty result; other columns are ignored.
+other; null ids belong to their group but never name it, and a group without
+ids has a null component; repeated rows stay repeated; a very long text is
+hashed in steps; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -32,16 +36,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heronry.llm.common import ASCII_LOWER, as_row, cut
-
-#: Generator of the Golay code [23,12,7], and of the Hamming code [15,11,3], as bits of a polynomial.
-GOLAY, HAMMING = 0xAE3, 0x13
-#: (first bit, length, generator) of the blocks.
-BLOCKS = ((0, 23, GOLAY), (23, 23, GOLAY), (46, 15, HAMMING))
-#: From so many different fingerprints on, the product covering.
-PRODUCT_FROM = 1 << 24
-#: An anchor with more rows is dealt out over several tasks.
-HOT_ANCHOR = 200_000
+from heronry.llm.common import ASCII_LOWER, as_row
+from heronry.operators.graphs import connected_components, cut
+
+#: Generator of the Golay code [23,12,7], as bits of a polynomial, and its covering radius.
+GOLAY, LENGTH, RADIUS = 0xAE3, 23, 3
+#: First bits of the two blocks.
+BLOCKS = (0, 23)
+#: An anchor with more hosts is dealt over a grid of tasks.
+HOT_HOSTS = 20_000
+#: So many rows of hot anchors are broadcast at most; more are joined.
+SMALL = 1 << 18
 #: Most entries of one comparison matrix.
 MATRIX = 1 << 22
 
@@ -66,31 +71,31 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """One row (doc_id, fp) per document; fp is the fingerprint as a signed long."""
+    """One row (doc_id, text_hash, fp) per document; fp is the fingerprint as a signed long, text_hash 64 bits of the text."""
 
     def run(batches):
         for batch in batches:
-            fps = np.fromiter((fingerprint(x.as_py(), shingle) for x in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(x.as_py(), shingle) for x in batch.column(2)), dtype=np.uint64, count=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 @cache
-def code(length: int, generator: int):
-    """(remainder of the low bits, of the high bits, coset leader by remainder, anchors by flips and remainder)."""
-    degree = generator.bit_length() - 1
-    radius = 3 if generator == GOLAY else 1
+def code():
+    """(remainders of the low bits, of the high bits, coset leader by remainder) of the Golay code."""
+    degree = GOLAY.bit_length() - 1
 
     def remainder(x: int) -> int:
-        for k in range(length - 1, degree - 1, -1):
+        for k in range(LENGTH - 1, degree - 1, -1):
             if x >> k & 1:
-                x ^= generator << (k - degree)
+                x ^= GOLAY << (k - degree)
         return x
 
-    unit = [remainder(1 << k) for k in range(length)]
-    half = (length + 1) // 2
+    unit = [remainder(1 << k) for k in range(LENGTH)]
+    half = (LENGTH + 1) // 2
 
     def table(bits: list[int]):
         out = np.zeros(1 << len(bits), np.int64)
@@ -99,183 +104,178 @@ def code(length: int, generator: int):
         return out
 
     low, high = table(unit[:half]), table(unit[half:])
-    flips = {n: [sum(1 << k for k in c) for c in combinations(range(length), n)] for n in range(radius + 1)}
     leader = np.zeros(1 << degree, np.int64)
-    for n in range(radius, -1, -1):
-        for e in flips[n]:
-            s = int(low[e & ((1 << half) - 1)] ^ high[e >> half])
-            leader[s] = e
+    for n in range(RADIUS, -1, -1):
+        for c in combinations(range(LENGTH), n):
+            e = sum(1 << k for k in c)
+            leader[low[e & ((1 << half) - 1)] ^ high[e >> half]] = e
     return half, low, high, leader
 
 
-def decode(x: np.ndarray, length: int, generator: int) -> np.ndarray:
-    """The code word next to each x."""
-    half, low, high, leader = code(length, generator)
-    return x ^ leader[low[x & ((1 << half) - 1)] ^ high[x >> half]]
+def leaders(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(remainder, flips to the code word next to it) of each x."""
+    half, low, high, leader = code()
+    s = low[x & ((1 << half) - 1)] ^ high[x >> half]
+    return s, leader[s]
 
 
 @cache
-def reach(length: int, generator: int, threshold: int):
-    """For each coset leader: code words, relative to its own, within radius plus 0, 1, .. threshold, as a padded array and the flips each needs (99: none)."""
-    _, _, _, leader = code(length, generator)
+def reach(flips: int):
+    """For each remainder: code words, relative to its own, that are next to a word within 0, 1, .. `flips`, as a padded array, and the flips each needs (99: none)."""
+    leader = code()[3]
     found: list[dict[int, int]] = [{} for _ in leader]
-    for n in range(threshold + 1):
-        for c in combinations(range(length), n):
-            e = sum(1 << k for k in c)
-            for s, w in enumerate(decode(leader ^ e, length, generator).tolist()):
+    for n in range(flips + 1):
+        for c in combinations(range(LENGTH), n):
+            moved = leader ^ sum(1 << k for k in c)
+            for s, w in enumerate((moved ^ leaders(moved)[1]).tolist()):
                 found[s].setdefault(w, n)
     most = max(map(len, found))
-    words, need = np.zeros((len(leader), most), np.int64), np.full((len(leader), most), 99, np.int64)
+    words, need = np.zeros((len(leader), most), np.int64), np.full((len(leader), most), 99, np.int8)
     for s, x in enumerate(found):
         words[s, : len(x)], need[s, : len(x)] = list(x), list(x.values())
     return words, need
 
 
-def block_anchors(fp: np.ndarray, block: tuple[int, int, int], threshold: int):
-    """Anchors of a block that each fingerprint reaches, and the flips needed; shape (fingerprints, most)."""
-    first, length, generator = block
-    x = (fp >> np.uint64(first)).astype(np.int64) & ((1 << length) - 1)
-    half, low, high, leader = code(length, generator)
-    s = low[x & ((1 << half) - 1)] ^ high[x >> half]
-    words, need = reach(length, generator, threshold)
-    return (x ^ leader[s])[:, None] ^ words[s], need[s]
-
-
-def anchors(fp: np.ndarray, product: bool):
-    """Yields (covering, anchor, index of the fingerprint, at home) as arrays."""
-    if not product:
-        for k, block in enumerate(BLOCKS):
-            at, need = block_anchors(fp, block, 1)
-            who, which = np.nonzero(need <= 1)
-            yield k, at[who, which], who, need[who, which] == 0
-        return
-    for k in range(0, len(fp), 2000):  # about 300 rows each
-        part = fp[k : k + 2000]
-        (a, n), (b, m) = block_anchors(part, BLOCKS[0], 3), block_anchors(part, BLOCKS[1], 3)
-        who, i, j = np.nonzero(n[:, :, None] + m[:, None, :] <= 3)
-        yield 9, a[who, i] << 23 | b[who, j], who + k, (n[who, i] == 0) & (m[who, j] == 0)
-
-
-def join_labels(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Component label (smallest index) of n nodes after adding the links a-b."""
+def anchors(fp: np.ndarray, flips: int):
+    """(anchor, index of the fingerprint) of all anchors that each fingerprint reaches."""
+    words, need = reach(flips)
+    at, by = [], []
+    for first in BLOCKS:
+        x = (fp >> np.uint64(first)).astype(np.int64) & ((1 << LENGTH) - 1)
+        s, e = leaders(x)
+        at.append((x ^ e)[:, None] ^ words[s])
+        by.append(need[s])
+    who, i, j = np.nonzero(by[0][:, :, None] + by[1][:, None, :] <= flips)
+    return at[0][who, i] << LENGTH | at[1][who, j], who
+
+
+def join_labels(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> None:
+    """Makes `label` (the smallest index of each component) hold with the links a-b too."""
     while True:
         la, lb = label[a], label[b]
         if (la == lb).all():
-            return label
+            return
         low = np.minimum(la, lb)
         np.minimum.at(label, la, low)
         np.minimum.at(label, lb, low)
         while (label != (up := label[label])).any():
-            label = up
-
-
-def link_group(home: np.ndarray, other: np.ndarray, threshold: int):
-    """Links of one anchor, as (fingerprint, representative): a star for each component, not all pairs."""
-    nodes, at = np.unique(np.concatenate([home, other]), return_inverse=True)
-    h, o = at[: len(home)], at[len(home) :]
-    label = np.arange(len(nodes))
-    for k in range(0, len(h), step := max(1, MATRIX // max(1, len(o)))):
-        for m in range(0, len(o), MATRIX):
-            part = o[m : m + MATRIX]
-            near = np.bitwise_count(nodes[h[k : k + step], None] ^ nodes[None, part]) <= threshold
-            i, j = np.nonzero(near)
-            label = join_labels(len(nodes), h[k : k + step][i], part[j], label)
-    moved = np.nonzero(label != np.arange(len(nodes)))[0]
-    return nodes[moved], nodes[label[moved]]
-
-
-def links(distinct: DataFrame, threshold: int = 3, product: bool | None = None) -> DataFrame:
-    """Star links (a, b) between different fingerprints (column fp) of the same anchor's components."""
-    if threshold > 3:
-        raise ValueError("the coverings are made for at most 3 differing bits")
-    spark = distinct.sparkSession
-    if product is None:
-        product = distinct.count() >= PRODUCT_FROM
-
-    def replicate(batches):
+            label[:] = up
+
+
+class Cell:
+    """The hosts of one cell of an anchor, and which of them belong together."""
+
+    def __init__(self):
+        self.parts, self.hosts, self.label = [], None, None
+
+    def compare(self, guests: np.ndarray, threshold: int):
+        """(guest, host) of one link for each guest that has any; hosts that share a guest come together."""
+        if self.hosts is None:
+            self.hosts = np.concatenate(self.parts)
+            self.label = np.arange(len(self.hosts))
+        for k in range(0, len(guests), step := max(1, MATRIX // len(self.hosts))):
+            part = guests[k : k + step]
+            j, i = np.nonzero(np.bitwise_count(part[:, None] ^ self.hosts[None, :]) <= threshold)
+            start = np.nonzero(np.diff(j, prepend=-1))[0]
+            join_labels(i, np.repeat(i[start], np.diff(np.append(start, len(j)))), self.label)
+            yield part[j[start]], self.hosts[i[start]]
+
+    def stars(self):
+        """(host, first host of its component) of the hosts that guests have brought together."""
+        if self.hosts is None:
+            return []
+        moved = np.nonzero(self.label != np.arange(len(self.label)))[0]
+        return [(self.hosts[moved], self.hosts[self.label[moved]])]
+
+
+def links(distinct: DataFrame, threshold: int = 3) -> DataFrame:
+    """Star links (u, v) between different fingerprints (column fp) that meet at an anchor."""
+    near = threshold // 2
+    far = threshold - near
+    if far > RADIUS:
+        raise ValueError("the table of reached anchors is made for at most 6 differing bits")
+
+    def replicate(batches, kinds):
         for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for k, at, who, own in anchors(fp, product):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at), pa.array(fp[who].view(np.int64)), pa.array(own)], names=["covering", "anchor", "fp", "home"])
-
-    rows = distinct.select("fp").mapInArrow(replicate, "covering int, anchor long, fp long, home boolean").withColumn("salt", F.lit(0))
-    hot = rows.groupBy("covering", "anchor").count().filter(F.col("count") > HOT_ANCHOR)
-    hot = cut(hot.select("covering", "anchor", F.ceil(F.col("count") / HOT_ANCHOR).cast("int").alias("n_salts")))
-    if not hot.isEmpty():  # replicas are dealt out over the salts, homes go to each
-        dealt = rows.drop("salt").join(hot, ["covering", "anchor"], "left").withColumn("n_salts", F.coalesce("n_salts", F.lit(1)))
-        own = F.pmod(F.xxhash64("fp"), F.col("n_salts")).cast("int")
-        salts = F.when(F.col("home"), F.sequence(F.lit(0), F.col("n_salts") - 1)).otherwise(F.array(own))
-        rows = dealt.withColumn("salt", F.explode(salts)).drop("n_salts")
+            whole = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for k in range(0, len(whole), 1000):
+                fp = whole[k : k + 1000]
+                for guest, flips in kinds:
+                    at, who = anchors(fp, flips)
+                    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.full(len(at), guest)), pa.array(fp[who].view(np.int64))], names=["anchor", "guest", "fp"])
+
+    fps, kind = distinct.select("fp"), "anchor long, guest boolean, fp long"
+    hosts = fps.mapInArrow(lambda batches: replicate(batches, [(False, near)]), kind)
+    hot = cut(hosts.groupBy("anchor").count().filter(F.col("count") > HOT_HOSTS).select("anchor", F.ceil(F.col("count") / HOT_HOSTS).cast("int").alias("side")))
+    rows = fps.mapInArrow(lambda batches: replicate(batches, [(False, near), (True, far)]), kind)
+    n_hot = hot.count()
+    if n_hot:
+        own = F.pmod(F.xxhash64("fp"), F.col("side")).cast("int")
+        cells = F.transform(F.sequence(F.lit(0), F.col("side") - 1), lambda k: F.when(F.col("guest"), k * F.col("side") + own).otherwise(own * F.col("side") + k))
+        placed = rows.join(F.broadcast(hot) if n_hot <= SMALL else hot, "anchor", "left").withColumn("side", F.coalesce("side", F.lit(1)))
+        rows = placed.select("anchor", F.explode(cells).alias("cell"), "guest", "fp")
+    else:
+        rows = rows.select("anchor", F.lit(0).alias("cell"), "guest", "fp")
 
     def compare(batches):
-        key, home, other = None, [], []
-
-        def done():
-            a, b = link_group(np.concatenate(home), np.concatenate(other), threshold)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
-
+        key, cell = None, Cell()
         for batch in batches:
-            k, at, fp, own, salt = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            fp = fp.view(np.uint64)
-            new = np.nonzero((np.diff(at) != 0) | (np.diff(k) != 0) | (np.diff(salt) != 0))[0] + 1
-            for s, e in zip([0, *new.tolist()], [*new.tolist(), len(at)]):
-                if s == e:
-                    continue
-                if (now := (k[s], at[s], salt[s])) != key:
-                    if key is not None:
-                        yield done()
-                    key, home, other = now, [], []
-                home.append(fp[s:e][own[s:e]])
-                other.append(fp[s:e])
-        if key is not None:
-            yield done()
-
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(n, "covering", "anchor", "salt").sortWithinPartitions("covering", "anchor", "salt")
-    return dealt.select("covering", "anchor", "fp", "home", "salt").mapInArrow(compare, "a long, b long").distinct()
-
-
-def digest(edges: DataFrame) -> tuple:
-    """Equal for equal sets of links."""
-    h = F.xxhash64("a", "b")
-    return tuple(edges.agg(F.count("*"), F.sum(h.cast("decimal(38,0)")), F.bit_xor(h)).first())
-
-
-def connect(edges: DataFrame) -> DataFrame:
-    """(node, root) of each node in `edges` (a, b): smallest node of its component, by large-star and small-star rounds.
-
-    Only minima and links are shuffled, links of a hub by a join that Spark
-    can split; each round is cut by a checkpoint.
-    """
-    edges = cut(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a != b").distinct()
-        after = cut(small)
-        same, edges = digest(after) == digest(edges), after
-        if same:
-            break
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 3, shingle: int = 3, product: bool | None = None) -> DataFrame:
-    """One row (doc_id, fingerprint, component_id) per document: the smallest id reachable over links."""
+            at, number, guest, fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            if not len(at):
+                continue
+            fp, found = fp.view(np.uint64), []
+            new = (np.diff(at) != 0) | (np.diff(number) != 0)
+            groups = np.concatenate([[0], np.nonzero(new)[0] + 1])
+            starts = np.concatenate([[0], np.nonzero(new | (np.diff(guest) != 0))[0] + 1])
+            ends = np.append(starts[1:], len(at))
+            # Hosts come first, so a group that starts with a guest has none, unless the last batch ended in it.
+            hosted = ~guest[groups]
+            hosted[0] |= (at[0], number[0]) == key
+            live = hosted[np.searchsorted(groups, starts, side="right") - 1]
+            for s, e in zip(starts[live].tolist(), ends[live].tolist()):
+                if (now := (at[s], number[s])) != key:
+                    found += cell.stars()
+                    key, cell = now, Cell()
+                if guest[s]:
+                    found += cell.compare(fp[s:e], threshold)
+                else:
+                    cell.parts.append(fp[s:e])
+            if found:
+                yield batch_of(found)
+        if last := cell.stars():
+            yield batch_of(last)
+
+    def batch_of(found: list) -> pa.RecordBatch:
+        u, v = (np.concatenate(x).view(np.int64) for x in zip(*found))
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    met = rows.repartition("anchor", "cell").sortWithinPartitions("anchor", "cell", "guest")
+    return met.mapInArrow(compare, "u long, v long").filter("u <> v").distinct()
+
+
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 3, shingle: int = 3) -> DataFrame:
+    """One row (doc_id, text_hash, fp, root, component_id) per document; root is the smallest fingerprint of its group."""
     fps = cut(fingerprints(docs, id_col, text_col, shingle))
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = connect(links(distinct.select("fp"), threshold, product))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    roots = connected_components(links(distinct, threshold)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     best = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(best, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return fps.join(rooted.join(best, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """One row (doc_id, fingerprint, component_id) per document: the smallest id reachable over links."""
+    return grouped(docs, **options).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with one of each group, that with the smallest id; rows without an id stay."""
-    found = near_duplicates(docs, id_col, text_col)
-    stay = found.filter("doc_id = component_id").select("doc_id").distinct()
-    rows = as_row(docs, id=id_col).withColumn("doc_id", F.col("id").cast("long"))
-    kept = rows.join(stay, "doc_id").dropDuplicates(["doc_id"])
-    return kept.select("row.*").unionByName(docs.filter(F.col(id_col).isNull()))
+    """The documents with one row of each group: that with the smallest id, rows without an id last; the smallest hash of the text settles ties.
+
+    A row is known by its id and its text's hash, so different texts that share an id, or have none, are told apart.
+    """
+    found = grouped(docs, id_col=id_col, text_col=text_col)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("stay_id"), F.col("text_hash").alias("stay_hash"))).alias("first"))
+    stay = first.select("first.stay_id", "first.stay_hash")
+    rows = as_row(docs, id=id_col, text=text_col).select("row", F.col("id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    kept = rows.join(stay, F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("text_hash") == F.col("stay_hash")))
+    return kept.dropDuplicates(["doc_id", "text_hash"]).select("row.*")

@@ -125,27 +125,36 @@ def brute_components(texts):
     return sorted(((d, f"{f:016x}", least.get(top(k))) for k, (d, f) in enumerate(fps)), key=repr)
 
 
-@pytest.mark.parametrize("product", [False, True])
-def test_simhash_edges(edges, product):
-    got = rows(simhash.near_duplicates(edges, product=product), "doc_id", "fingerprint", "component_id")
+@pytest.mark.parametrize("hot", [None, 1])
+def test_simhash_edges(edges, hot, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_HOSTS", hot or simhash.HOT_HOSTS)
+    got = rows(simhash.near_duplicates(edges), "doc_id", "fingerprint", "component_id")
     assert got == brute_components(EDGES)
 
 
+def test_keep_one_by_row(spark):
+    texts = [(1, "one text of its own here"), (1, "quite another text under that id"), (2, "a third text, unlike both of them"), (1, "one text of its own here"), (None, "a text without any id"), (None, "a text without any id"), (None, "another text without id"), (None, "a third text, unlike both of them"), (3, None), (4, None)]
+    kept = simhash.keep_one(spark.createDataFrame(texts, "doc_id long, text string"))
+    want = [(1, "one text of its own here"), (1, "quite another text under that id"), (2, "a third text, unlike both of them"), (None, "a text without any id"), (None, "another text without id"), (3, None)]
+    assert rows(kept, "doc_id", "text") == sorted(want, key=repr)
+
+
 def test_simhash_table(docs):
     want = brute_components(texts_of(docs))
     assert rows(simhash.near_duplicates(docs), "doc_id", "fingerprint", "component_id") == want
     assert rows(simhash.keep_one(docs), "doc_id") == sorted({(r[2],) for r in want}, key=repr)
 
 
-def test_anchor_links_lose_none(spark):
+def test_anchor_links_lose_none(spark, monkeypatch):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 64, 150, dtype=np.uint64)
     near = [int(x) ^ sum(1 << int(b) for b in rng.choice(64, n, replace=False)) for x in base for n in (1, 2, 3, 4)]
     fps = np.unique(np.array([*base.tolist(), *near], np.uint64))
     want = {(int(fps[i]), int(fps[j])) for i in range(len(fps)) for j in range(i) if int(fps[i] ^ fps[j]).bit_count() <= 3}
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
-    for product in (False, True):
-        edges = {tuple(np.array(r, np.int64).view(np.uint64).tolist()) for r in simhash.links(df, product=product).collect()}
+    for hot in (simhash.HOT_HOSTS, 2):
+        monkeypatch.setattr(simhash, "HOT_HOSTS", hot)
+        edges = {tuple(np.array(r, np.int64).view(np.uint64).tolist()) for r in simhash.links(df).collect()}
         label = {int(x): int(x) for x in fps}
 
         def top(k, label=label):
