@@ -8,38 +8,45 @@ unknown. At the bottom stands the word's share of all other words, or
 `alpha` over the number of all words plus one for a word that only this
 document has.
 
-The work is three relations. n-grams: documents are dealt by hash over shards
-of about SHARD_BYTES of text, and each shard's different n-grams go out once
-with their counts, packed by hash bucket. Counts: each bucket adds up its
-n-grams over the shards and answers each shard, n-gram by n-gram, how often
-the others have it. Scores: each shard joins the answers to the exploded
-n-grams of its documents, and sums per document. A frequent n-gram takes at
-most one entry a shard, so no bucket is hot. n-grams are compared by hashes
-that are SPARE_BITS longer than the number of all n-grams takes (64 bits at
-most), so about one lookup in 16 million meets a wrong n-gram.
+The work is three relations. Text: documents are numbered by shards of about
+SHARD_BYTES and written once. Counts: the different n-grams of each shard are
+rows (h, shard, n), partitioned by the hash h, added up by a grouping, and
+joined to the shards' rows again; what other shards have too is written as
+rows (shard, h, total). Scores: these rows meet the n-grams that are exploded
+from their shard's documents, and are summed per document. A frequent n-gram
+has at most one row a shard, so no hash is hot. The hashes have 64 bits at
+any size of the table.
+
+To bound the disk, the n-grams are counted in `passes` classes of hashes, and
+the shards are scored in as many parts; each frees its shuffle files before
+the next begins. Rows are in proportion to the text; each pass reads it.
 
 Words are op1's: digits, lower-cased A-Z letters and characters beyond ASCII.
 Defined cases: null or word-free text has no words, score 0 and a null mean;
-repeated rows are separate documents, each vouching for the others; an empty
-table gives no rows; other columns are ignored.
+repeated rows are separate documents, each vouching for the others; a very
+long text is a shard of its own, hashed in one piece; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heronry.llm.common import pack_bounds, text_buffers, text_bytes
+from heronry.llm.common import pack_bounds, text_buffers
 from heronry.llm.decontaminate import hash_words
+from heronry.session import fresh_path, shuffles_dropped
 
 ORDER = 3
 ALPHA = 0.4
 SHARD_BYTES = 12 << 20
-SPARE_BITS = 21
+PASSES = 6
 #: Bytes of text that are hashed at once.
 STEP_BYTES = 1 << 20
+TEXT = "shard long, doc_id long, text string, n_words long"
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -58,62 +65,29 @@ def grams(words: np.ndarray, doc: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
-def chunks(texts: pa.Array, order: int, bits: int = 64):
-    """Yields (first text, next text, words' documents, n-gram hashes of so many bits by order) of consecutive texts; 0 stands for none."""
+def chunks(texts: pa.Array, order: int):
+    """Yields (first text, next text, words' documents, n-gram hashes by order) of consecutive texts; 0 stands for none."""
     offsets, raw = text_buffers(texts)
     bounds = pack_bounds(np.diff(offsets), STEP_BYTES)
     for a, b in zip(bounds, bounds[1:]):
         part = offsets[a : b + 1]
         words, doc = hash_words(raw[part[0] : part[-1]], part - part[0])
-        yield a, b, doc, [np.where(h == 0, h, np.maximum(h >> np.uint64(64 - bits), np.uint64(1))) for h in grams(words, doc, order)]
+        yield a, b, doc, grams(words, doc, order)
 
 
-def count_texts(texts: pa.Array, order: int, bits: int):
-    """Yields (different n-grams, their counts) by order."""
+def count_texts(texts: list[pa.Array], order: int, classes: int = 1, own: int = 0):
+    """Yields (different n-grams of the class `own`, their counts) by order."""
     found: list[list] = [[] for _ in range(order)]
-    for _, _, _, hashes in chunks(texts, order, bits):
-        for out, h in zip(found, hashes):
-            out.append(h[h != 0])
+    for part in texts:
+        for _, _, _, hashes in chunks(part, order):
+            for out, h in zip(found, hashes):
+                out.append(h[(h != 0) & (h % np.uint64(classes) == own)])
     for k in range(order):
         whole = np.concatenate(found[k]) if found[k] else np.zeros(0, np.uint64)
         found[k] = []
         yield np.unique(whole, return_counts=True)
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Numbers byte plane by byte plane; planes of zeros take nothing."""
-    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8).T
-    used = [k for k in range(8) if planes[k].any()]
-    return bytes([sum(1 << k for k in used)]) + len(values).to_bytes(4, "little") + b"".join(planes[k].tobytes() for k in used)
-
-
-def unpack(blob: bytes) -> np.ndarray:
-    n = int.from_bytes(blob[1:5], "little")
-    planes = np.zeros((n, 8), np.uint8)
-    at = 5
-    for k in range(8):
-        if blob[0] >> k & 1:
-            planes[:, k] = np.frombuffer(blob, np.uint8, n, at)
-            at += n
-    return planes.reshape(-1).view("<u8")
-
-
-def pack_sorted(values: np.ndarray) -> bytes:
-    """Sorted hashes as their differences."""
-    return pack(np.diff(values, prepend=np.uint64(0)))
-
-
-def unpack_sorted(blob: bytes) -> np.ndarray:
-    return np.cumsum(unpack(blob), dtype=np.uint64)
-
-
-def bucket_edges(values: np.ndarray, n_buckets: int, bits: int) -> list[int]:
-    """Where each bucket of the hash range starts and the last ends in sorted `values`."""
-    step = (1 << bits) // n_buckets + 1
-    inner = np.searchsorted(values, np.array([k * step for k in range(1, n_buckets)], np.uint64)).tolist() if n_buckets > 1 else []
-    return [0, *inner, len(values)]
-
-
 def in_other_documents(doc: np.ndarray, h: np.ndarray, values: np.ndarray, whole: np.ndarray) -> np.ndarray:
     """How often other documents have the n-gram that ends at each word; `whole`: how often all have the n-grams `values`."""
     out = np.zeros(len(h), np.int64)
@@ -147,71 +121,110 @@ def score_documents(doc: np.ndarray, others: list[np.ndarray], n_docs: int, tota
     return n_words, [np.bincount(doc[level == n], minlength=n_docs) for n in range(top + 1)], sums
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, alpha: float = ALPHA, shards: int | None = None) -> DataFrame:
-    """One row per document: doc_id, n_words, n_unknown, n_1 .. n_order (words by the order they are scored at), log_score, mean_log_score."""
+def sharded(docs: DataFrame, shard_bytes: int) -> DataFrame:
+    """(shard, doc_id, text, n_words) of each document; the shards of a task follow one another."""
+
+    def number(batches):
+        first, size = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            offsets, raw = text_buffers(batch.column(1))
+            ends = size + offsets[1:]
+            n_words = np.zeros(batch.num_rows, np.int64)
+            bounds = pack_bounds(np.diff(offsets), STEP_BYTES)
+            for a, b in zip(bounds, bounds[1:]):
+                part = offsets[a : b + 1]
+                n_words[a:b] = np.bincount(hash_words(raw[part[0] : part[-1]], part - part[0])[1], minlength=b - a)
+            yield pa.RecordBatch.from_arrays([pa.array(first + (ends - np.diff(offsets)) // shard_bytes), *batch.columns, pa.array(n_words)], names=["shard", "doc_id", "text", "n_words"])
+            size = int(ends[-1]) if len(ends) else size
+
+    return docs.mapInArrow(number, TEXT)
+
+
+def shard_grams(text: DataFrame, order: int, classes: int, own: int) -> DataFrame:
+    """(h, shard, n) of the different n-grams of each shard, of one class of hashes."""
+
+    def explode(batches):
+        def rows():
+            for h, n in count_texts(texts, order, classes, own):
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), shard)), pa.array(n.astype(np.int64))], names=["h", "shard", "n"])
+
+        shard, texts = None, []
+        for batch in batches:
+            shards = batch.column(0).to_numpy(zero_copy_only=False)
+            starts = [0, *(np.nonzero(np.diff(shards))[0] + 1).tolist()]
+            for s, e in zip(starts, [*starts[1:], len(shards)]):
+                if e > s:
+                    if shards[s] != shard:
+                        yield from rows() if texts else ()
+                        shard, texts = shards[s], []
+                    texts.append(batch.column(1).slice(s, e - s))
+        yield from rows() if texts else ()
+
+    return text.select("shard", "text").mapInArrow(explode, "h long, shard long, n long")
+
+
+def known_elsewhere(grams_of: DataFrame) -> DataFrame:
+    """(shard, h, total) of the n-grams that other shards have too."""
+    dealt = grams_of.repartition("h")
+    counts = dealt.groupBy("h").agg(F.sum("n").alias("total"))
+    return dealt.join(counts.hint("shuffle_hash"), "h").filter("total > n").select("shard", "h", "total")
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, alpha: float = ALPHA, shard_bytes: int = SHARD_BYTES, passes: int = PASSES) -> DataFrame:
+    """One row per document: doc_id, n_words, n_unknown, n_1 .. n_order (words by the order they are scored at), log_score, mean_log_score.
+
+    Runs at once, and leaves the scores in the shared folder.
+    """
+    spark = docs.sparkSession
+    base = fresh_path(spark, "lm-score")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    size = text_bytes(rows, "text")
-    n = shards or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
-    bits = min(64, SPARE_BITS + (order * size).bit_length())
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).repartition(n, "shard")
-
-    def table(out: list[tuple], schema: str) -> pa.Table:
-        names = [x.split()[0] for x in schema.split(", ")]
-        kinds = [pa.binary() if x.endswith("binary") else pa.int32() for x in schema.split(", ")]
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * len(names), kinds)], names=names)
-
-    asked, answered = "bucket int, shard int, n int, grams binary, counts binary", "shard int, bucket int, n int, more binary"
-
-    def count_shard(key, frame):
-        out = []
-        for k, (values, counts) in enumerate(count_texts(frame["text"].combine_chunks(), order, bits), 1):
-            edges = bucket_edges(values, n, bits)
-            out += [(b, key[0].as_py(), k, pack_sorted(values[s:e]), pack(counts[s:e])) for b, (s, e) in enumerate(zip(edges, edges[1:])) if e > s or k == 1]
-        return table(out, asked)
-
-    def add_up(key, frame):
-        out = []
-        orders, asking = frame["n"].to_numpy(), frame["shard"].to_numpy()
-        for k in np.unique(orders).tolist():
-            rows = np.nonzero(orders == k)[0].tolist()
-            sent = [unpack_sorted(frame["grams"][i].as_py()) for i in rows]
-            counts = [unpack(frame["counts"][i].as_py()).astype(np.int64) for i in rows]
-            values, at = np.unique(np.concatenate(sent), return_inverse=True)
-            total = np.bincount(at, weights=np.concatenate(counts), minlength=len(values)).astype(np.int64)
-            end = 0
-            for i, own in zip(rows, counts):
-                start, end = end, end + len(own)
-                more = total[at[start:end]] - own
-                if more.any():
-                    out.append((int(asking[i]), key[0].as_py(), k, pack(more)))
-            if k == 1:  # each bucket tells each shard how many words it has counted
-                words = pack(total.sum(keepdims=True))
-                out += [(int(asking[i]), key[0].as_py(), 0, words) for i in rows]
-        return table(out, answered)
-
-    sent = dealt.groupBy("shard").applyInArrow(count_shard, asked)
-    back = sent.groupBy("bucket").applyInArrow(add_up, answered)
     names = ["n_unknown", *(f"n_{k}" for k in range(1, order + 1))]
     schema = "doc_id long, n_words long, " + ", ".join(f"{x} long" for x in names) + ", log_score double, mean_log_score double"
-
-    def finish(key, frame, answers):
-        texts, orders, buckets = frame["text"].combine_chunks(), answers["n"].to_numpy(), answers["bucket"].to_numpy()
-        known = []
-        for k, (values, whole) in enumerate(count_texts(texts, order, bits), 1):
-            edges = bucket_edges(values, n, bits)
-            for i in np.nonzero(orders == k)[0].tolist():
-                whole[edges[buckets[i]] : edges[buckets[i] + 1]] += unpack(answers["more"][i].as_py()).astype(np.int64)
-            known.append((values, whole))
-        total = sum(int(unpack(answers["more"][i].as_py())[0]) for i in np.nonzero(orders == 0)[0].tolist())
-        ints, sums = [np.zeros((order + 2, 0), np.int64)], [np.zeros(0)]
-        for a, b, doc, hashes in chunks(texts, order, bits):
-            others = [in_other_documents(doc, h, *x) if len(doc) else np.zeros(0, np.int64) for h, x in zip(hashes, known)]
-            words, levels, log = score_documents(doc, others, b - a, total, alpha)
-            ints.append(np.stack([words, *levels]))
-            sums.append(log)
-        ints, sums = np.concatenate(ints, axis=1), np.concatenate(sums)
-        mean = pa.array(np.round(sums / np.maximum(ints[0], 1), 6), mask=ints[0] == 0)
-        columns = [frame["doc_id"].combine_chunks(), *(pa.array(x) for x in ints), pa.array(np.round(sums, 6)), mean]
-        return pa.Table.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
-
-    return dealt.groupBy("shard").cogroup(back.groupBy("shard")).applyInArrow(finish, schema)
+    part = F.pmod(F.xxhash64("shard"), F.lit(passes)).cast("int")
+
+    def write(df: DataFrame, name: str, *by: str) -> None:
+        df.write.option("compression", "zstd").partitionBy(*by).parquet(f"{base}/{name}")
+
+    with shuffles_dropped(spark):
+        write(sharded(rows, shard_bytes), "text")
+        text = spark.read.schema(TEXT).parquet(f"{base}/text")
+        total = text.agg(F.sum("n_words")).first()[0] or 0
+        for own in range(passes):
+            known = known_elsewhere(shard_grams(text, order, passes, own)).withColumn("part", part)
+            write(known.sortWithinPartitions("part", "shard", "h"), f"known/class={own}", "part")
+
+        def finish(key, frame, answers):
+            texts = frame["text"].combine_chunks()
+            h, more = answers["h"].to_numpy().view(np.uint64), answers["total"].to_numpy()
+            order_of = np.argsort(h)
+            h, more = h[order_of], more[order_of]
+            counts = []
+            for values, whole in count_texts([texts], order):
+                at = np.searchsorted(h, values)
+                there = np.nonzero(h[np.minimum(at, len(h) - 1)] == values)[0] if len(h) else at[:0]
+                whole[there] = more[at[there]]
+                counts.append((values, whole))
+            ints, sums = [np.zeros((order + 2, 0), np.int64)], [np.zeros(0)]
+            for a, b, doc, hashes in chunks(texts, order):
+                others = [in_other_documents(doc, h, *x) if len(doc) else np.zeros(0, np.int64) for h, x in zip(hashes, counts)]
+                words, levels, log = score_documents(doc, others, b - a, total, alpha)
+                ints.append(np.stack([words, *levels]))
+                sums.append(log)
+            ints, sums = np.concatenate(ints, axis=1), np.concatenate(sums)
+            mean = pa.array(np.round(sums / np.maximum(ints[0], 1), 6), mask=ints[0] == 0)
+            columns = [frame["doc_id"].combine_chunks(), *(pa.array(x) for x in ints), pa.array(np.round(sums, 6)), mean]
+            return pa.Table.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
+
+        known = spark.read.schema("shard long, h long, total long, class int, part int").parquet(f"{base}/known")
+        for own in range(passes):
+            asked = text.filter(part == own).groupBy("shard")
+            write(asked.cogroup(known.filter(F.col("part") == own).select("shard", "h", "total").groupBy("shard")).applyInArrow(finish, schema), f"scores/part={own}")
+    drop(spark, f"{base}/text")
+    drop(spark, f"{base}/known")
+    return spark.read.schema(schema).parquet(*(f"{base}/scores/part={own}" for own in range(passes)))
+
+
+def drop(spark, path: str) -> None:
+    """Deletes a folder in the shared folder."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

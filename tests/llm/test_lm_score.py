@@ -44,10 +44,17 @@ def same(got, want):
         assert a[6] == pytest.approx(b[6], abs=2e-5) and (a[7] is b[7] is None or a[7] == pytest.approx(b[7], abs=2e-5))
 
 
-@pytest.mark.parametrize("shards", [None, 1, 3])
-def test_edges(spark, shards):
-    df = spark.createDataFrame(EDGES, "doc_id long, text string").selectExpr("*", "1 AS shard", "'x' AS n")
-    same(lm_score.score(df, shards=shards).collect(), brute(EDGES))
+@pytest.mark.parametrize("options", [{}, {"shard_bytes": 10}, {"shard_bytes": 40, "passes": 1}])
+def test_edges(spark, options):
+    df = spark.createDataFrame(EDGES, "doc_id long, text string").selectExpr("*", "1 AS shard", "'x' AS n", "2 AS part")
+    same(lm_score.score(df, **options).collect(), brute(EDGES))
+
+
+def test_rows_follow_the_text(spark):
+    """n-gram rows grow with the text, not with shards times partitions."""
+    df = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(50))) for k in range(64)], "doc_id long, text string")
+    sizes = [lm_score.shard_grams(lm_score.sharded(df.limit(n).coalesce(1), 100), 3, 1, 0).count() for n in (16, 64)]
+    assert sizes == [16 * (50 + 49 + 48), 64 * (50 + 49 + 48)]
 
 
 def test_table(spark):
