@@ -4,12 +4,16 @@ Each task cuts its documents into shards and sorts the word suffixes of each
 shard (words as ranks, several to an integer key; only suffixes that still
 tie are sorted on). Every suffix of every benchmark item is then found in
 every shard by binary search, which gives all places of its first `window`
-words, and each match is followed word by word to its full length. Documents
-don't move: there is no shuffle.
+words. For the longest matches, the first place of a window in a document and
+its first place in an item are followed both ways to the match's full length;
+further places of the same window count as hits but aren't followed, so the
+work is in proportion to the windows found. Documents don't move: there is no
+shuffle.
 
 The benchmark is a stated query set. It is read in blocks of bounded bytes
-(`block_bytes`), each broadcast and searched over all documents in turn, so a
-larger benchmark makes more passes, not a larger broadcast.
+(`block_bytes`), each prepared once on the driver, broadcast and searched over
+all documents in turn, so a larger benchmark makes more passes, not a larger
+broadcast.
 
 A word is a run of digits, lower-cased A-Z letters and characters beyond
 ASCII. Words are compared by 64-bit hashes; a wrong hit would need 13 words
@@ -18,8 +22,10 @@ in a row with one of them colliding.
 Defined cases: null text has no words; an item without words has no window;
 an item id of null is listed as "null"; items with the same text are all
 listed, ids repeated in the benchmark once; a document never matches across
-its end; repeated documents are each reported; empty tables give no rows or
-no hits; columns named dc_* are replaced, others pass through.
+its end; repeated documents are each reported; a very long text is a shard of
+its own, and texts of one repeated word take no more work than others; empty
+tables give no rows or no hits; columns named dc_* are replaced, others pass
+through.
 """
 
 from __future__ import annotations
@@ -86,32 +92,47 @@ def hash_words(raw: np.ndarray, offsets: np.ndarray, places: bool = False):
 
 
 class Queries:
-    """The suffixes of a block of benchmark items, one for each different window."""
+    """The suffixes of a block of benchmark items, one for each different window, and where the windows stand."""
 
     def __init__(self, ids: list[str], texts: list[str | None], window: int):
-        column = pa.array(texts, pa.string())
-        offsets, raw = text_buffers(column)
-        words, item = hash_words(raw, offsets)
-        self.ids, self.words = ids, words
+        offsets, raw = text_buffers(pa.array(texts, pa.string()))
+        self.words, item = hash_words(raw, offsets)
+        self.ids = sorted(set(ids))
+        id_of = np.searchsorted(np.array(self.ids, object), np.array(ids, object)) if ids else np.zeros(0, np.int64)
         self.starts = np.searchsorted(item, np.arange(len(ids)))
         self.ends = np.searchsorted(item, np.arange(len(ids)), side="right")
-        at, known = [], {}
-        self.items: list[list[int]] = []
-        self.places: list[list[tuple[int, int]]] = []  # (item, its word)
-        for k, (s, e) in enumerate(zip(self.starts.tolist(), self.ends.tolist())):
-            n = min(window, e - s)
-            for p in range(s, e - n + 1) if n else ():
-                key = words[p : p + n].tobytes()
-                if key not in known:
-                    known[key] = len(at)
-                    at.append((p, n))
-                    self.items.append([])
-                    self.places.append([])
-                if k not in self.items[known[key]]:
-                    self.items[known[key]].append(k)
-                self.places[known[key]].append((k, p - s))
-        self.at = np.array(at, np.int64).reshape(-1, 2)
-        self.depth = int(self.at[:, 1].max()) if len(at) else 0
+        size = self.ends - self.starts
+        place = np.arange(len(self.words))
+        length = np.minimum(window, size[item])
+        begins = place + length <= self.ends[item]
+        place, length, item = place[begins], length[begins], item[begins]
+        lanes = np.stack([self.rolled(place, length, WEIGHT[k]) for k in (3, 4)], axis=1) if len(place) else np.zeros((0, 2), np.uint64)
+        _, first, which = np.unique(lanes, axis=0, return_index=True, return_inverse=True)
+        which = which.reshape(-1)
+        self.at = np.stack([place[first], length[first]], axis=1) if len(place) else np.zeros((0, 2), np.int64)
+        self.depth = int(self.at[:, 1].max()) if len(self.at) else 0
+        # Of each window: its different ids, and its first place in each item.
+        pairs = np.unique(np.stack([which, id_of[item]], axis=1), axis=0) if len(place) else np.zeros((0, 2), np.int64)
+        self.id_edge, self.id_list = np.searchsorted(pairs[:, 0], np.arange(len(self.at) + 1)), pairs[:, 1]
+        seen, once = np.unique(np.stack([which, item], axis=1), axis=0, return_index=True) if len(place) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
+        self.place_edge = np.searchsorted(seen[:, 0], np.arange(len(self.at) + 1))
+        self.place_list, self.place_item, self.id_of_item = place[once], seen[:, 1], id_of
+
+    def rolled(self, place: np.ndarray, length: np.ndarray, base: np.uint64) -> np.ndarray:
+        """64-bit hash of the words of each window."""
+        out = length.astype(np.uint64)
+        for k in range(int(length.max())):
+            inside = np.nonzero(k < length)[0]
+            x = (out[inside] ^ self.words[place[inside] + k]) * base
+            out[inside] = x ^ (x >> np.uint64(31))
+        return out
+
+
+def listed(edge: np.ndarray, values: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index into `which`, value) of the values that each of `which` has."""
+    count = edge[which + 1] - edge[which]
+    own = np.repeat(np.arange(len(which)), count)
+    return own, values[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(edge[which], count)]
 
 
 class Shard:
@@ -201,24 +222,40 @@ def search(words: np.ndarray, doc: np.ndarray, n_docs: int, q: Queries):
     where = np.searchsorted(shard.first, starts, side="right") - 1
     runs = np.stack([where, starts - shard.first[where], ends - shard.first[where]], axis=1)
     in_doc = np.searchsorted(shard.first, places, side="right") - 1
-    pairs = np.unique(np.stack([in_doc, which], axis=1), axis=0)
-    doc_items = np.unique([(d, k) for d, w in pairs.tolist() for k in q.items[w]], axis=0)
-    # Only the first place of a diagonal (document word minus item word) is followed to the match's end.
-    rows = np.array([(d, k, p, i) for d, p, w in zip(in_doc.tolist(), places.tolist(), which.tolist()) for k, i in q.places[w]], np.int64)
+    order = np.lexsort((places, which, in_doc))
+    in_doc, which, places = in_doc[order], which[order], places[order]
+    once = np.ones(len(order), bool)
+    once[1:] = (np.diff(in_doc) != 0) | (np.diff(which) != 0)
+    in_doc, which, places = in_doc[once], which[once], places[once]  # the first place of each window in each document
+    own, ids = listed(q.id_edge, q.id_list, which)
+    doc_items = np.unique(np.stack([in_doc[own], ids], axis=1), axis=0)
+    own, at_item = listed(q.place_edge, q.place_list, which)
+    _, item = listed(q.place_edge, q.place_item, which)
+    rows = np.stack([in_doc[own], item, places[own], at_item], axis=1)
+    # Only the first place of a diagonal (document word minus item word) is followed to the match's ends.
     rows = rows[np.lexsort((rows[:, 2], rows[:, 2] - rows[:, 3], rows[:, 1], rows[:, 0]))]
     chained = np.zeros(len(rows), bool)
     chained[1:] = (np.diff(rows[:, 0]) == 0) & (np.diff(rows[:, 1]) == 0) & (np.diff(rows[:, 2]) == 1) & (np.diff(rows[:, 3]) == 1)
     head = rows[~chained]
-    size = np.zeros(len(head), np.int64)
-    live = np.arange(len(head))
+    back = followed(shard, ranks, head[:, 2] - 1, head[:, 3] - 1, head[:, 3] - q.starts[head[:, 1]], -1)
+    size = back + followed(shard, ranks, head[:, 2], head[:, 3], q.ends[head[:, 1]] - head[:, 3], 1)
+    whole = np.stack([head[:, 0], head[:, 1], head[:, 2] - back - shard.first[head[:, 0]], head[:, 3] - back - q.starts[head[:, 1]], size], axis=1)
+    return shard.n_words, runs, doc_items, np.unique(whole, axis=0)
+
+
+def followed(shard: Shard, ranks: np.ndarray, doc_word: np.ndarray, item_word: np.ndarray, most: np.ndarray, turn: int) -> np.ndarray:
+    """How many words agree from each pair of places on, backwards or forwards, within `most`; a block of words at a time."""
+    size, live, block = np.zeros(len(most), np.int64), np.arange(len(most)), np.arange(16)
     while len(live):
-        at_item = q.starts[head[live, 1]] + head[live, 3] + size[live]
-        inside = at_item < q.ends[head[live, 1]]
-        same = inside & (shard.ranks[np.minimum(head[live, 2] + size[live], len(shard.ranks) - 1)] == ranks[np.minimum(at_item, len(ranks) - 1)])
-        live = live[same]
-        size[live] += 1
-    matches = np.stack([head[:, 0], head[:, 1], head[:, 2] - shard.first[head[:, 0]], head[:, 3], size], axis=1)
-    return shard.n_words, runs, doc_items, matches
+        step = size[live, None] + block
+        inside = step < most[live, None]
+        a = np.clip(doc_word[live, None] + turn * step, 0, len(shard.ranks) - 1)
+        b = np.clip(item_word[live, None] + turn * step, 0, max(0, len(ranks) - 1))
+        same = inside & (doc_word[live, None] + turn * step >= 0) & (shard.ranks[a] == ranks[b])
+        agreed = np.where(same.all(axis=1), len(block), same.argmin(axis=1))
+        size[live] += agreed
+        live = live[agreed == len(block)]
+    return size
 
 
 def nested(n: int, owner: np.ndarray, values: pa.Array) -> pa.Array:
@@ -235,11 +272,11 @@ def annotate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", i
     for k in range(n_blocks):
         block = items if n_blocks == 1 else items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == k)
         rows = block.collect()  # bounded by block_bytes
-        sent = sc.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
+        sent = sc.broadcast(Queries([r[0] for r in rows], [r[1] for r in rows], window))
         schema = with_columns(base.schema, ADDED)
 
         def run(batches, sent=sent, schema=schema):
-            q = Queries(*sent.value, window)
+            q = sent.value
             for batch in batches:
                 offsets, raw = text_buffers(batch.column(batch.schema.names.index(text_col)))
                 bounds = pack_bounds(np.diff(offsets), shard_bytes)
@@ -248,14 +285,12 @@ def annotate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", i
                     words, doc = hash_words(raw[part[0] : part[-1]], part - part[0])
                     n, runs, doc_items, matches = search(words, doc, b - a, q)
                     ids = pa.array(q.ids, pa.string())
-                    order = np.lexsort(([q.ids[i] for i in doc_items[:, 1]], doc_items[:, 0])) if len(doc_items) else np.zeros(0, np.int64)
-                    doc_items = doc_items.reshape(-1, 2)[order]
                     as32 = lambda x: pa.array(x.astype(np.int32))
                     added = {
                         "dc_n_words": pa.array(n.astype(np.int64)),
                         "dc_runs": nested(b - a, runs[:, 0], pa.StructArray.from_arrays([as32(runs[:, 1]), as32(runs[:, 2])], ["start", "end"])),
                         "dc_items": nested(b - a, doc_items[:, 0], ids.take(pa.array(doc_items[:, 1]))),
-                        "dc_matches": nested(b - a, matches[:, 0], pa.StructArray.from_arrays([ids.take(pa.array(matches[:, 1])), as32(matches[:, 2]), as32(matches[:, 3]), as32(matches[:, 4])], ["item_id", "doc_word", "item_word", "n_words"])),
+                        "dc_matches": nested(b - a, matches[:, 0], pa.StructArray.from_arrays([ids.take(pa.array(q.id_of_item[matches[:, 1]])), as32(matches[:, 2]), as32(matches[:, 3]), as32(matches[:, 4])], ["item_id", "doc_word", "item_word", "n_words"])),
                     }
                     yield add_arrays(batch.slice(a, b - a), schema, added)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -92,6 +93,34 @@ def test_decontamination_table(spark, docs):
     assert kept.columns == docs.columns and rows(kept, "doc_id") == sorted(((r[0],) for r in want if not r[5]), key=repr)
 
 
+def longest_by_hand(text, item):
+    a, b = (WORD.findall(x.translate(LOWER)) for x in (text, item))
+    best, row = 0, [0] * (len(b) + 1)
+    for x in a:
+        row = [0, *(row[j] + 1 if x == y else 0 for j, y in enumerate(b))]
+        best = max(best, *row)
+    return best if best >= min(13, len(b)) else 0
+
+
+def test_longest_match_by_hand(spark):
+    rng = np.random.default_rng(5)
+    passage = " ".join(f"p{k}" for k in range(40))
+    pool = [" ".join(rng.choice(["a", "b"], 60)), "a b " * 40, "a " * 70, passage, f"{passage} x y z", f"q r {passage} s {passage} t u"]
+    texts = [(i, f"{rng.choice(['', 'lead '])}{x} {y}") for i, (x, y) in enumerate((x, y) for x in pool for y in pool)]
+    for item in (passage, f"{passage} s {passage} t", "a " * 50, "a b " * 30):
+        found = decontaminate.report(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), spark.createDataFrame([("i", item)], "item_id string, text string"), shard_bytes=2000)
+        got = {r.doc_id: r.longest_match for r in found.collect()}
+        assert got == {i: longest_by_hand(t, item) for i, t in texts}, item
+
+
+def test_repeated_words_take_no_longer(spark):
+    same = "zero " * 200_000
+    began = time.time()
+    found = decontaminate.report(spark.createDataFrame([(1, same), (2, "zero one " * 100_000)], "doc_id long, text string"), spark.createDataFrame([("a", same), ("b", "one zero " * 100_000), ("c", "zero")], "item_id string, text string")).collect()
+    assert [(r.doc_id, r.n_hit, r.n_items, r.longest_match) for r in sorted(found)] == [(1, 200_000, 2, 200_000), (2, 200_000, 2, 199_999)]
+    assert time.time() - began < 60
+
+
 def test_longest_match(spark, items):
     text = "zero " + " ".join(ITEM.split()[:14]) + " end"
     found = decontaminate.report(spark.createDataFrame([(1, text)], "doc_id long, text string"), items).first()
