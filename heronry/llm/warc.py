@@ -8,8 +8,10 @@ records. Records are rows until `render` makes their bytes; `read_records`
 reads the files' bytes back. Nothing is shuffled.
 
 Defined cases: null url or html is empty; markup that never closes runs to
-the end of the page; repeated pages give repeated records; an empty table
-gives no rows; other columns are ignored.
+the end of the page, but for a title, whose text is then shown; a very long
+page takes time in proportion to its length; repeated pages give repeated
+records; of files, damaged or cut-off records are left out and the others
+read; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import hashlib
 import html as entities
 import re
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,20 +32,53 @@ VERSION = "WARC/1.1"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace of RFC 4122
 DATE = "2024-01-01T00:00:00Z"
 
-HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.DOTALL | re.IGNORECASE)
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.DOTALL | re.IGNORECASE)
-LANGUAGE = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.IGNORECASE)
-LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-BLOCK = re.compile(r"</?(?:p|div|br|hr|h[1-6]|ul|ol|li|dl|dt|dd|table|tr|td|th|thead|tbody|section|article|aside|header|footer|nav|main|form|blockquote|pre|figure|figcaption|body|html|head)\b[^>]*>", re.IGNORECASE)
-TAG = re.compile(r"</?[A-Za-z!?][^>]*>")
-
-
-def plain_text(page: str) -> str:
-    """Visible text of a page, a line for each block."""
-    shown = TITLE.sub(" ", HIDDEN.sub(" ", page))
-    shown = entities.unescape(TAG.sub("", BLOCK.sub("\n", shown)))
-    lines = (" ".join(line.split()) for line in shown.split("\n"))
-    return "\n".join(line for line in lines if line)
+#: Elements whose content isn't shown, and elements that begin a line of their own (fixed values).
+HIDDEN = frozenset("script style noscript template svg".split())
+BLOCK = frozenset("p div br hr h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th thead tbody section article aside header footer nav main form blockquote pre figure figcaption body html head".split())
+
+MARK = re.compile(r"<(?:(!--)|(/?)([A-Za-z][A-Za-z0-9:-]*)|[!?])")
+LANGUAGE = re.compile(r"(?:^|\s)lang\s*=\s*[\"']?([A-Za-z-]+)", re.IGNORECASE)
+HREF = re.compile(r"(?:^|[\s\"'/])href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+CLOSING = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in (*HIDDEN, "title")}
+GZIP = b"\x1f\x8b\x08"
+STEP = 1 << 16
+
+
+def read_page(page: str) -> tuple[str | None, str, list[str], str]:
+    """(title, language, links, visible text with a line for each block) of a page, in one pass: a mark is never read twice."""
+    shown, links, title, language, at, unclosed = [], [], None, "", 0, set()
+    while mark := MARK.search(page, at):
+        shown.append(page[at : mark.start()])
+        if mark[1]:
+            end = page.find("-->", mark.end())
+            shown.append(" ")
+            at = len(page) if end < 0 else end + 3
+            continue
+        end = page.find(">", mark.end())
+        at = len(page) if end < 0 else end + 1
+        name, inside = (mark[3] or "").lower(), page[mark.end() : max(end, mark.end())]
+        if mark[2] or not name:
+            shown.append("\n" if name in BLOCK else "")
+            continue
+        if name in CLOSING and name not in unclosed:
+            close = CLOSING[name].search(page, at)
+            if close is None and name in HIDDEN:
+                at = len(page)
+            elif close is None:
+                unclosed.add(name)
+            else:
+                title = page[at : close.start()] if name == "title" and title is None else title
+                at = close.end()
+            shown.append(" ")
+        elif name in BLOCK:
+            shown.append("\n")
+        if name == "html" and not language and (found := LANGUAGE.search(inside)):
+            language = found[1].lower()
+        if name == "a" and (found := HREF.search(inside)):
+            links.append(next(x for x in found.groups() if x is not None))
+    shown.append(page[at:])
+    lines = (" ".join(line.split()) for line in entities.unescape("".join(shown)).split("\n"))
+    return title, language, links, "\n".join(line for line in lines if line)
 
 
 def digest(block: bytes) -> str:
@@ -68,15 +104,12 @@ def derive(response: dict) -> tuple[dict, dict]:
     head, payload = split_http(response["block"])
     page = payload.decode("utf-8", "replace")
     shared = {"refers_to": response["record_id"], "target_uri": response["target_uri"], "date": response["date"], "source_payload_digest": digest(payload)}
-    title = TITLE.search(page)
-    language = LANGUAGE.search(page)
-    links = [next(x for x in m if x is not None) for m in (m.groups() for m in LINK.finditer(HIDDEN.sub(" ", page)))]
-    fields = [("title", " ".join(entities.unescape(title[1]).split()) if title else ""), ("language", language[1].lower() if language else ""), *(("outlink", entities.unescape(x).replace("\n", " ").replace("\r", " ")) for x in links)]
+    title, language, links, text = read_page(page)
+    fields = [("title", " ".join(entities.unescape(title or "").split())), ("language", language), *(("outlink", entities.unescape(x).replace("\n", " ").replace("\r", " ")) for x in links)]
     fields += [(f"source-{k.strip().lower()}", v.strip()) for k, _, v in (line.partition(":") for line in head.split("\r\n")[1:]) if k.strip()]
     described = "".join(f"{k}: {v}\r\n" for k, v in fields).encode()
-    text = plain_text(page).encode()
     metadata = shared | {"type": "metadata", "record_id": record_id(response["record_id"], "metadata"), "content_type": "application/warc-fields", "block": described}
-    conversion = shared | {"type": "conversion", "record_id": record_id(response["record_id"], "conversion"), "content_type": "text/plain; charset=utf-8", "block": text}
+    conversion = shared | {"type": "conversion", "record_id": record_id(response["record_id"], "conversion"), "content_type": "text/plain; charset=utf-8", "block": text.encode()}
     return metadata, conversion
 
 
@@ -92,17 +125,42 @@ def render(record: dict) -> bytes:
     return gzip.compress(head + record["block"] + b"\r\n\r\n", mtime=0)
 
 
+def members(data: bytes):
+    """What the gzip members of a file hold; of a damaged member what comes before the damage, then on to the next one."""
+    at = data.find(GZIP)
+    while at >= 0:
+        inflate, out, fed = zlib.decompressobj(31), [], at
+        try:
+            while not inflate.eof and fed < len(data):
+                out.append(inflate.decompress(data[fed : fed + STEP]))
+                fed += STEP
+            after = min(fed, len(data)) - len(inflate.unused_data)
+        except zlib.error:
+            after = at + 1
+        yield b"".join(out)
+        at = data.find(GZIP, after)
+
+
 def parse(data: bytes) -> list[dict]:
-    """The records in a file's bytes, plain or gzip members."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+    """The records in a file's bytes, plain or gzip members; a record that is cut off or has no length is left out."""
+    if data[:2] == GZIP[:2]:
+        return [r for part in members(data) for r in parse_plain(part)]
+    return parse_plain(data)
+
+
+def parse_plain(data: bytes) -> list[dict]:
     out, at = [], 0
     while (start := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", start)
+        end = data.find(b"\r\n\r\n", start)
+        if end < 0:
+            break
         headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in data[start:end].decode("utf-8", "replace").split("\r\n")[1:])}
-        size = int(headers.get("content-length", 0))
-        out.append({"type": headers.get("warc-type", ""), "record_id": headers.get("warc-record-id", ""), "refers_to": headers.get("warc-refers-to"), "target_uri": headers.get("warc-target-uri", ""), "date": headers.get("warc-date", ""), "source_payload_digest": headers.get("x-source-payload-digest"), "content_type": headers.get("content-type", ""), "block": data[end + 4 : end + 4 + size]})
-        at = end + 4 + size
+        size = headers.get("content-length", "")
+        if not size.isdecimal() or end + 4 + int(size) > len(data):
+            at = start + 5
+            continue
+        at = end + 4 + int(size)
+        out.append({"type": headers.get("warc-type", ""), "record_id": headers.get("warc-record-id", ""), "refers_to": headers.get("warc-refers-to"), "target_uri": headers.get("warc-target-uri", ""), "date": headers.get("warc-date", ""), "source_payload_digest": headers.get("x-source-payload-digest"), "content_type": headers.get("content-type", ""), "block": data[end + 4 : at]})
     return out
 
 
@@ -110,14 +168,20 @@ RECORD = "page_id long, type string, record_id string, refers_to string, target_
 FIELDS = [x.split()[0] for x in RECORD.split(", ")]
 
 
+def batch_of(rows: list[dict]) -> pa.RecordBatch:
+    kinds = {"page_id": pa.int64(), "block": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array([r[f] for r in rows], kinds.get(f, pa.string())) for f in FIELDS], names=FIELDS)
+
+
 def read_records(files: DataFrame) -> DataFrame:
     """Records of the files in a binaryFile DataFrame; page_id is null."""
 
     def run(batches):
         for batch in batches:
             for data in batch.column(0):
-                rows = [{"page_id": None} | r for r in parse(data.as_py())]
-                yield pa.RecordBatch.from_arrays([pa.array([r[f] for r in rows], pa.int64() if f == "page_id" else pa.binary() if f == "block" else pa.string()) for f in FIELDS], names=FIELDS)
+                found = parse(data.as_py() or b"")
+                for k in range(0, len(found), 500):
+                    yield batch_of([{"page_id": None} | r for r in found[k : k + 500]])
 
     return files.select("content").mapInArrow(run, RECORD)
 
@@ -135,7 +199,7 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 rows = [response_of(i, u, h, date) for i, u, h in zip(*(c.to_pylist() for c in batch.slice(k, 500).columns))]
-                yield pa.RecordBatch.from_arrays([pa.array([r[f] for r in rows], pa.int64() if f == "page_id" else pa.binary() if f == "block" else pa.string()) for f in FIELDS], names=FIELDS)
+                yield batch_of(rows)
 
     return pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(run, RECORD)
 
@@ -147,7 +211,7 @@ def derivatives(records: DataFrame) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 rows = [{"page_id": r["page_id"]} | d for r in batch.slice(k, 500).to_pylist() for d in derive(r)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[f] for r in rows], pa.int64() if f == "page_id" else pa.binary() if f == "block" else pa.string()) for f in FIELDS], names=FIELDS)
+                yield batch_of(rows)
 
     return records.filter("type = 'response'").select(*FIELDS).mapInArrow(run, RECORD)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gzip
+import time
+
 import numpy as np
 import pytest
 
@@ -118,6 +121,77 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.report(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("piece", ["<a ", "<title>", "<script>", "<!--", "<html lang", "<a href='", "</script ", "<", "href=", "&amp", "<a href=x "])
+def test_pages_in_linear_time(piece):
+    began = time.process_time()
+    warc.derive(warc.response_of(1, "u", piece * (1_000_000 // len(piece))))
+    assert time.process_time() - began < 5
+
+
+def brute_page(page):
+    """Title, language, links and lines by Python's own parser of HTML."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.title, self.language, self.links, self.out, self.hidden, self.titled = None, "", [], [], 0, False
+
+        def handle_starttag(self, tag, attrs):
+            if tag in warc.HIDDEN:
+                self.hidden += 1
+            self.titled = tag == "title"
+            self.language = self.language or (dict(attrs).get("lang") or "").lower() * (tag == "html")
+            if tag == "a" and not self.hidden and dict(attrs).get("href") is not None:
+                self.links.append(dict(attrs)["href"])
+            self.out.append("\n" if tag in warc.BLOCK else "")
+
+        def handle_endtag(self, tag):
+            self.hidden -= tag in warc.HIDDEN
+            self.titled = False
+            self.out.append("\n" if tag in warc.BLOCK else "")
+
+        def handle_data(self, data):
+            if self.titled:
+                self.title = data if self.title is None else self.title
+            elif not self.hidden:
+                self.out.append(data)
+
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    lines = (" ".join(x.split()) for x in "".join(reader.out).split("\n"))
+    return " ".join((reader.title or "").split()), reader.language, reader.links, "\n".join(x for x in lines if x)
+
+
+def test_warc_table_against_another_parser(spark):
+    pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
+    html = {r.page_id: r for r in pages.collect()}
+    found = {(r.page_id, r.type): r for r in warc.report(pages).collect()}
+    assert len(found) == 2 * len(html)
+    for k, page in html.items():
+        title, language, links, text = brute_page(page.html)
+        told = found[k, "metadata"].content.split("\r\n")
+        assert told[:2] == [f"title: {title}", f"language: {language}"], k
+        assert [x[9:] for x in told if x.startswith("outlink: ")] == links, k
+        assert found[k, "conversion"].content == text, k
+        digests = {found[k, t].source_payload_digest for t in ("metadata", "conversion")}
+        assert digests == {warc.digest(page.html.encode())} and found[k, "metadata"].target_uri == page.url
+        assert found[k, "metadata"].refers_to == found[k, "conversion"].refers_to == warc.record_id(str(k), page.url)
+
+
+def test_damaged_files():
+    records = [warc.response_of(k, f"u{k}", f"<p>page {k} " + "x" * 900) for k in range(6)]
+    whole = [warc.render(r) for r in records]
+    ids = lambda data: [r["record_id"] for r in warc.parse(data)]
+    want = [r["record_id"] for r in records]
+    assert ids(b"".join(whole)) == want and ids(b"") == ids(b"\x1f\x8b") == ids(b"WARC/1.1\r\nContent-Length: x\r\n\r\n") == []
+    assert ids(b"".join(whole)[:-40]) == want[:-1]
+    assert ids(b"".join([whole[0], whole[1][:60], whole[2], b"noise", whole[3][:30] + b"\xff" * 30 + whole[3][60:], *whole[4:]])) == [want[k] for k in (0, 2, 4, 5)]
+    plain = [gzip.decompress(x) for x in whole]
+    assert ids(b"".join(plain)[:-40]) == want[:-1]
+
+
 def test_pipeline(spark, tmp_path):
     words = lambda k, n=80: " ".join(f"w{k}x{j}" for j in range(n)) + "."
     item = " ".join(f"bench{j}" for j in range(20))
