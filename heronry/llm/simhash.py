@@ -47,6 +47,8 @@ BLOCKS = (0, 23)
 HOT_HOSTS = 20_000
 #: So many rows of hot anchors are broadcast at most; more are joined.
 SMALL = 1 << 18
+#: Groups of up to so many pairs are compared many at a time.
+PAIRS = 4096
 #: Most entries of one comparison matrix.
 MATRIX = 1 << 22
 
@@ -162,6 +164,21 @@ def join_labels(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> None:
             label[:] = up
 
 
+def compare_small(fp: np.ndarray, starts: np.ndarray, splits: np.ndarray, ends: np.ndarray, threshold: int):
+    """Links of many small groups at once (hosts from starts, guests from splits, to ends): each guest's first host with the guest and with its other hosts."""
+    n_hosts, n_guests = splits - starts, ends - splits
+    count = n_hosts * n_guests
+    group = np.repeat(np.arange(len(count)), count)
+    within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    guest, host = splits[group] + within // n_hosts[group], starts[group] + within % n_hosts[group]
+    far = fp[guest] ^ fp[host]
+    met = np.nonzero((np.bitwise_count(far) <= threshold) & (far != 0))[0]
+    guest, host = guest[met], host[met]
+    first = np.diff(guest, prepend=-1) != 0
+    leader = host[np.nonzero(first)[0]][np.cumsum(first) - 1] if len(met) else host
+    return [(fp[np.where(first, guest, host)], fp[leader])]
+
+
 class Cell:
     """The hosts of one cell of an anchor, and which of them belong together."""
 
@@ -224,22 +241,22 @@ def links(distinct: DataFrame, threshold: int = 3) -> DataFrame:
             if not len(at):
                 continue
             fp, found = fp.view(np.uint64), []
-            new = (np.diff(at) != 0) | (np.diff(number) != 0)
-            groups = np.concatenate([[0], np.nonzero(new)[0] + 1])
-            starts = np.concatenate([[0], np.nonzero(new | (np.diff(guest) != 0))[0] + 1])
+            starts = np.concatenate([[0], np.nonzero((np.diff(at) != 0) | (np.diff(number) != 0))[0] + 1])
             ends = np.append(starts[1:], len(at))
-            # Hosts come first, so a group that starts with a guest has none, unless the last batch ended in it.
-            hosted = ~guest[groups]
-            hosted[0] |= (at[0], number[0]) == key
-            live = hosted[np.searchsorted(groups, starts, side="right") - 1]
-            for s, e in zip(starts[live].tolist(), ends[live].tolist()):
+            guests = np.add.reduceat(guest.astype(np.int64), starts)
+            splits = ends - guests  # hosts come first
+            goes_on = np.zeros(len(starts), bool)
+            goes_on[0], goes_on[-1] = (at[0], number[0]) == key, True  # the last group may go on in the next batch
+            small = ~goes_on & (guests * (splits - starts) <= PAIRS)
+            found += compare_small(fp, starts[small], splits[small], ends[small], threshold)
+            for s, m, e in zip(*(x[~small].tolist() for x in (starts, splits, ends))):
                 if (now := (at[s], number[s])) != key:
                     found += cell.stars()
                     key, cell = now, Cell()
-                if guest[s]:
-                    found += cell.compare(fp[s:e], threshold)
-                else:
-                    cell.parts.append(fp[s:e])
+                if m > s:
+                    cell.parts.append(fp[s:m])
+                if e > m and cell.parts:
+                    found += cell.compare(fp[m:e], threshold)
             if found:
                 yield batch_of(found)
         if last := cell.stars():
