@@ -333,8 +333,8 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **opti
         F.size("dc_items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "dc_items").cast("binary"), 256).alias("items_sha256"),
         contaminated(n_hit, F.col("dc_n_words")).alias("contaminated"),
-        F.coalesce(longest["n"], F.lit(0)).alias("longest_match"),
-        (-longest["at"]).alias("longest_at"),
+        F.coalesce(longest["n"], F.lit(0)).cast("long").alias("longest_match"),
+        (-longest["at"]).cast("long").alias("longest_at"),
         longest["item"].alias("longest_item"),
     )
 

@@ -10,14 +10,14 @@ document has.
 
 The work is three relations. Text: documents are numbered by shards of about
 SHARD_BYTES and written once. Counts: the different n-grams of each shard are
-rows (h, shard, n), partitioned by the hash h, added up by a grouping, and
-joined to the shards' rows again; what other shards have too is written as
-rows (shard, h, total). Scores: these rows meet the n-grams that are exploded
-from their shard's documents, and are summed per document. A frequent n-gram
-has at most one row a shard, so no hash is hot. The hashes have 64 bits at
-any size of the table.
-
-To bound the disk, the n-grams are counted in `passes` classes of hashes, and
+rows (h, shard and n in one number), partitioned by the hash h, added up by a
+grouping, and joined to the shards' rows again; what other shards have too is
+written as rows (shard, h, total). Scores: these rows meet the n-grams that
+are exploded from their shard's documents, and are summed per document. A
+frequent n-gram has at most one row a shard (one for every 2^20 occurrences),
+so no hash is hot. The hashes have 64 bits at any size of the table.
+
+To bound the disk, the n-grams are counted in `passes` ranges of hashes, and
 the shards are scored in as many parts; each frees its shuffle files before
 the next begins. Rows are in proportion to the text; each pass reads it.
 
@@ -42,8 +42,12 @@ from heronry.session import fresh_path, shuffles_dropped
 
 ORDER = 3
 ALPHA = 0.4
-SHARD_BYTES = 12 << 20
-PASSES = 6
+SHARD_BYTES = 8 << 20
+PASSES = 5
+#: Bits of the count beside the shard's number; larger counts take several rows.
+COUNT_BITS = 20
+#: Bits of the shard's number in its task.
+TASK_BITS = 16
 #: Bytes of text that are hashed at once.
 STEP_BYTES = 1 << 20
 TEXT = "shard long, doc_id long, text string, n_words long"
@@ -75,13 +79,14 @@ def chunks(texts: pa.Array, order: int):
         yield a, b, doc, grams(words, doc, order)
 
 
-def count_texts(texts: list[pa.Array], order: int, classes: int = 1, own: int = 0):
-    """Yields (different n-grams of the class `own`, their counts) by order."""
+def count_texts(texts: list[pa.Array], order: int, passes: int = 1, own: int = 0):
+    """Yields (different n-grams of the range `own`, their counts) by order."""
     found: list[list] = [[] for _ in range(order)]
+    low, high = (np.uint64(max(1, own * (1 << 64) // passes)), np.uint64((own + 1) * (1 << 64) // passes - 1))
     for part in texts:
         for _, _, _, hashes in chunks(part, order):
             for out, h in zip(found, hashes):
-                out.append(h[(h != 0) & (h % np.uint64(classes) == own)])
+                out.append(h[(h >= low) & (h <= high)])
     for k in range(order):
         whole = np.concatenate(found[k]) if found[k] else np.zeros(0, np.uint64)
         found[k] = []
@@ -125,7 +130,7 @@ def sharded(docs: DataFrame, shard_bytes: int) -> DataFrame:
     """(shard, doc_id, text, n_words) of each document; the shards of a task follow one another."""
 
     def number(batches):
-        first, size = TaskContext.get().partitionId() << 32, 0
+        first, size = TaskContext.get().partitionId() << TASK_BITS, 0
         for batch in batches:
             offsets, raw = text_buffers(batch.column(1))
             ends = size + offsets[1:]
@@ -134,19 +139,22 @@ def sharded(docs: DataFrame, shard_bytes: int) -> DataFrame:
             for a, b in zip(bounds, bounds[1:]):
                 part = offsets[a : b + 1]
                 n_words[a:b] = np.bincount(hash_words(raw[part[0] : part[-1]], part - part[0])[1], minlength=b - a)
-            yield pa.RecordBatch.from_arrays([pa.array(first + (ends - np.diff(offsets)) // shard_bytes), *batch.columns, pa.array(n_words)], names=["shard", "doc_id", "text", "n_words"])
+            yield pa.RecordBatch.from_arrays([pa.array(first + np.minimum((ends - np.diff(offsets)) // shard_bytes, (1 << TASK_BITS) - 1)), *batch.columns, pa.array(n_words)], names=["shard", "doc_id", "text", "n_words"])
             size = int(ends[-1]) if len(ends) else size
 
     return docs.mapInArrow(number, TEXT)
 
 
-def shard_grams(text: DataFrame, order: int, classes: int, own: int) -> DataFrame:
-    """(h, shard, n) of the different n-grams of each shard, of one class of hashes."""
+def shard_grams(text: DataFrame, order: int, passes: int, own: int) -> DataFrame:
+    """(h, told) of the different n-grams of each shard, of one range of hashes; told is the shard's number and, in the last COUNT_BITS, n."""
+    most = (1 << COUNT_BITS) - 1
 
     def explode(batches):
         def rows():
-            for h, n in count_texts(texts, order, classes, own):
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), shard)), pa.array(n.astype(np.int64))], names=["h", "shard", "n"])
+            for h, n in count_texts(texts, order, passes, own):
+                while len(h):
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array((int(shard) << COUNT_BITS) + np.minimum(n, most))], names=["h", "told"])
+                    h, n = h[n > most], n[n > most] - most
 
         shard, texts = None, []
         for batch in batches:
@@ -160,14 +168,16 @@ def shard_grams(text: DataFrame, order: int, classes: int, own: int) -> DataFram
                     texts.append(batch.column(1).slice(s, e - s))
         yield from rows() if texts else ()
 
-    return text.select("shard", "text").mapInArrow(explode, "h long, shard long, n long")
+    return text.select("shard", "text").mapInArrow(explode, "h long, told long")
 
 
 def known_elsewhere(grams_of: DataFrame) -> DataFrame:
     """(shard, h, total) of the n-grams that other shards have too."""
     dealt = grams_of.repartition("h")
-    counts = dealt.groupBy("h").agg(F.sum("n").alias("total"))
-    return dealt.join(counts.hint("shuffle_hash"), "h").filter("total > n").select("shard", "h", "total")
+    n = F.col("told").bitwiseAND((1 << COUNT_BITS) - 1)
+    counts = dealt.groupBy("h").agg(F.sum(n).alias("total"))
+    known = dealt.join(counts.hint("shuffle_hash"), "h").filter(F.col("total") > n)
+    return known.select(F.shiftright("told", COUNT_BITS).alias("shard"), "h", "total")
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, alpha: float = ALPHA, shard_bytes: int = SHARD_BYTES, passes: int = PASSES) -> DataFrame:
@@ -191,7 +201,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         total = text.agg(F.sum("n_words")).first()[0] or 0
         for own in range(passes):
             known = known_elsewhere(shard_grams(text, order, passes, own)).withColumn("part", part)
-            write(known.sortWithinPartitions("part", "shard", "h"), f"known/class={own}", "part")
+            write(known.sortWithinPartitions("part", "shard", "h"), f"known/pass={own}", "part")
 
         def finish(key, frame, answers):
             texts = frame["text"].combine_chunks()
@@ -215,7 +225,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
             columns = [frame["doc_id"].combine_chunks(), *(pa.array(x) for x in ints), pa.array(np.round(sums, 6)), mean]
             return pa.Table.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
 
-        known = spark.read.schema("shard long, h long, total long, class int, part int").parquet(f"{base}/known")
+        known = spark.read.schema("shard long, h long, total long, pass int, part int").parquet(f"{base}/known")
         for own in range(passes):
             asked = text.filter(part == own).groupBy("shard")
             write(asked.cogroup(known.filter(F.col("part") == own).select("shard", "h", "total").groupBy("shard")).applyInArrow(finish, schema), f"scores/part={own}")

@@ -50,6 +50,11 @@ def test_edges(spark, options):
     same(lm_score.score(df, **options).collect(), brute(EDGES))
 
 
+def test_large_counts(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "COUNT_BITS", 3)
+    same(lm_score.score(spark.createDataFrame(EDGES, "doc_id long, text string"), shard_bytes=10).collect(), brute(EDGES))
+
+
 def test_rows_follow_the_text(spark):
     """n-gram rows grow with the text, not with shards times partitions."""
     df = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(50))) for k in range(64)], "doc_id long, text string")
