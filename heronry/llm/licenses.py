@@ -7,22 +7,25 @@ bound of its training data): worded differently, with words lost or added,
 against prose, and against licences of unlisted families, the unknown class.
 A held-out part calibrates the temperature. A stretch is a finding if the
 calibrated probability that it is no licence is below one half. A family in it
-counts if one of its templates shares enough word pairs with the stretch and
-the family's probability there, or in the words that the template covers,
-reaches `confident`. If none counts, the stretch is "unknown". Of findings
-that overlap, the one that shares most stays.
+counts if one of its templates shares enough word pairs with the stretch, the
+words that name the licence among them, and the family's probability there, or
+in the words that the template covers, reaches `confident`. If none counts, the
+stretch is "unknown"; disclaimers that many licences share are a family of
+their own. Of findings that overlap, the one that shares most stays; of equal
+ones the surer, the longer and the first.
 
 Paragraphs are the lines between blank lines; they are read across their line
 ends, and each of their lines is read alone too. Of more than SEGMENT words,
-stretches of that many are read, overlapping by half, so all words are read. Nothing is
-shuffled. Defined cases: null text has no paragraphs; repeated rows are
-scanned each; an empty table gives no rows; columns named lc_* are replaced,
-others pass through.
+stretches of that many are read, overlapping by half, so all words of a very long
+text are read. Nothing is shuffled. Defined cases: null text has no paragraphs;
+repeated rows are scanned each; an empty table gives no rows; columns named lc_*
+are replaced, others pass through.
 """
 
 from __future__ import annotations
 
 import random
+import re
 from functools import cache
 
 import numpy as np
@@ -35,20 +38,54 @@ from heronry.llm.common import add_arrays, pack_bounds, text_buffers, with_colum
 from heronry.llm.decontaminate import hash_words
 from heronry.llm.lm_score import grams
 
-#: Statements of each family (fixed values).
+#: Statements of each family (fixed values); the words in brackets name the licence and have to stand in the text.
 TEMPLATES = {
-    "agpl": ["licensed under the GNU Affero General Public License version 3", "GNU Affero General Public License as published by the Free Software Foundation", "This program is distributed under the AGPL-3.0"],
-    "apache": ["Licensed under the Apache License, Version 2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "SPDX-License-Identifier: Apache-2.0"],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Released under the BSD 3-Clause License", "This code is governed by a BSD-style license"],
-    "cc0": ["To the extent possible under law, the author has waived all copyright and related rights to this work", "released under CC0 1.0 Universal public domain dedication", "dedicated to the public domain under CC0"],
-    "cc_by": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", "available under the terms of the Creative Commons Attribution License"],
-    "cc_by_nc": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "for non-commercial use under CC BY-NC-SA"],
-    "cc_by_sa": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "text is available under the Creative Commons Attribution-ShareAlike License"],
-    "gpl": ["This work is licensed under the GNU General Public License, version 3", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: GPL-2.0-or-later"],
-    "lgpl": ["under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "licensed under the GNU Lesser General Public License version 2.1", "distributed under the LGPL-2.1"],
-    "mit": ["Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT"],
-    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "licensed under the Mozilla Public License Version 2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/"],
+    "agpl": ["licensed under the [GNU Affero General Public] License version 3", "under the terms of the [GNU Affero General Public] License as published by the Free Software Foundation", "See the [GNU Affero General Public] License for more details", "You should have received a copy of the [GNU Affero General Public] License along with this program", "This program is distributed under the [AGPL]-3.0", "SPDX-License-Identifier: [AGPL]-3.0-or-later"],
+    "apache": [
+        "Licensed under the [Apache License], Version 2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.[apache].org/licenses/LICENSE-2.0", "SPDX-License-Identifier: [Apache]-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
+        "See the License for the specific language governing permissions and limitations under the License",
+    ],
+    "boost": ["Distributed under the [Boost Software License], Version 1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "SPDX-License-Identifier: [BSL]-1.0"],
+    "bsd": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Released under the [BSD] 3-Clause License", "This code is governed by a [BSD]-style license", "SPDX-License-Identifier: [BSD]-3-Clause",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    ],
+    "cc0": ["To the extent possible under law, the author has waived all copyright and related rights to this work", "released under [CC0] 1.0 Universal public domain dedication", "dedicated to the public domain under [CC0]"],
+    "cc_by": ["Licensed under [CC BY] 4.0", "This work is licensed under a [Creative Commons] Attribution 4.0 International License", "available under the terms of the [Creative Commons] Attribution License"],
+    "cc_by_nc": ["Licensed under [CC BY NC] 4.0", "This work is licensed under a [Creative Commons] Attribution-[NonCommercial] 4.0 International License", "for non-commercial use under [CC BY NC]-SA"],
+    "cc_by_sa": ["Licensed under [CC BY SA] 4.0", "This work is licensed under a [Creative Commons] Attribution-[ShareAlike] 4.0 International License", "text is available under the [Creative Commons] Attribution-[ShareAlike] License"],
+    "disclaimer": [
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
+        "ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED",
+        "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES",
+    ],
+    "epl": ["made available under the terms of the [Eclipse Public] License v2.0", "This program and the accompanying materials are made available under the terms of the [Eclipse Public] License which accompanies this distribution", "SPDX-License-Identifier: [EPL]-2.0"],
+    "gpl": [
+        "This work is licensed under the [GNU General Public] License, version 3", "you can redistribute it and/or modify it under the terms of the [GNU General Public] License as published by the Free Software Foundation", "SPDX-License-Identifier: [GPL]-2.0-or-later",
+        "See the [GNU General Public] License for more details", "You should have received a copy of the [GNU General Public] License along with this program", "either version 2 of the License, or (at your option) any later version", "distributed under the [GPL] version 2",
+    ],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+        "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS",
+        "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS", "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE", "Released under the [ISC License]", "SPDX-License-Identifier: [ISC]",
+    ],
+    "lgpl": [
+        "under the terms of the [GNU Lesser General Public] License as published by the Free Software Foundation", "licensed under the [GNU Lesser General Public] License version 2.1", "distributed under the [LGPL]-2.1", "SPDX-License-Identifier: [LGPL]-2.1-or-later",
+        "See the [GNU Lesser General Public] License for more details", "You should have received a copy of the [GNU Lesser General Public] License along with this library",
+    ],
+    "mit": [
+        "Released under the [MIT] License", "the [MIT License]", "and to permit persons to whom the Software is furnished to do so, subject to the following conditions", "SPDX-License-Identifier: [MIT]", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT",
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE",
+    ],
+    "mpl": ["This Source Code Form is subject to the terms of the [Mozilla Public] License, v. 2.0", "licensed under the [Mozilla Public] License Version 2.0", "If a copy of the [MPL] was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/", "SPDX-License-Identifier: [MPL]-2.0"],
     "reserved": ["All rights reserved", "Copyright reserved by the author, no part of this publication may be reproduced without permission", "Unauthorized copying of this file is strictly prohibited, proprietary and confidential"],
+    "unlicense": ["This is free and unencumbered software released into the public domain", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means", "SPDX-License-Identifier: [Unlicense]"],
+    "wtfpl": ["This program is free software. It comes without any warranty, to the extent permitted by applicable law", "redistribute it and/or modify it under the terms of the Do [What The Fuck] You Want To Public License, Version 2", "SPDX-License-Identifier: [WTFPL]", "licensed under the [WTFPL]"],
+    "zlib": ["This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions", "SPDX-License-Identifier: [Zlib]"],
 }
 #: Words of licences that no family lists, and sentences that are none (fixed values).
 OTHER_LICENCE = ["licensed under the {} License version 1.0", "This work is distributed under the terms of the {} Public License", "released under the {} Community License agreement", "subject to the {} Open Data License", "Permission to copy is granted under the {} license terms", "see the {} license for the terms of use and redistribution"]
@@ -173,7 +210,7 @@ def generated(per_class: int, seed: int) -> list[tuple[str, int]]:
             elif family == UNKNOWN:
                 out.append((worn(rng.choice(OTHER_LICENCE).format(name())), k))
             else:
-                out.append((worn(rng.choice(TEMPLATES[family])), k))
+                out.append((worn(plain_words(rng.choice(TEMPLATES[family]))), k))
     rng.shuffle(out)
     return out
 
@@ -195,14 +232,23 @@ def trained(per_class: int = 120, seed: int = 5, epochs: int = 60) -> Model:
     return model
 
 
+def plain_words(template: str) -> str:
+    return template.replace("[", "").replace("]", "")
+
+
+def pairs_of(text: str) -> np.ndarray:
+    """Hashes of the word pairs of a text, of its single word where it has one."""
+    one, two = grams(*words_of([text]), 2)
+    return np.unique(two[two != 0]) if len(one) > 1 else one
+
+
 @cache
-def template_pairs() -> dict[str, list[np.ndarray]]:
-    """Hashes of the word pairs of each template, of single words where it has one."""
+def template_pairs() -> dict[str, list[tuple[np.ndarray, np.ndarray]]]:
+    """(word pairs, pairs of the name) of each template."""
     out = {}
     for family, texts in (TEMPLATES | {UNKNOWN: [x.format("") for x in OTHER_LICENCE]}).items():
-        words, doc = words_of(texts)
-        one, two = grams(words, doc, 2)
-        out[family] = [np.unique(two[(doc == k) & (two != 0)]) if ((doc == k) & (two != 0)).any() else np.unique(one[doc == k]) for k in range(len(texts))]
+        names = [[pairs_of(x) for x in re.findall(r"\[(.*?)\]", t)] for t in texts]
+        out[family] = [(pairs_of(plain_words(t)), np.concatenate(n) if n else np.zeros(0, np.uint64)) for t, n in zip(texts, names)]
     return out
 
 
@@ -239,19 +285,26 @@ def segments(raw: np.ndarray, offsets: np.ndarray, words: np.ndarray, doc: np.nd
 
 
 def apart(found: list[tuple]) -> list[tuple]:
-    """Of findings (…, first and last word read) that overlap in a document, the one that shares most; unknown ones give way.
+    """Of findings (…, first and last word read, best class) that overlap in a document, the one that shares most; unknown ones give way.
 
-    A stretch without a template that the model doesn't call unknown is a part of the notice it was read with, if there is one.
+    A stretch without a template is a part of the notice that it was read with if the model doesn't call it unknown, and of any notice
+    of the family that the model takes it for. Findings of a family that follow closely are one notice.
     """
     kept: dict[int, list[tuple]] = {}
     for x in sorted(found, key=lambda x: (x[3] == UNKNOWN, -x[5], -x[4], -x[2], x)):
         own = kept.setdefault(x[0], [])
         if any(x[1] < y[1] + y[2] and y[1] < x[1] + x[2] for y in own):
             continue
-        if x[3] == UNKNOWN and x[4] < 0.5 and any(y[3] != UNKNOWN and y[6] <= x[1] and x[1] + x[2] <= y[7] for y in own):
+        if x[3] == UNKNOWN and x[4] < 0.5 and any(y[3] == x[8] or (y[3] != UNKNOWN and y[6] <= x[1] and x[1] + x[2] <= y[7]) for y in own):
             continue
         own.append(x)
-    return sorted(x[:6] for own in kept.values() for x in own)
+    out: list[tuple] = []
+    for x in sorted(x[:6] for own in kept.values() for x in own):
+        if out and x[3] != UNKNOWN and out[-1][0] == x[0] and out[-1][3] == x[3] and x[1] - out[-1][1] - out[-1][2] <= SEGMENT // 2:
+            y = out.pop()
+            x = (*y[:2], x[1] + x[2] - y[1], y[3], max(x[4], y[4]), max(x[5], y[5]))
+        out.append(x)
+    return out
 
 
 def scan_part(raw: np.ndarray, offsets: np.ndarray, model: Model, confident: float):
@@ -265,17 +318,17 @@ def scan_part(raw: np.ndarray, offsets: np.ndarray, model: Model, confident: flo
     for k in np.nonzero(p[:, 0] < 0.5)[0].tolist():
         own = words[at[k] : at[k] + n[k]]
         one, two = grams(own, np.zeros(len(own), np.int64), 2)
-        base, best, known = np.searchsorted(doc, doc[at[k]]), 0.0, []
+        base, best, known, both = np.searchsorted(doc, doc[at[k]]), 0.0, [], np.concatenate([one, two])
         for family, templates in template_pairs().items():
-            for t in templates:
-                share = float(np.isin(t, np.concatenate([one, two])).mean())
+            for t, name in templates:
+                share = float(np.isin(t, both).mean()) if np.isin(name, both).all() else 0.0
                 best = max(best, share if family in (UNKNOWN, CLASSES[2 + int(p[k, 2:].argmax())]) else 0.0)
                 if family != UNKNOWN and share >= MIN_SHARED:
                     there = np.nonzero(np.isin(two, t) | np.isin(one, t))[0]
                     ends = np.searchsorted(there, there + 5 * (len(t) + 1) // 4 + 1)  # where most of it stands together
                     most = int((ends - np.arange(len(there))).argmax())
                     known.append((int(there[most]), min(len(own), int(there[ends[most] - 1]) + 2), CLASSES.index(family), share))
-        counted, read = False, (int(at[k] - base), int(at[k] + n[k] - base))
+        counted, read = False, (int(at[k] - base), int(at[k] + n[k] - base), CLASSES[1 + int(p[k, 1:].argmax())])
         if known:
             pieces = [own[x:y] for x, y, _, _ in known]
             size = np.fromiter(map(len, pieces), np.int64, len(pieces))

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import gzip
+import re
+import textwrap
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from heronry.llm import chat, licenses, token_shards, warc
+from heronry.llm.common import text_buffers
+from heronry.llm.decontaminate import hash_words
 from heronry.llm.tokens import default_path, encode
 
 FOLDER = "/root/testdata/sf0.001"
@@ -76,6 +81,66 @@ def test_licences_across_lines(spark, text, paragraphs, want):
     assert found.lc_paragraphs == paragraphs and [r.family for r in found.lc_findings] == want
 
 
+#: Notices as real files have them (public texts).
+REAL = {
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details.\n\nYou should have received a copy of the GNU General Public License along with this program.  If not, see <https://www.gnu.org/licenses/>.",
+    "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.\n\nThis library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU Lesser General Public License for more details.",
+    "mit": "Copyright (c) 2019 Jane Roe\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "apache": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "agpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "wtfpl": "This program is free software. It comes without any warranty, to the extent permitted by applicable law. You can redistribute it and/or modify it under the terms of the Do What The Fuck You Want To Public License, Version 2, as published by Sam Hocevar. See http://www.wtfpl.net/ for more details.",
+    "unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+}
+
+
+@pytest.mark.parametrize("width, mark", [(0, ""), (72, ""), (60, "# "), (68, " * "), (40, "// ")])
+def test_licences_of_real_files(width, mark):
+    """Texts that the generator doesn't make, as they are wrapped and marked in files."""
+    texts = ["\n".join("\n".join((mark + x).rstrip() for x in (textwrap.wrap(p, width) if width else [p])) if p else mark.rstrip() for p in t.split("\n")) for t in REAL.values()]
+    offsets, raw = text_buffers(pa.array([f"def f():\n    pass\n\n{t}\n\nimport os\n" for t in texts]))
+    _, found = licenses.scan_part(raw, offsets, licenses.trained(), 0.5)
+    for k, family in enumerate(REAL):
+        families = {x[3] for x in found if x[0] == k} - {"disclaimer"}
+        assert family in families and families <= {family, "unknown"}, (family, families)
+    assert sum(x[3] == "unknown" for x in found) <= 6
+
+
+def test_licence_findings_by_windows():
+    """Stretches of the numpy path against a plain reading of the definition."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{j}" for j in range(n)) + tail for n in (1, 47, 48, 49, 200) for tail in ("", "\n", "\n\nmore words here", "\n \t\nx\ny")] + ["\n".join(" ".join(["word"] * int(n)) for n in rng.integers(0, 70, 9)) for _ in range(20)] + ["", "\n\n", "."]
+    offsets, raw = text_buffers(pa.array(texts))
+    words, doc, starts = hash_words(raw, offsets, places=True)
+    _, _, at, n, blocks = licenses.segments(raw, offsets, words, doc, starts)
+    got = sorted(zip(at.tolist(), n.tolist()))
+    want, paragraphs, base = set(), [], 0
+
+    def pieces(first, size):
+        last = first + size
+        while True:
+            want.add((first, min(licenses.SEGMENT, last - first)))
+            if first + licenses.SEGMENT >= last:
+                return
+            first += licenses.SEGMENT // 2
+
+    for text in texts:
+        paragraphs.append(0)
+        for block in re.split(r"\n(?:[\x20\x09\x0B-\x0D]*\n)+", text):
+            sizes = [len(re.findall(r"[0-9a-z]+", x)) for x in block.split("\n")]
+            if sum(sizes):
+                paragraphs[-1] += 1
+                pieces(base, sum(sizes))
+                for k, size in enumerate(sizes):
+                    if size:
+                        pieces(base + sum(sizes[:k]), size)
+                base += sum(sizes)
+    assert set(got) == want and blocks.tolist() == paragraphs
+
+
 def brute_chat(rows):
     talks: dict = {}
     for c, t, r, x in rows:
