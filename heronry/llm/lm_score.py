@@ -8,18 +8,19 @@ unknown. At the bottom stands the word's share of all other words, or
 `alpha` over the number of all words plus one for a word that only this
 document has.
 
-The work is three relations. Text: documents are numbered by shards of about
-SHARD_BYTES and written once. Counts: the different n-grams of each shard are
-rows (h, shard and n in one number), partitioned by the hash h, added up by a
-grouping, and joined to the shards' rows again; what other shards have too is
-written as rows (shard, h, total). Scores: these rows meet the n-grams that
-are exploded from their shard's documents, and are summed per document. A
+The work is three relations. Words: each document's words, as hashes in order,
+are written once, numbered by shards of about SHARD_BYTES of text. Counts: the different n-grams of each shard are
+rows (h, shard and n in one number), partitioned by the hash h and added up
+there by a window, which is the grouping and its join to the shards' rows in
+one sort; what other shards have too is written as a table of counts
+(shard, h, total). Scores: the counts are joined by shard and hash to the
+n-grams that are exploded from the documents, and summed per document. A
 frequent n-gram has at most one row a shard (one for every 2^20 occurrences),
 so no hash is hot. The hashes have 64 bits at any size of the table.
 
 To bound the disk, the n-grams are counted in `passes` ranges of hashes, and
 the shards are scored in as many parts; each frees its shuffle files before
-the next begins. Rows are in proportion to the text; each pass reads it.
+the next begins. Rows are in proportion to the text; each pass reads the words.
 
 Words are op1's: digits, lower-cased A-Z letters and characters beyond ASCII.
 Defined cases: null or word-free text has no words, score 0 and a null mean;
@@ -33,7 +34,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronry.llm.common import pack_bounds, text_buffers
@@ -43,14 +44,14 @@ from heronry.session import fresh_path, shuffles_dropped
 ORDER = 3
 ALPHA = 0.4
 SHARD_BYTES = 8 << 20
-PASSES = 5
+PASSES = 8
 #: Bits of the count beside the shard's number; larger counts take several rows.
 COUNT_BITS = 20
 #: Bits of the shard's number in its task.
 TASK_BITS = 16
-#: Bytes of text that are hashed at once.
-STEP_BYTES = 1 << 20
-TEXT = "shard long, doc_id long, text string, n_words long"
+#: Bytes of text that are hashed at once, and words that are scored at once.
+STEP_BYTES, STEP_WORDS = 1 << 20, 1 << 17
+WORDS = "shard long, doc_id long, words array<bigint>"
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -69,21 +70,20 @@ def grams(words: np.ndarray, doc: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
-def chunks(texts: pa.Array, order: int):
-    """Yields (first text, next text, words' documents, n-gram hashes by order) of consecutive texts; 0 stands for none."""
-    offsets, raw = text_buffers(texts)
-    bounds = pack_bounds(np.diff(offsets), STEP_BYTES)
+def chunks(words: pa.ListArray, order: int):
+    """Yields (first document, next document, words' documents, n-gram hashes by order) of consecutive documents; 0 stands for none."""
+    offsets, flat = words.offsets.to_numpy(), words.values.to_numpy().view(np.uint64)
+    bounds = pack_bounds(np.diff(offsets), STEP_WORDS)
     for a, b in zip(bounds, bounds[1:]):
-        part = offsets[a : b + 1]
-        words, doc = hash_words(raw[part[0] : part[-1]], part - part[0])
-        yield a, b, doc, grams(words, doc, order)
+        doc = np.repeat(np.arange(b - a), np.diff(offsets[a : b + 1]))
+        yield a, b, doc, grams(flat[offsets[a] : offsets[b]], doc, order)
 
 
-def count_texts(texts: list[pa.Array], order: int, passes: int = 1, own: int = 0):
+def count_words(parts: list[pa.ListArray], order: int, passes: int = 1, own: int = 0):
     """Yields (different n-grams of the range `own`, their counts) by order."""
     found: list[list] = [[] for _ in range(order)]
     low, high = (np.uint64(max(1, own * (1 << 64) // passes)), np.uint64((own + 1) * (1 << 64) // passes - 1))
-    for part in texts:
+    for part in parts:
         for _, _, _, hashes in chunks(part, order):
             for out, h in zip(found, hashes):
                 out.append(h[(h >= low) & (h <= high)])
@@ -127,57 +127,56 @@ def score_documents(doc: np.ndarray, others: list[np.ndarray], n_docs: int, tota
 
 
 def sharded(docs: DataFrame, shard_bytes: int) -> DataFrame:
-    """(shard, doc_id, text, n_words) of each document; the shards of a task follow one another."""
+    """(shard, doc_id, words) of each document (doc_id, text); the shards of a task follow one another."""
 
     def number(batches):
         first, size = TaskContext.get().partitionId() << TASK_BITS, 0
         for batch in batches:
             offsets, raw = text_buffers(batch.column(1))
-            ends = size + offsets[1:]
-            n_words = np.zeros(batch.num_rows, np.int64)
             bounds = pack_bounds(np.diff(offsets), STEP_BYTES)
             for a, b in zip(bounds, bounds[1:]):
                 part = offsets[a : b + 1]
-                n_words[a:b] = np.bincount(hash_words(raw[part[0] : part[-1]], part - part[0])[1], minlength=b - a)
-            yield pa.RecordBatch.from_arrays([pa.array(first + np.minimum((ends - np.diff(offsets)) // shard_bytes, (1 << TASK_BITS) - 1)), *batch.columns, pa.array(n_words)], names=["shard", "doc_id", "text", "n_words"])
-            size = int(ends[-1]) if len(ends) else size
+                words, doc = hash_words(raw[part[0] : part[-1]], part - part[0])
+                edges = np.searchsorted(doc, np.arange(b - a + 1))
+                shard = np.minimum((size + part[:-1]) // shard_bytes, (1 << TASK_BITS) - 1)
+                lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(words.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(first + shard), batch.column(0).slice(a, b - a), lists], names=["shard", "doc_id", "words"])
+            size += int(offsets[-1])
 
-    return docs.mapInArrow(number, TEXT)
+    return docs.mapInArrow(number, WORDS)
 
 
-def shard_grams(text: DataFrame, order: int, passes: int, own: int) -> DataFrame:
+def shard_grams(words: DataFrame, order: int, passes: int, own: int) -> DataFrame:
     """(h, told) of the different n-grams of each shard, of one range of hashes; told is the shard's number and, in the last COUNT_BITS, n."""
     most = (1 << COUNT_BITS) - 1
 
     def explode(batches):
         def rows():
-            for h, n in count_texts(texts, order, passes, own):
+            for h, n in count_words(parts, order, passes, own):
                 while len(h):
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array((int(shard) << COUNT_BITS) + np.minimum(n, most))], names=["h", "told"])
                     h, n = h[n > most], n[n > most] - most
 
-        shard, texts = None, []
+        shard, parts = None, []
         for batch in batches:
             shards = batch.column(0).to_numpy(zero_copy_only=False)
             starts = [0, *(np.nonzero(np.diff(shards))[0] + 1).tolist()]
             for s, e in zip(starts, [*starts[1:], len(shards)]):
                 if e > s:
                     if shards[s] != shard:
-                        yield from rows() if texts else ()
-                        shard, texts = shards[s], []
-                    texts.append(batch.column(1).slice(s, e - s))
-        yield from rows() if texts else ()
+                        yield from rows() if parts else ()
+                        shard, parts = shards[s], []
+                    parts.append(batch.column(1).slice(s, e - s))
+        yield from rows() if parts else ()
 
-    return text.select("shard", "text").mapInArrow(explode, "h long, told long")
+    return words.select("shard", "words").mapInArrow(explode, "h long, told long")
 
 
 def known_elsewhere(grams_of: DataFrame) -> DataFrame:
     """(shard, h, total) of the n-grams that other shards have too."""
-    dealt = grams_of.repartition("h")
     n = F.col("told").bitwiseAND((1 << COUNT_BITS) - 1)
-    counts = dealt.groupBy("h").agg(F.sum(n).alias("total"))
-    known = dealt.join(counts.hint("shuffle_hash"), "h").filter(F.col("total") > n)
-    return known.select(F.shiftright("told", COUNT_BITS).alias("shard"), "h", "total")
+    counted = grams_of.withColumn("total", F.sum(n).over(Window.partitionBy("h")))
+    return counted.filter(F.col("total") > n).select(F.shiftright("told", COUNT_BITS).alias("shard"), "h", "total")
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, alpha: float = ALPHA, shard_bytes: int = SHARD_BYTES, passes: int = PASSES) -> DataFrame:
@@ -196,29 +195,29 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         df.write.option("compression", "zstd").partitionBy(*by).parquet(f"{base}/{name}")
 
     with shuffles_dropped(spark):
-        write(sharded(rows, shard_bytes), "text")
-        text = spark.read.schema(TEXT).parquet(f"{base}/text")
-        total = text.agg(F.sum("n_words")).first()[0] or 0
+        write(sharded(rows, shard_bytes), "words")
+        words = spark.read.schema(WORDS).parquet(f"{base}/words")
+        total = words.agg(F.sum(F.size("words").cast("long"))).first()[0] or 0
         for own in range(passes):
-            known = known_elsewhere(shard_grams(text, order, passes, own)).withColumn("part", part)
+            known = known_elsewhere(shard_grams(words, order, passes, own)).withColumn("part", part)
             write(known.sortWithinPartitions("part", "shard", "h"), f"known/pass={own}", "part")
 
         def finish(key, frame, answers):
-            texts = frame["text"].combine_chunks()
+            own_words = frame["words"].combine_chunks()
             h, more = answers["h"].to_numpy().view(np.uint64), answers["total"].to_numpy()
             order_of = np.argsort(h)
             h, more = h[order_of], more[order_of]
             counts = []
-            for values, whole in count_texts([texts], order):
+            for values, whole in count_words([own_words], order):
                 at = np.searchsorted(h, values)
                 there = np.nonzero(h[np.minimum(at, len(h) - 1)] == values)[0] if len(h) else at[:0]
                 whole[there] = more[at[there]]
                 counts.append((values, whole))
             ints, sums = [np.zeros((order + 2, 0), np.int64)], [np.zeros(0)]
-            for a, b, doc, hashes in chunks(texts, order):
+            for a, b, doc, hashes in chunks(own_words, order):
                 others = [in_other_documents(doc, h, *x) if len(doc) else np.zeros(0, np.int64) for h, x in zip(hashes, counts)]
-                words, levels, log = score_documents(doc, others, b - a, total, alpha)
-                ints.append(np.stack([words, *levels]))
+                n_words, levels, log = score_documents(doc, others, b - a, total, alpha)
+                ints.append(np.stack([n_words, *levels]))
                 sums.append(log)
             ints, sums = np.concatenate(ints, axis=1), np.concatenate(sums)
             mean = pa.array(np.round(sums / np.maximum(ints[0], 1), 6), mask=ints[0] == 0)
@@ -227,9 +226,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
 
         known = spark.read.schema("shard long, h long, total long, pass int, part int").parquet(f"{base}/known")
         for own in range(passes):
-            asked = text.filter(part == own).groupBy("shard")
+            asked = words.filter(part == own).groupBy("shard")
             write(asked.cogroup(known.filter(F.col("part") == own).select("shard", "h", "total").groupBy("shard")).applyInArrow(finish, schema), f"scores/part={own}")
-    drop(spark, f"{base}/text")
+    drop(spark, f"{base}/words")
     drop(spark, f"{base}/known")
     return spark.read.schema(schema).parquet(*(f"{base}/scores/part={own}" for own in range(passes)))
 
