@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from heronry.llm import chat, decontaminate, licenses, lm_score, packing, quality, secrets, simhash, token_shards, warc
+from heronry.llm.sql import ORACLE_SQL as ORACLE_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,8 +66,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_warc": op10_warc,
 }
-
-#: Words as in op1, of a text column t.
-_WORDS = r"regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
-
-ORACLE_SQL: dict[str, str] = {}
