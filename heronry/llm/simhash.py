@@ -274,7 +274,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     """One row (doc_id, text_hash, fp, root, component_id) per document; root is the smallest fingerprint of its group."""
     fps = cut(fingerprints(docs, id_col, text_col, shingle))
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = connected_components(links(distinct, threshold)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    roots = connected_components(cut(links(distinct, threshold))).select(F.col("node").alias("fp"), F.col("component").alias("root"))
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     best = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return fps.join(rooted.join(best, "root").select("fp", "root", "component_id"), "fp")
