@@ -11,8 +11,9 @@ whole conversation that a third of the log shares is one row there.
 Only column functions are used. Defined cases: rows of a null id are one
 conversation; a null turn comes first, ties are ordered by role and text;
 null role or text differs from an empty one and is rendered empty; a repeated
-row is a turn of its own; marks of the template in a text are broken up; an
-empty table gives no rows; other columns are ignored.
+row is a turn of its own; marks of the template in a text are broken up; a very
+long text is hashed and rendered whole; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations

@@ -13,8 +13,9 @@ There is no shuffle. The sequence id is the task's number and a counter, so
 a task that runs again gives the same rows.
 
 Defined cases: null or empty text is one piece with the end id alone; rows
-that repeat are packed each; a null id is kept; an empty table gives no rows;
-other columns are ignored.
+that repeat are packed each; a null id is kept; a very long text fills whole
+bins and is encoded by itself; an empty table gives no rows; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -87,7 +88,7 @@ class Packer:
         offset = 0
         for doc_id, start, ids, n in pieces:
             row = (doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), n, self.next_id, offset)
-            self.rows.append((*row, ids.astype("<u2").tobytes()) if self.with_ids else row)
+            self.rows.append((*row, ids.astype("<u4").tobytes()) if self.with_ids else row)
             offset += len(ids)
         self.next_id += 1
 
@@ -113,7 +114,7 @@ class Packer:
 
 
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
-    """One row per piece; `with_ids` adds its ids as little-endian 16-bit numbers."""
+    """One row per piece; `with_ids` adds its ids as little-endian 32-bit numbers."""
     path = tokenizer or default_path()
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     schema = SCHEMA + (", ids binary" if with_ids else "")

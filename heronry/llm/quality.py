@@ -15,7 +15,8 @@ if the base rules fail: fewer than 50 words, or over half of its words in
 three-word windows found twice or more (windows are compared by 64-bit hash).
 
 Defined cases: null text has no words and fails; blank lines stay and count
-for nothing; repeated documents are judged each; an empty table gives no
+for nothing; a very long text or line is judged whole; a document that loses
+just half stays; repeated documents are judged each; an empty table gives no
 rows; columns named q_* are replaced, others pass through.
 """
 

@@ -3,20 +3,27 @@
 Documents become sequences of `length` ids, cut from the documents of a task
 laid end to end; the last one is filled with the pad id. Sequence i of n goes
 to slot P(i), where P is a keyed Feistel permutation of the next power of
-four, walked on until it falls below n, so the training order is a function
-of the key alone and needs no sort of the corpus. Slots are cut in ranges of
-`per_shard`; each range is one partition and one file, in which the sequence
-of a slot stands at (slot modulo per_shard) times the stride. A reader can
-go on at any slot.
+four, walked on until it falls below n; so the place of a sequence follows
+from the key, n and i, and needs no sort of the corpus. i counts the sequences
+in the order of the table's splits when the shards are made: another layout of
+the splits makes other shards, and the shards that were written are what a
+resumed reader goes by. Slots are cut in ranges of about `shard_bytes`; each
+range is one partition and one file, in which the sequence of a slot stands at
+(slot modulo sequences per shard) times the stride. A reader can go on at any
+slot.
 
 The first pass only counts the sequences of each task (one number a task
 comes to the driver); the second encodes again and checks its count and a
-checksum of its documents against the first, so a table that changes between
-the passes stops the job. A shard is written under a name of its own and
-renamed, so a task that runs again replaces it whole.
-
-Defined cases: null or empty text is the end id alone; repeated rows are
-encoded each; an empty table writes no shard; other columns are ignored.
+checksum of its documents against the first, so a table or layout that changes
+between the passes stops the job. Keeping the ids of the first pass would save
+the second encoding, but they, the shuffle and the shards together would take
+more than the disk's bound of three times the input. A shard is written under
+a name of its own and renamed, so a task that runs again replaces it whole.
+
+Defined cases: null or empty text is the end id alone; a null id is null in
+the manifest; a very long text runs over many sequences; repeated rows are
+encoded each; a vocabulary with ids beyond 16 bits is an error; an empty table
+writes no shard; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,10 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heronry.llm.common import pack_bounds, text_buffers
-from heronry.llm.tokens import default_path, encode
+from heronry.llm.tokens import default_path, encode, in_16_bits
 from heronry.session import fresh_path
 
-LENGTH, END, PAD, KEY, PER_SHARD, ROUNDS = 2048, 1, 0, 20240101, 2048, 6
+LENGTH, END, PAD, KEY, ROUNDS = 2048, 1, 0, 20240101, 6
+SHARD_BYTES = 128 << 20
+#: Stands for a null id inside a task.
+NO_ID = -(1 << 63)
 STEP_BYTES = 4 << 20
 MANIFEST = "slot long, shard long, byte_offset long, n_tokens long, ids_crc32 long, first_doc_id long"
 
@@ -64,12 +74,12 @@ def sequences(batches, path: str, length: int):
     """Yields (ids of whole sequences as an array of rows, tokens in each, first document of each, running checksum)."""
     held, docs, crc = np.zeros(0, np.uint16), np.zeros(0, np.int64), 0
     for batch in batches:
-        ids, texts = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False), batch.column(1)
+        ids, texts = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False), batch.column(1)
         bounds = pack_bounds(np.diff(text_buffers(texts)[0]), STEP_BYTES)
         for a, b in zip(bounds, bounds[1:]):
             flat, count = encode(path, texts.slice(a, b - a).to_pylist(), END)
             crc = zlib.crc32(ids[a:b].astype("<i8").tobytes(), crc)
-            held, docs = np.concatenate([held, flat]), np.concatenate([docs, np.repeat(ids[a:b], count)])
+            held, docs = np.concatenate([held, in_16_bits(flat)]), np.concatenate([docs, np.repeat(ids[a:b], count)])
             n = len(held) // length
             yield held[: n * length].reshape(n, length), np.full(n, length), docs[: n * length : length], crc
             held, docs = held[n * length :], docs[n * length :]
@@ -79,9 +89,10 @@ def sequences(batches, path: str, length: int):
         yield row, np.array([len(held)]), docs[:1], crc
 
 
-def materialise(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY) -> DataFrame:
+def materialise(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, key: int = KEY) -> DataFrame:
     """Writes shard-{k}.bin files to `folder` when it runs; one row per sequence: slot, shard, byte_offset, n_tokens, ids_crc32, first_doc_id."""
-    path = tokenizer or default_path()
+    path, stride = tokenizer or default_path(), 2 * length
+    per_shard = max(1, shard_bytes // stride)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def count(batches):
@@ -105,13 +116,12 @@ def materialise(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_co
                 raise RuntimeError("the documents of a task changed between the passes")
             slot = permute(np.arange(at, at + len(ids)), total, key)
             at += len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // per_shard), pa.array(n), pa.array(docs_of), pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary())], names=["slot", "shard", "n_tokens", "first_doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // per_shard), pa.array(n), pa.array(docs_of, mask=docs_of == NO_ID), pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary())], names=["slot", "shard", "n_tokens", "first_doc_id", "ids"])
         if (at, crc) != (end, counts.get(task, (0, 0))[1]):
             raise RuntimeError("the documents of a task changed between the passes")
 
     placed = rows.mapInArrow(place, "slot long, shard long, n_tokens long, first_doc_id long, ids binary")
     ranged = placed.repartitionById(n_shards, F.col("shard").cast("int")).sortWithinPartitions("slot")
-    stride = 2 * length
 
     def write(batches):
         from pyarrow import fs
@@ -141,12 +151,12 @@ def materialise(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_co
     return ranged.mapInArrow(write, MANIFEST)
 
 
-def read_slots(folder: str, start: int, n: int, length: int = LENGTH, per_shard: int = PER_SHARD) -> np.ndarray:
+def read_slots(folder: str, start: int, n: int, length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> np.ndarray:
     """Sequences of slots start .. start+n-1 as rows of ids."""
     from pyarrow import fs
 
     store, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
-    out = []
+    out, per_shard = [], max(1, shard_bytes // (2 * length))
     while n > 0:
         shard, place = divmod(start, per_shard)
         take = min(n, per_shard - place)

@@ -1,8 +1,9 @@
 """Token ids of texts with a byte-level BPE vocabulary.
 
-The vocabulary file in rank form gives the ids of the tokenizer file of the
-same name, several times as fast; the tests hold both against each other. As with
-that file, the string of the special token in a text becomes its id.
+The default vocabulary's file in rank form gives the ids of the tokenizer file
+of the same name, several times as fast; the tests hold both against each
+other. As with that file, the string of the special token in a text becomes
+its id. Any other path is a tokenizer file, which is used itself.
 
 The regex engine of the rank form gives up on very long whitespace runs. A text
 that it refuses is encoded with the tokenizer file itself.
@@ -43,21 +44,23 @@ def encoder(path: str):
 
 
 def from_file(path: str, text: str) -> np.ndarray:
-    """Ids of a text with the tokenizer file beside the vocabulary in rank form."""
+    """Ids of a text with a tokenizer file."""
     if path not in _FILES:
         from tokenizers import Tokenizer
 
-        _FILES[path] = Tokenizer.from_file(path.removesuffix(".tiktoken") + ".json")
+        _FILES[path] = Tokenizer.from_file(path)
     return np.array(_FILES[path].encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def ids_of(path: str, text: str) -> np.ndarray:
     """Ids of one text."""
+    if not path.endswith(".tiktoken"):
+        return from_file(path, text)
     special = "all" if any(s in text for s in SPECIAL) else set()
     try:
         return encoder(path).encode_to_numpy(text, allowed_special=special, disallowed_special=())
     except ValueError:
-        return from_file(path, text)
+        return from_file(path.removesuffix(".tiktoken") + ".json", text)
 
 
 def encode(path: str, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -65,9 +68,16 @@ def encode(path: str, texts: list[str | None], end: int | None = None) -> tuple[
     ids = [ids_of(path, t or "") for t in texts]
     size = np.fromiter(map(len, ids), np.int64, len(ids))
     count = size + (end is not None)
-    flat = np.empty(int(count.sum()), np.uint16)
+    flat = np.empty(int(count.sum()), np.uint32)
     if end is not None:
         flat[np.cumsum(count) - 1] = end
     for x, at in zip(ids, (np.cumsum(count) - count).tolist()):
         flat[at : at + len(x)] = x
     return flat, count
+
+
+def in_16_bits(ids: np.ndarray) -> np.ndarray:
+    """The ids as 16-bit numbers; an error if one is too large."""
+    if len(ids) and ids.max() > 0xFFFF:
+        raise ValueError("the vocabulary has ids beyond 16 bits")
+    return ids.astype("<u2")

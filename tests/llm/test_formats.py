@@ -6,13 +6,16 @@ import gzip
 import re
 import textwrap
 import time
+import zlib
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from heronry.llm import chat, licenses, token_shards, warc
+from heronry.llm import chat, licenses, quality, token_shards, warc
 from heronry.llm.common import text_buffers
 from heronry.llm.decontaminate import hash_words
 from heronry.llm.tokens import default_path, encode
@@ -27,16 +30,44 @@ def test_permutation(n):
 
 def test_token_shards_round_trip(spark, tmp_path):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "null id"), (3, "some text " * 90), (3, "some text " * 90), (4, "é" * 500)], "doc_id long, text string").selectExpr("*", "1 AS slot").coalesce(1)
-    found = token_shards.materialise(docs, f"file://{tmp_path}", length=64, per_shard=4).collect()
+    found = token_shards.materialise(docs, f"file://{tmp_path}", length=64, shard_bytes=512).collect()
     n = len(found)
     assert sorted(r.slot for r in found) == list(range(n))
     assert all(r.byte_offset == r.slot % 4 * 128 and r.shard == r.slot // 4 for r in found)
     ids, _ = encode(default_path(), [r.text for r in docs.collect()], 1)
     flat = np.pad(ids, (0, n * 64 - len(ids)))
     order = token_shards.permute(np.arange(n), n, token_shards.KEY)
-    read = token_shards.read_slots(f"file://{tmp_path}", 0, n, 64, 4)
+    read = token_shards.read_slots(f"file://{tmp_path}", 0, n, 64, 512)
     assert (read[order] == flat.reshape(n, 64)).all()
-    assert (token_shards.read_slots(f"file://{tmp_path}", 3, 5, 64, 4) == read[3:8]).all()
+    assert (token_shards.read_slots(f"file://{tmp_path}", 3, 5, 64, 512) == read[3:8]).all()
+
+
+def test_token_shards_report(spark):
+    """The query's manifest against sequences that are cut, placed and summed by hand."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").coalesce(1)
+    rows = docs.select("doc_id", "text").collect()
+    parts = [encode(default_path(), [r.text], 1)[0] for r in rows]
+    owner = [r.doc_id for r, x in zip(rows, parts) for _ in range(len(x))]
+    flat = [int(k) for x in parts for k in x]
+    n, want = -(-len(flat) // 2048), []
+    for k, slot in enumerate(token_shards.permute(np.arange(n), n, token_shards.KEY).tolist()):
+        ids = flat[k * 2048 : k * 2048 + 2048]
+        want.append((slot, slot // 32768, slot % 32768 * 4096, len(ids), zlib.crc32(np.array(ids + [0] * (2048 - len(ids)), "<u2").tobytes()), owner[k * 2048]))
+    assert sorted(map(tuple, token_shards.report(docs).collect())) == sorted(want)
+
+
+def test_token_shards_null_id_and_clashing_names(spark, tmp_path):
+    docs = spark.createDataFrame([(None, "a"), (-1, "b")], "doc_id long, text string").selectExpr("*", "1 AS slot", "2 AS shard", "3 AS ids", "4 AS n_tokens").coalesce(1)
+    assert [r.first_doc_id for r in sorted(token_shards.materialise(docs, f"file://{tmp_path}", length=2).collect(), key=lambda r: (r.n_tokens, r.first_doc_id is None))] == [-1, None]
+
+
+def test_other_tokenizer_file(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    got = [x.tolist() for x in np.split(*(lambda flat, count: (flat, np.cumsum(count)[:-1]))(*encode(path, ["Some text here", None, "Ärger"], 7)))]
+    own = Tokenizer.from_file(path)
+    assert got == [[*own.encode(t, add_special_tokens=False).ids, 7] for t in ("Some text here", "", "Ärger")]
+    with pytest.raises(ValueError):
+        token_shards.in_16_bits(np.array([70_000], np.uint32))
 
 
 def test_token_shards_empty(spark, tmp_path):
@@ -280,3 +311,36 @@ def test_pipeline(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         empty = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
         assert stage(spark, empty, str(tmp_path)).count() == 0, name
+
+
+def test_pipeline_by_hand(spark, tmp_path):
+    """All stages on a table of odd rows against the contracts' brute force, stage by stage."""
+    from test_contracts import EDGES, ITEM, ITEMS, brute_components, brute_contamination, brute_quality, sentences
+
+    texts = [*((d, t) for d, t in EDGES if t != EDGES[6][1]), *((30 + k, "\n".join(sentences(".", 10 + k))) for k in range(6)), (40, "\n".join(sentences(".", 12))), (None, "\n".join(sentences(".", 12)))]
+    texts += [(50, "\n".join(sentences("!", 9)) + f" {ITEM}."), (51, "\n".join(sentences("?", 11)) + " token = abcdef123456."), (51, "\n".join(sentences("?", 17)))]
+    spark.createDataFrame([(d, t, "en", "s", None if t is None else len(t)) for d, t in texts], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(ITEMS, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    pairs = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+
+    def step(name, docs):
+        stages[name](spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/by-{name}")
+        return spark.read.parquet(f"{tmp_path}/by-{name}")
+
+    good = step("quality", docs)
+    verdict = {r.doc_id for r in quality.report(docs).filter("kept").collect()}
+    assert {r.doc_id for r in good.collect()} == verdict and all(not brute_quality(t)[5] for _, t in texts if (_, t) in pairs(good))
+    one = step("dedup", good)
+    groups = {r for *_, r in brute_components([(k, t) for k, (_, t) in enumerate(pairs(good))])}
+    assert len(pairs(one)) == len(groups) and set(pairs(one)) <= set(pairs(good))
+    clean = step("decontamination", one)
+    dirty = {(d, n) for d, n, *_, bad in brute_contamination(pairs(one), ITEMS) if bad}
+    assert len(pairs(clean)) == len(pairs(one)) - len(dirty) and 50 not in {d for d, _ in pairs(clean)}
+    masked = step("secrets", clean)
+    assert sorted(d for d, _ in pairs(masked) if d is not None) == sorted(d for d, _ in pairs(clean) if d is not None)
+    assert any("[ASSIGN]" in t for _, t in pairs(masked)) and not any("abcdef123456" in t for _, t in pairs(masked))
+    packed = step("packing", masked).collect()
+    want = sorted(len(encode(default_path(), [t], 1)[0]) for _, t in pairs(masked))
+    assert sum(r.length for r in packed) == sum(want) and sorted(r.doc_tokens for r in packed if r.start == 0) == want
