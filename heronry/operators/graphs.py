@@ -39,6 +39,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return alone.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+def resolve_chains(links: DataFrame, most: int = 40) -> DataFrame:
+    """(k, root) of `links` (k, up), each k once: the end of its chain, by rounds that double what `up` spans.
+
+    A chain that runs in a circle has no end, and its links are left out.
+    """
+    for _ in range(most):
+        above = links.select(F.col("k").alias("up"), F.col("up").alias("__next"))
+        moved = cut(links.join(above, "up", "left").select("k", F.coalesce("__next", "up").alias("up"), F.col("__next").isNotNull().alias("moved")))
+        links = moved.select("k", "up")
+        if moved.filter("moved").isEmpty():
+            break
+    return links.join(links.select(F.col("k").alias("up")), "up", "left_anti").select("k", F.col("up").alias("root"))
+
+
 def paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame, longest: int = 8) -> DataFrame:
     """(path, hops) from a source to a sink over at most `longest` edges (u, v), no node twice; sources and sinks have the column node."""
     front = sources.select(F.array("node").alias("path"))
