@@ -44,14 +44,15 @@ from heronry.session import fresh_path, shuffles_dropped
 ORDER = 3
 ALPHA = 0.4
 SHARD_BYTES = 8 << 20
-PASSES = 8
+PASSES = 6
 #: Bits of the count beside the shard's number; larger counts take several rows.
 COUNT_BITS = 20
 #: Bits of the shard's number in its task.
 TASK_BITS = 16
 #: Bytes of text that are hashed at once, and words that are scored at once.
 STEP_BYTES, STEP_WORDS = 1 << 20, 1 << 17
-WORDS = "shard long, doc_id long, words array<bigint>"
+#: words: 64-bit hashes, little-endian, one after another.
+WORDS = "shard long, doc_id long, words binary"
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -70,16 +71,19 @@ def grams(words: np.ndarray, doc: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
-def chunks(words: pa.ListArray, order: int):
+def chunks(words: pa.Array, order: int):
     """Yields (first document, next document, words' documents, n-gram hashes by order) of consecutive documents; 0 stands for none."""
-    offsets, flat = words.offsets.to_numpy(), words.values.to_numpy().view(np.uint64)
+    words = words.cast(pa.large_binary())
+    _, edges, data = words.buffers()
+    offsets = np.frombuffer(edges, np.int64)[words.offset : words.offset + len(words) + 1] // 8 if len(words) else np.zeros(1, np.int64)
+    flat = np.frombuffer(data, "<u8") if data is not None and data.size else np.zeros(0, np.uint64)
     bounds = pack_bounds(np.diff(offsets), STEP_WORDS)
     for a, b in zip(bounds, bounds[1:]):
         doc = np.repeat(np.arange(b - a), np.diff(offsets[a : b + 1]))
         yield a, b, doc, grams(flat[offsets[a] : offsets[b]], doc, order)
 
 
-def count_words(parts: list[pa.ListArray], order: int, passes: int = 1, own: int = 0):
+def count_words(parts: list[pa.Array], order: int, passes: int = 1, own: int = 0):
     """Yields (different n-grams of the range `own`, their counts) by order."""
     found: list[list] = [[] for _ in range(order)]
     low, high = (np.uint64(max(1, own * (1 << 64) // passes)), np.uint64((own + 1) * (1 << 64) // passes - 1))
@@ -139,8 +143,8 @@ def sharded(docs: DataFrame, shard_bytes: int) -> DataFrame:
                 words, doc = hash_words(raw[part[0] : part[-1]], part - part[0])
                 edges = np.searchsorted(doc, np.arange(b - a + 1))
                 shard = np.minimum((size + part[:-1]) // shard_bytes, (1 << TASK_BITS) - 1)
-                lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(words.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(first + shard), batch.column(0).slice(a, b - a), lists], names=["shard", "doc_id", "words"])
+                data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(8 * edges), pa.py_buffer(words.astype("<u8"))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(first + shard), batch.column(0).slice(a, b - a), data], names=["shard", "doc_id", "words"])
             size += int(offsets[-1])
 
     return docs.mapInArrow(number, WORDS)
@@ -197,7 +201,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     with shuffles_dropped(spark):
         write(sharded(rows, shard_bytes), "words")
         words = spark.read.schema(WORDS).parquet(f"{base}/words")
-        total = words.agg(F.sum(F.size("words").cast("long"))).first()[0] or 0
+        total = words.agg(F.sum(F.octet_length("words") / 8)).first()[0] or 0
+        total = int(total)
         for own in range(passes):
             known = known_elsewhere(shard_grams(words, order, passes, own)).withColumn("part", part)
             write(known.sortWithinPartitions("part", "shard", "h"), f"known/pass={own}", "part")
