@@ -41,16 +41,49 @@ def buckets(start: Column, end: Column, days: int) -> Column:
     return F.sequence(n(start), n(end))
 
 
-def containing_intervals(probes: DataFrame, at: str, intervals: DataFrame, start: str, end: str, days: int = 16) -> DataFrame:
-    """All (probe, interval) with start <= at <= end: both are dealt over day buckets and meet in the probe's."""
+def few(df: DataFrame, most: int = 1 << 16) -> bool:
+    """Whether a table has at most `most` rows; no more than that are counted."""
+    return df.limit(most + 1).count() <= most
+
+
+def containing_intervals(probes: DataFrame, at: str, intervals: DataFrame, start: str, end: str, days: int = 16, salts: int = 32) -> DataFrame:
+    """All (probe, interval) with start <= at <= end: both are dealt over day buckets and meet in the probe's.
+
+    Few probes are broadcast, so that the intervals don't move. With more,
+    each bucket is salted: intervals are dealt over the salts, probes go to all
+    of them, so a bucket that all dates fall into is many keys.
+    """
     left = probes.withColumn("__b", F.element_at(buckets(F.col(at), F.col(at), days), 1))
     right = intervals.withColumn("__b", F.explode(buckets(F.col(start), F.col(end), days)))
-    return left.join(right, "__b").filter((F.col(start) <= F.col(at)) & (F.col(at) <= F.col(end))).drop("__b")
+    return bucketed(left, right, few(probes), salts).filter((F.col(start) <= F.col(at)) & (F.col(at) <= F.col(end))).drop("__b")
+
+
+def bucketed(left: DataFrame, right: DataFrame, small: bool, salts: int) -> DataFrame:
+    """`left` with `right` by the bucket __b."""
+    if small:
+        return right.join(F.broadcast(left), "__b")
+    dealt = right.withColumn("__s", F.pmod(F.xxhash64(*right.columns), F.lit(salts)))
+    spread = left.withColumn("__s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    return dealt.join(spread, ["__b", "__s"]).drop("__s")
+
+
+def overlapping_pairs(spans: DataFrame, other: DataFrame, key: str, start: str, end: str, other_start: str, other_end: str, margin: int = 0, days: int = 64) -> DataFrame:
+    """Pairs of one key whose intervals come within `margin` days of each other.
+
+    Both sides are dealt over day buckets, so a key's intervals meet only where
+    they are near; a pair that shares several buckets counts in the first.
+    """
+    first = lambda s: F.floor(F.date_diff(s, F.lit("1970-01-01")) / days)
+    left = spans.withColumn("__b", F.explode(buckets(F.date_sub(start, margin), F.date_add(end, margin), days)))
+    right = other.withColumn("__b", F.explode(buckets(F.col(other_start), F.col(other_end), days)))
+    near = (F.col(start) <= F.date_add(other_end, margin)) & (F.col(other_start) <= F.date_add(end, margin))
+    once = F.col("__b") == F.greatest(first(F.date_sub(start, margin)), first(F.col(other_start)))
+    return left.join(right, [key, "__b"]).filter(near & once).drop("__b")
 
 
 def just_ended(probes: DataFrame, at: str, key: str, intervals: DataFrame, end: str, tie: str, tolerance_days: int) -> DataFrame:
     """The latest interval that ended within the tolerance before each probe (tie: larger `tie`)."""
     left = probes.withColumn("__b", F.explode(buckets(F.date_sub(F.col(at), tolerance_days), F.col(at), tolerance_days)))
     right = intervals.withColumn("__b", F.element_at(buckets(F.col(end), F.col(end), tolerance_days), 1))
-    near = left.join(right, "__b").filter((F.col(end) < F.col(at)) & (F.col(end) >= F.date_sub(F.col(at), tolerance_days)))
+    near = bucketed(left, right, few(probes), 32).filter((F.col(end) < F.col(at)) & (F.col(end) >= F.date_sub(F.col(at), tolerance_days)))
     return near.groupBy(key, at).agg(F.max_by(tie, F.struct(end, tie)).alias(tie), F.max(end).alias(end))

@@ -79,3 +79,27 @@ def nearest_rank(values: Column, q: float) -> Column:
     """sorted[int(q*n)], clamped, of an array column."""
     s = F.array_sort(values)
     return F.when(F.size(values) > 0, F.element_at(s, F.least(F.floor(F.size(values) * F.lit(q)).cast("int") + 1, F.size(values))))
+
+
+def values_at_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column], bins: int = 1024) -> DataFrame:
+    """The values at some ranks (1-based columns over n, the group's size) of each group, in sorted order.
+
+    Values are counted before they are shuffled; the counts of `bins` ranges of
+    values tell in which range a rank lies, and only that range is sorted. No
+    task holds a group.
+    """
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    edges = counted.groupBy(*keys).agg(F.min(value).alias("__low"), F.max(value).alias("__high"), F.sum("__n").alias("n"))
+    width = F.col("__high") - F.col("__low")
+    place = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("__low")) / width * bins))).otherwise(F.lit(0))
+    ranged = counted.join(edges.select(*keys, "__low", "__high"), keys).withColumn("__bin", place).drop("__low", "__high")
+    by = Window.partitionBy(*keys)
+    sums = ranged.groupBy(*keys, "__bin").agg(F.sum("__n").alias("__m"))
+    upto = F.sum("__m").over(by.orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0))
+    sums = sums.withColumns({"__upto": upto, "n": F.sum("__m").over(by)}).withColumn("__before", F.col("__upto") - F.col("__m"))
+    asked = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank")) for name, rank in ranks.items())))
+    asked = sums.withColumn("__q", asked).filter("__q.rank > __before AND __q.rank <= __upto").select(*keys, "__bin", "__before", "__q")
+    fine = ranged.withColumn("__sum", F.sum("__n").over(Window.partitionBy(*keys, "__bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    there = fine.join(asked, [*keys, "__bin"]).filter("__before + __sum - __n < __q.rank AND __q.rank <= __before + __sum")
+    named = [F.max(F.when(F.col("__q.name") == name, F.col(value))).alias(name) for name in ranks]
+    return there.groupBy(*keys).agg(*named)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heronry.operators.windows import latest_per_key, nearest_rank, top_k_per_group
+from heronry.operators.windows import latest_per_key, nearest_rank, top_k_per_group, values_at_ranks
 from heronry.plans.registry import query
 
 MONEY = "decimal(18,2)"
@@ -126,16 +126,20 @@ def weighted_rollup(t) -> DataFrame:
 @query("""SELECT l_returnflag, round(median(l_extendedprice), 4) AS med, round(quantile_cont(l_extendedprice, 0.25), 4) AS p25, round(quantile_cont(l_extendedprice, 0.75), 4) AS p75
 FROM lineitem GROUP BY 1""")
 def exact_median_quartiles(t) -> DataFrame:
-    p = lambda q: F.round(F.percentile("l_extendedprice", q), 4)
-    return t.lineitem.groupBy("l_returnflag").agg(F.round(F.median("l_extendedprice"), 4).alias("med"), p(0.25).alias("p25"), p(0.75).alias("p75"))
+    quarters = {"p25": 0.25, "med": 0.5, "p75": 0.75}
+    spot = lambda q: (F.col("n") - 1) * q + 1
+    ranks = {f"{name}_{side}": cut(spot(q)) for name, q in quarters.items() for side, cut in (("low", F.floor), ("high", F.ceil))}
+    found = values_at_ranks(t.lineitem, ["l_returnflag"], "l_extendedprice", ranks)
+    n = t.lineitem.groupBy("l_returnflag").agg(F.count("l_extendedprice").alias("n"))
+    part = lambda q: spot(q) - F.floor(spot(q))
+    value = lambda name, q: F.round(F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * part(q), 4).alias(name)
+    return found.join(n, "l_returnflag").select("l_returnflag", *(value(*x) for x in quarters.items()))
 
 
 @query("""SELECT o_orderpriority, round(list_sort(list(o_totalprice))[least(floor(count(*) * 0.9)::INT + 1, count(*))], 4) AS p90 FROM orders GROUP BY 1""")
 def nearest_rank_p90(t) -> DataFrame:
-    w = Window.partitionBy("o_orderpriority")
-    ranked = t.orders.withColumns({"r": F.row_number().over(w.orderBy("o_totalprice")), "n": F.count("*").over(w)})
-    at = F.least(F.floor(F.col("n") * 0.9) + 1, F.col("n"))
-    return ranked.filter(F.col("r") == at).select("o_orderpriority", F.round("o_totalprice", 4).alias("p90"))
+    rank = F.least(F.floor(F.col("n") * 0.9) + 1, F.col("n"))
+    return values_at_ranks(t.orders, ["o_orderpriority"], "o_totalprice", {"p90": rank}).select("o_orderpriority", F.round("p90", 4).alias("p90"))
 
 
 @query("""WITH c AS (SELECT lang, chr(65 + (hash_key % 6)::INT) AS grade, hash_key % 7 = 0 AS authority, quality = 1 AS backs, source FROM

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronry.functions.geo import haversine_km, inside_ring, synthetic_lat, synthetic_lon
-from heronry.operators.joins import buckets, containing_intervals, just_ended, radius_join
+from heronry.operators.joins import buckets, containing_intervals, just_ended, overlapping_pairs, radius_join
 from heronry.operators.windows import epoch
 from heronry.plans.registry import query
 
@@ -160,8 +160,8 @@ def link_cascade(t) -> DataFrame:
 
 @query(f"SELECT a.id AS id, b.id AS other FROM {SPANS} a JOIN {SPANS} b ON a.who = b.who AND a.id < b.id AND a.s <= b.e + 1 AND b.s <= a.e + 1")
 def overlap_margin_join(t) -> DataFrame:
-    a, b = spans(t), spans(t).withColumnsRenamed({"id": "other", "s": "s2", "e": "e2"}).drop("total")
-    return a.join(b, "who").filter((F.col("id") < F.col("other")) & (F.col("s") <= F.date_add("e2", 1)) & (F.col("s2") <= F.date_add("e", 1))).select("id", "other")
+    other = spans(t).select("who", F.col("id").alias("other"), F.col("s").alias("s2"), F.col("e").alias("e2"))
+    return overlapping_pairs(spans(t), other, "who", "s", "e", "s2", "e2", margin=1).filter("id < other").select("id", "other")
 
 
 @query(f"""WITH m AS (SELECT event_id, count(*) AS n, min(id) AS id FROM {CASCADE_PROBES} p JOIN {SPANS} o ON p.who = o.who AND probe BETWEEN s - 3 AND e + 3 GROUP BY 1) SELECT event_id, id FROM m WHERE n = 1""")
@@ -179,25 +179,37 @@ def overlap_resolution(t) -> DataFrame:
     b = a.select(F.col("id").alias("b_id"), "who", F.col("s").alias("b_s"), F.col("e").alias("b_e"), F.col("total").alias("b_total"))
     longer = F.date_diff("b_e", "b_s") - F.date_diff("e", "s")
     inside = (F.col("id") != F.col("b_id")) & (F.col("b_s") <= F.col("s")) & (F.col("b_e") >= F.col("e")) & ((longer > 0) | ((longer == 0) & (F.col("b_id") < F.col("id")))) & (F.col("b_total") >= F.col("total"))
-    absorbed = a.join(b, "who").filter(inside).groupBy("id").agg(F.min("b_id").alias("absorbed_by"))
+    absorbed = overlapping_pairs(a, b, "who", "s", "e", "b_s", "b_e").filter(inside).groupBy("id").agg(F.min("b_id").alias("absorbed_by"))
     j = a.join(absorbed, "id", "left")
     return j.groupBy("who").agg(F.count("*").alias("n"), F.count("absorbed_by").alias("n_absorbed"), F.round(F.sum(F.when(F.col("absorbed_by").isNull(), F.col("total")).otherwise(0.0)), 2).alias("total"))
 
 
-@query(f"""SELECT CAST(date_trunc('month', m) AS VARCHAR)[1:7] AS month, sum(greatest(0, date_diff('day', greatest(s, m::DATE), least(e, last_day(m::DATE))) + 1))::BIGINT AS days FROM (SELECT unnest(generate_series(DATE '1995-01-01', DATE '2001-12-01', INTERVAL 1 MONTH)) AS m) JOIN {SPANS} ON s <= last_day(m::DATE) AND e >= m::DATE GROUP BY 1""")
+@query(f"""SELECT CAST(date_trunc('month', m) AS VARCHAR)[1:7] AS month, sum(greatest(0, date_diff('day', greatest(s, m::DATE), least(e, last_day(m::DATE))) + 1))::BIGINT AS days FROM (SELECT unnest(generate_series((SELECT date_trunc('month', min(s)) FROM {SPANS}), (SELECT max(e) FROM {SPANS}), INTERVAL 1 MONTH)) AS m) JOIN {SPANS} ON s <= last_day(m::DATE) AND e >= m::DATE GROUP BY 1""")
 def clipped_overlap_hours(t) -> DataFrame:
     per = spans(t).withColumn("m", F.explode(F.sequence(F.trunc("s", "month"), F.trunc("e", "month"), F.expr("interval 1 month"))))
     days = F.date_diff(F.least("e", F.last_day("m")), F.greatest("s", "m")) + 1
-    return per.filter("m <= date'2001-12-01'").groupBy(F.date_format("m", "yyyy-MM").alias("month")).agg(F.sum(days).cast("long").alias("days"))
+    return per.groupBy(F.date_format("m", "yyyy-MM").alias("month")).agg(F.sum(days).cast("long").alias("days"))
 
 
-@query("""WITH d AS (SELECT event_id, user_id, CAST(ts AS DATE) - (event_id % 2)::INT AS a, CAST(ts AS DATE) AS b FROM events WHERE event_id % 5 = 0)
-SELECT x.event_id AS id, y.event_id AS other FROM d x JOIN d y ON x.user_id = y.user_id AND x.event_id < y.event_id AND x.a <= y.b AND y.a <= x.b""")
+@query("""WITH d AS (SELECT event_id, user_id, CAST(ts AS DATE) - (event_id % 2)::INT AS a, CAST(ts AS DATE) AS b FROM events), c AS (SELECT min(event_id) AS class, user_id, a, b, count(*) AS n FROM d GROUP BY user_id, a, b)
+SELECT x.class AS class, y.class AS other, x.n::BIGINT AS n, y.n::BIGINT AS n_other FROM c x JOIN c y ON x.user_id = y.user_id AND x.class < y.class AND x.a <= y.b AND y.a <= x.b""")
 def uncertain_date_overlap(t) -> DataFrame:
+    """Overlaps between classes of events (one user, the same possible days), by the classes' first events; members of a class overlap each other."""
     day = F.to_date("ts")
-    d = t.events.filter("event_id % 5 = 0").select("event_id", "user_id", F.explode(F.sequence(F.date_sub(day, (F.col("event_id") % 2).cast("int")), day)).alias("day"))
-    other = d.withColumnRenamed("event_id", "other")
-    return d.join(other, ["user_id", "day"]).filter("event_id < other").select(F.col("event_id").alias("id"), "other").distinct()
+    d = t.events.select("event_id", "user_id", F.date_sub(day, (F.col("event_id") % 2).cast("int")).alias("a"), day.alias("b"))
+    c = d.groupBy("user_id", "a", "b").agg(F.min("event_id").alias("class"), F.count("*").alias("n"))
+    days = c.withColumn("day", F.explode(F.sequence("a", "b")))
+    other = days.select("user_id", "day", F.col("class").alias("other"), F.col("n").alias("n_other"))
+    return days.join(other, ["user_id", "day"]).filter("class < other").select("class", "other", "n", "n_other").distinct()
+
+
+@query("""WITH d AS (SELECT event_id, user_id, CAST(ts AS DATE) - (event_id % 2)::INT AS a, CAST(ts AS DATE) AS b FROM events) SELECT event_id AS id, min(event_id) OVER (PARTITION BY user_id, a, b) AS class FROM d""")
+def uncertain_date_classes(t) -> DataFrame:
+    """The class of each event in uncertain_date_overlap."""
+    day = F.to_date("ts")
+    d = t.events.select("event_id", "user_id", F.date_sub(day, (F.col("event_id") % 2).cast("int")).alias("a"), day.alias("b"))
+    c = d.groupBy("user_id", "a", "b").agg(F.min("event_id").alias("class"))
+    return d.join(c, ["user_id", "a", "b"]).select(F.col("event_id").alias("id"), "class")
 
 
 @query("""WITH d AS (SELECT event_id, user_id, CAST(ts AS DATE) - (event_id % 2)::INT AS a, CAST(ts AS DATE) AS b FROM events)
