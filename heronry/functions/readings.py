@@ -68,7 +68,8 @@ def dates_in(text: Column, told: Column) -> Column:
     low = F.lower(text)
     ago = F.coalesce(*(F.nullif(F.regexp_extract(low, AGO, k), F.lit("")) for k in (1, 2, 3))).cast("int")
     month = F.try_element_at(F.create_map(*(F.lit(x) for pair in MONTHS.items() for x in pair)), F.regexp_extract(low, NAMED_DAY, 2))
-    named = F.try_make_date(F.year(told), month, F.nullif(F.regexp_extract(low, NAMED_DAY, 1), F.lit("")).cast("int")) if hasattr(F, "try_make_date") else F.make_date(F.year(told), month, F.nullif(F.regexp_extract(low, NAMED_DAY, 1), F.lit("")).cast("int"))
+    day = F.nullif(F.regexp_extract(low, NAMED_DAY, 1), F.lit(""))
+    named = F.to_date(F.try_to_timestamp(F.concat_ws("-", F.year(told), F.coalesce(month, F.lit(0)), day), F.lit("yyyy-M-d")))
     return F.when(low.rlike(YESTERDAY), F.date_sub(told, 1)).when(ago.isNotNull(), F.date_sub(told, ago)).when(named > told, F.add_months(named, -12)).otherwise(named)
 
 
