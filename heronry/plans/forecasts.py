@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronry.functions.numbers import ln_gamma, poisson_log_pmf
+from heronry.operators.graphs import cut
 from heronry.operators.windows import densify
 from heronry.plans.registry import query
 
@@ -109,26 +110,33 @@ def block_bootstrap_lb(t) -> DataFrame:
     return known.crossJoin(bound).select(F.col("k").alias("n_blocks"), "gain", "lower_bound")
 
 
-STEPS = 6
+#: Steps of the twin; Newton's have long settled by then.
+STEPS = 14
 _STEP = """b{1} AS (SELECT lang, b0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS b0, b1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS b1 FROM (SELECT lang, any_value(b0) AS b0, any_value(b1) AS b1,
-sum(n * (y - p)) - 0.01 * any_value(b0) AS g0, sum(n * x * (y - p)) - 0.01 * any_value(b1) AS g1, sum(n * p * (1 - p)) + 0.01 AS h00, sum(n * x * p * (1 - p)) AS h01, sum(n * x * x * p * (1 - p)) + 0.01 AS h11
+sum(n * (y - p)) AS g0, sum(n * x * (y - p)) - 0.01 * any_value(b1) AS g1, sum(n * p * (1 - p)) AS h00, sum(n * x * p * (1 - p)) AS h01, sum(n * x * x * p * (1 - p)) + 0.01 AS h11
 FROM (SELECT c.*, b0, b1, 1 / (1 + exp(-(b0 + b1 * x))) AS p FROM c JOIN b{0} USING (lang)) GROUP BY lang))"""
 
 
 @query(f"""WITH c AS MATERIALIZED (SELECT lang, round(ln(1.0 + n_chars), 1)::DOUBLE - 6 AS x, quality AS y, count(*) AS n FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL GROUP BY ALL),
-b0 AS MATERIALIZED (SELECT DISTINCT lang, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1 FROM c), {", ".join(_STEP.format(k, k + 1).replace(" AS (", " AS MATERIALIZED (", 1) for k in range(STEPS))}
+b0 AS MATERIALIZED (SELECT lang, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1 FROM c GROUP BY lang HAVING min(y) < max(y)), {", ".join(_STEP.format(k, k + 1).replace(" AS (", " AS MATERIALIZED (", 1) for k in range(STEPS))}
 SELECT lang, round(b0, 5) AS b0, round(b1, 5) AS b1 FROM b{STEPS}""")
 def logistic_newton(t) -> DataFrame:
-    """Good or bad by length, per language, with Newton's steps on counted cells: each step is five sums a language."""
+    """Good or bad by length, per language, with Newton's steps on counted cells: each step is five sums a language. The intercept isn't penalised; it ends when no step reaches 1e-8."""
     joined = t.labels.filter("quality is not null").join(t.documents.select("doc_id", "lang", "n_chars"), "doc_id")
     cells = joined.groupBy("lang", (F.round(F.log(1.0 + F.col("n_chars")), 1) - 6).alias("x"), F.col("quality").alias("y")).agg(F.count("*").alias("n"))
-    b = cells.select("lang").distinct().select("lang", F.lit(0.0).alias("b0"), F.lit(0.0).alias("b1"))
+    cells = cut(cells)
+    both = cells.groupBy("lang").agg((F.min("y") < F.max("y")).alias("both")).filter("both")
+    b = both.select("lang", F.lit(0.0).alias("b0"), F.lit(0.0).alias("b1"))
     n, x, y, p = (F.col(c) for c in "nxyp")
-    for _ in range(STEPS):
+    for _ in range(40):
         told = cells.join(b, "lang").withColumn("p", 1 / (1 + F.exp(-(F.col("b0") + F.col("b1") * x))))
         s = told.groupBy("lang", "b0", "b1").agg(F.sum(n * (y - p)).alias("g0"), F.sum(n * x * (y - p)).alias("g1"), F.sum(n * p * (1 - p)).alias("h00"), F.sum(n * x * p * (1 - p)).alias("h01"), F.sum(n * x * x * p * (1 - p)).alias("h11"))
-        g0, g1 = F.col("g0") - 0.01 * F.col("b0"), F.col("g1") - 0.01 * F.col("b1")
-        h00, h01, h11 = F.col("h00") + 0.01, F.col("h01"), F.col("h11") + 0.01
+        g0, g1 = F.col("g0"), F.col("g1") - 0.01 * F.col("b1")
+        h00, h01, h11 = F.col("h00"), F.col("h01"), F.col("h11") + 0.01
         det = h00 * h11 - h01 * h01
-        b = s.select("lang", (F.col("b0") + (h11 * g0 - h01 * g1) / det).alias("b0"), (F.col("b1") + (h00 * g1 - h01 * g0) / det).alias("b1"))
+        step0, step1 = (h11 * g0 - h01 * g1) / det, (h00 * g1 - h01 * g0) / det
+        moved = cut(s.select("lang", (F.col("b0") + step0).alias("b0"), (F.col("b1") + step1).alias("b1"), F.greatest(F.abs(step0), F.abs(step1)).alias("step")))
+        b = moved.drop("step")
+        if (moved.agg(F.max("step")).first()[0] or 0.0) < 1e-8:
+            break
     return b.select("lang", F.round("b0", 5).alias("b0"), F.round("b1", 5).alias("b1"))

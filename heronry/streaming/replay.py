@@ -20,9 +20,13 @@ def event_stream(spark: SparkSession, folder: str, late: str = "2 days") -> Data
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
-def replay(stream: DataFrame, mode: str) -> DataFrame:
-    """What the stream gives once all files are read: each batch replaces (complete) or adds to (append) the result."""
-    spark, folder = stream.sparkSession, fresh_folder(stream.sparkSession)
+def replay(stream: DataFrame, mode: str, folder: str | None = None) -> DataFrame:
+    """What the stream gives once all files are read: each batch replaces (complete) or adds to (append) the result.
+
+    A run that is given the `folder` of an earlier one goes on where that stopped.
+    """
+    spark = stream.sparkSession
+    folder = folder or fresh_folder(spark)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out" if mode == "complete" else f"{folder}/out/batch={number}")
@@ -40,23 +44,31 @@ def split_stream(spark: SparkSession, folder: str, n: int) -> DataFrame:
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def upsert_replay(stream: DataFrame, keys: list[str], version: str) -> DataFrame:
+def tables_in(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the tables that batches have finished in a folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/table-*/_SUCCESS")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+    return sorted(int(f.getPath().getParent().getName().removeprefix("table-")) for f in found)
+
+
+def upsert_replay(stream: DataFrame, keys: list[str], version: str, folder: str | None = None) -> DataFrame:
     """The latest version of each key after all batches.
 
     Each batch writes the table anew beside the one before it, under its own
-    number, so a batch that is run again gives the same table. Versions of a
-    key have to differ; equal ones are one row.
+    number, so a batch that is run again gives the same table, and a run that
+    is given the `folder` of an earlier one goes on where that stopped.
+    Versions of a key have to differ; equal ones are one row.
     """
-    spark, folder = stream.sparkSession, fresh_folder(stream.sparkSession)
+    spark = stream.sparkSession
+    folder = folder or fresh_folder(spark)
     rest = [c for c in stream.columns if c not in keys]
-    numbers: list[int] = []
 
     def keep(batch: DataFrame, number: int) -> None:
-        before = [k for k in numbers if k < number]
+        before = [k for k in tables_in(spark, folder) if k < number]
         table = batch.unionByName(spark.read.parquet(f"{folder}/table-{before[-1]}")) if before else batch
         latest = table.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("__latest"))
         latest.select(*keys, "__latest.*").write.mode("overwrite").parquet(f"{folder}/table-{number}")
-        numbers[:] = [*before, number]
 
     stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/table-{numbers[-1]}") if numbers else spark.createDataFrame([], stream.schema)
+    done = tables_in(spark, folder)
+    return spark.read.parquet(f"{folder}/table-{done[-1]}") if done else spark.createDataFrame([], stream.schema)
