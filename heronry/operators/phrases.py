@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heronry.operators.joins import few
+
 
 def word_grams(words: Column, n: int) -> Column:
     """All runs of n words of an array, space-joined; none if there are fewer. Pass a column of its own: an expression would be computed for every run."""
@@ -17,13 +19,14 @@ def containing(docs: DataFrame, phrases: DataFrame, n: int = 5) -> DataFrame:
 
     A phrase is looked up by its first n words, a shorter one by its first
     word, among the hashes of each text's runs; texts are only read again for
-    the candidates. Null and empty phrases are in no text.
+    the candidates. Few phrases are broadcast, so runs that begin none are
+    dropped where they are made. Null and empty phrases are in no text.
     """
     words = F.split("folded", " ")
     anchor = F.when(F.size(words) >= n, F.array_join(F.slice(words, 1, n), " ")).otherwise(F.element_at(words, 1))
     anchors = phrases.filter("folded <> ''").select("phrase", F.col("folded").alias("wanted"), F.xxhash64(anchor).alias("h"))
     runs = F.array_distinct(F.transform(F.array_union(word_grams(F.col("ws"), n), F.col("ws")), lambda x: F.xxhash64(x)))
-    met = docs.select("doc", words.alias("ws")).select("doc", F.explode(runs).alias("h")).join(anchors, "h").select("doc", "phrase", "wanted").distinct()
+    met = docs.select("doc", words.alias("ws")).select("doc", F.explode(runs).alias("h")).join(F.broadcast(anchors) if few(anchors) else anchors, "h").select("doc", "phrase", "wanted").distinct()
     checked = met.join(docs.select("doc", "folded"), "doc").filter(F.contains(F.concat(F.lit(" "), "folded", F.lit(" ")), F.concat(F.lit(" "), "wanted", F.lit(" "))))
     return checked.select("doc", "phrase")
 
@@ -33,16 +36,19 @@ def similar_sets(sets: DataFrame, percent: int) -> DataFrame:
 
     Prefix filter: with words ordered from rare to frequent, two sets that
     similar share one of their first size - ceil(percent * size) + 1 words.
+    At the first word they share, what is left of both has to hold all words
+    that they need in common, which drops most meetings at frequent words.
     Ids and sets have to be different.
     """
     each = sets.select("id", "block", F.size("words").alias("n"), F.explode("words").alias("word"))
     known = each.groupBy("block", "word").agg(F.count("*").alias("df"))
     least = F.floor((F.col("n") * percent + 99) / 100)
     ordered = each.join(known, ["block", "word"]).groupBy("id", "block", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("o"))
-    prefix = ordered.select("id", "block", "n", F.explode(F.slice("o", F.lit(1), (F.col("n") - least + 1).cast("int"))).alias("p"))
-    left = prefix.select("block", F.col("p.word").alias("word"), F.col("id").alias("a"), F.col("n").alias("na"))
-    right = prefix.select("block", F.col("p.word").alias("word"), F.col("id").alias("b"), F.col("n").alias("nb"))
-    met = left.join(right, ["block", "word"]).filter("a < b").filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)).select("a", "b").distinct()
+    prefix = ordered.select("id", "block", "n", F.posexplode(F.slice("o", F.lit(1), (F.col("n") - least + 1).cast("int"))).alias("i", "p"))
+    side = lambda name: prefix.select("block", F.col("p.word").alias("word"), F.col("id").alias(name), F.col("n").alias(f"n{name}"), (F.col("n") - F.col("i")).alias(f"left_{name}"))
+    like = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    enough = F.least("left_a", "left_b") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    met = side("a").join(side("b"), ["block", "word"]).filter((F.col("a") < F.col("b")) & like & enough).select("a", "b").distinct()
     words = lambda side: sets.select(F.col("id").alias(side), F.col("words").alias(f"w{side}"))
     counted = met.join(words("a"), "a").join(words("b"), "b").select("a", "b", F.size(F.array_intersect("wa", "wb")).cast("long").alias("n_shared"), F.size(F.array_union("wa", "wb")).cast("long").alias("n_all"))
     return counted.filter(F.col("n_shared") * 100 >= F.col("n_all") * percent)
