@@ -117,10 +117,10 @@ def distinct_two_level(t) -> DataFrame:
 
 
 @query("""WITH h AS (SELECT CAST(ts AS DATE) AS d, date_trunc('hour', ts) AS h, avg(value) AS p, count(*) AS n FROM events GROUP BY ALL)
-SELECT CAST(d AS VARCHAR) AS day, sum(n)::BIGINT AS n, round(sum(p * n) / sum(n), 4) AS weighted FROM h GROUP BY 1""")
+SELECT CAST(d AS VARCHAR) AS day, sum(n)::BIGINT AS n, round(sum(p * n) / sum(n), 6) AS weighted FROM h GROUP BY 1""")
 def weighted_rollup(t) -> DataFrame:
     h = t.events.groupBy(F.to_date("ts").alias("d"), F.date_trunc("hour", "ts").alias("h")).agg(F.avg("value").alias("p"), F.count("*").alias("n"))
-    return h.groupBy(F.col("d").cast("string").alias("day")).agg(F.sum("n").alias("n"), F.round(F.sum(F.col("p") * F.col("n")) / F.sum("n"), 4).alias("weighted"))
+    return h.groupBy(F.col("d").cast("string").alias("day")).agg(F.sum("n").alias("n"), F.round(F.sum(F.col("p") * F.col("n")) / F.sum("n"), 6).alias("weighted"))
 
 
 @query("""SELECT l_returnflag, round(median(l_extendedprice), 4) AS med, round(quantile_cont(l_extendedprice, 0.25), 4) AS p25, round(quantile_cont(l_extendedprice, 0.75), 4) AS p75
