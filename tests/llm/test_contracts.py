@@ -224,6 +224,12 @@ def test_quality_lines(spark):
     assert kept.text == "\n".join(lines) and kept.n_chars == len(kept.text)
 
 
+def test_quality_filter_stays_above_its_columns(docs):
+    """The filter reads the column; were it moved below, each of its uses would compute the rules anew."""
+    plan = quality.keep_good(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Filter \((isnotnull\(q_kept#\d+\) AND )?q_kept#", plan), plan[:500]
+
+
 def sentences(mark, n_words=14, n=8):
     return [" ".join(f"w{k}x{j}" for j in range(n_words)) + mark for k in range(n)]
 
