@@ -45,6 +45,8 @@ ORDER = 3
 ALPHA = 0.4
 SHARD_BYTES = 8 << 20
 PASSES = 6
+#: Rows that go to a Python worker at once; words of a document take some kilobytes.
+BATCH_ROWS = 2000
 #: Bits of the count beside the shard's number; larger counts take several rows.
 COUNT_BITS = 20
 #: Bits of the shard's number in its task.
@@ -198,6 +200,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     def write(df: DataFrame, name: str, *by: str) -> None:
         df.write.option("compression", "zstd").partitionBy(*by).parquet(f"{base}/{name}")
 
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, str(BATCH_ROWS))
     with shuffles_dropped(spark):
         write(sharded(rows, shard_bytes), "words")
         words = spark.read.schema(WORDS).parquet(f"{base}/words")
@@ -233,6 +238,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         for own in range(passes):
             asked = words.filter(part == own).groupBy("shard")
             write(asked.cogroup(known.filter(F.col("part") == own).select("shard", "h", "total").groupBy("shard")).applyInArrow(finish, schema), f"scores/part={own}")
+    spark.conf.set(batch, before)
     drop(spark, f"{base}/words")
     drop(spark, f"{base}/known")
     return spark.read.schema(schema).parquet(*(f"{base}/scores/part={own}" for own in range(passes)))
