@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heronry.llm import chat, decontaminate, licenses, lm_score, packing, quality, secrets, simhash, token_shards, warc
+from heronry.llm import chat, decontaminate, licenses, lm_score, packing, quality, resample, secrets, simhash, token_shards, warc
 from heronry.llm.sql import ORACLE_SQL as ORACLE_SQL
 
 
@@ -54,6 +54,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(table(spark, sf_dir, "pages"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_lm_score": op2_lm_score,
@@ -65,4 +69,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_packing": op9_packing,
     "op10_warc": op10_warc,
+    "op11_resample": op11_resample,
 }
