@@ -59,3 +59,9 @@ def pack_bounds(sizes, most: int):
 def text_bytes(df: DataFrame, column: str) -> int:
     """Total UTF-8 bytes of a column."""
     return int(df.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0)
+
+
+def drop_path(spark, path: str) -> None:
+    """Deletes a folder in the shared folder."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -76,4 +76,28 @@ SELECT conv_id::BIGINT AS conv_id, len(x)::BIGINT AS n_turns, n_same::BIGINT AS
 FROM whole ANTI JOIN parts USING (x)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": DECONTAMINATION, "op6_quality_rules": QUALITY, "op8_chat": CHAT}
+
+
+def _clusters(k: int = 40, rounds: int = 5, size: int = 64) -> str:
+    """Every assignment and every move as a relation of its own."""
+    parts = [
+        f"kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {size})",
+        "q AS MATERIALIZED (SELECT r, unnest(list_transform(e, lambda x: greatest(least(floor(256 * x), 134217728), -134217728)::BIGINT)) AS x, generate_subscripts(e, 1) AS i FROM kept)",
+        f"first AS (SELECT r, row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, 'null')), e) - 1 AS c FROM kept QUALIFY c < {k})",
+        "c0 AS MATERIALIZED (SELECT c, i, x FROM first JOIN q USING (r))",
+    ]
+    for n in range(rounds + 1):
+        parts.append(f"a{n} AS MATERIALIZED (SELECT r, m.c AS c, m.d AS d FROM (SELECT r, min({{'d': d, 'c': c}}) AS m FROM (SELECT q.r, c{n}.c, sum((q.x - c{n}.x) * (q.x - c{n}.x)) AS d FROM q JOIN c{n} USING (i) GROUP BY ALL) GROUP BY r))")
+        if n < rounds:
+            parts.append(f"c{n + 1} AS MATERIALIZED (SELECT c, i, coalesce(y, x)::BIGINT AS x FROM c{n} LEFT JOIN (SELECT c, i, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS y FROM a{n} JOIN q USING (r) GROUP BY ALL) USING (c, i))")
+    parts += [
+        f"inside AS (SELECT c, sum(d) AS n FROM a{rounds} GROUP BY c)",
+        f"named AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS h FROM c{rounds} GROUP BY c)",
+    ]
+    most = "least({}, 9223372036854775807::HUGEINT)::BIGINT"
+    return f"WITH {', '.join(parts)} SELECT vec_id, c::INTEGER AS cluster, d::BIGINT AS distance, {most.format('n')} AS cluster_inertia, {most.format('(SELECT sum(n) FROM inside)')} AS inertia, h AS centroid_sha256 FROM a{rounds} JOIN kept USING (r) JOIN inside USING (c) JOIN named USING (c)"
+
+
+CLUSTERS = _clusters()
+
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": DECONTAMINATION, "op6_quality_rules": QUALITY, "op8_chat": CHAT, "op13_clusters": CLUSTERS}
