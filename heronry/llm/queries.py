@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heronry.llm import chat, clusters, decontaminate, licenses, lm_score, packing, quality, resample, secrets, simhash, token_shards, warc
+from heronry.llm import bpe, chat, clusters, decontaminate, licenses, lm_score, packing, quality, resample, secrets, simhash, token_shards, warc
 from heronry.llm.sql import ORACLE_SQL as ORACLE_SQL
 
 
@@ -58,6 +58,10 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.report(table(spark, sf_dir, "documents"))
+
+
 def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.report(table(spark, sf_dir, "embeddings"))
 
@@ -74,5 +78,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_warc": op10_warc,
     "op11_resample": op11_resample,
+    "op12_bpe": op12_bpe,
     "op13_clusters": op13_clusters,
 }
