@@ -4,11 +4,11 @@ Each task cuts its documents into shards and sorts the word suffixes of each
 shard (words as ranks, several to an integer key; only suffixes that still
 tie are sorted on). Every suffix of every benchmark item is then found in
 every shard by binary search, which gives all places of its first `window`
-words. For the longest matches, the first place of a window in a document and
-its first place in an item are followed both ways to the match's full length;
-further places of the same window count as hits but aren't followed, so the
-work is in proportion to the windows found. Documents don't move: there is no
-shuffle.
+words. A longest match begins where a window stands in a document and in an
+item after different words (or at either's start); only such pairs of places
+are made, so a run of one repeated word has as many as it has words, and the
+length of each is found by halving over sums of word hashes. Documents don't
+move: there is no shuffle.
 
 The benchmark is a stated query set. It is read in blocks of bounded bytes
 (`block_bytes`), each prepared once on the driver, broadcast and searched over
@@ -57,6 +57,8 @@ LOWER = np.frombuffer(ASCII_LOWER, dtype=np.uint8)
 WORD_BYTE = np.array([48 <= b <= 57 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 WEIGHT = np.random.default_rng(7).integers(0, 1 << 64, 256, dtype=np.uint64) | np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+#: What stands before a text's first word; never equal.
+ITEM_START, DOC_START = np.uint64(0), np.uint64(1)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
@@ -67,6 +69,11 @@ def powers(base: int, length: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def roof(n: int) -> int:
+    """A power of two over n, so that few tables of powers are kept."""
+    return 1 << max(20, int(n).bit_length())
+
+
 def hash_words(raw: np.ndarray, offsets: np.ndarray, places: bool = False):
     """(64-bit hash of each word, index of its text[, its first byte]) for the UTF-8 bytes of consecutive texts."""
     if not len(raw):
@@ -81,7 +88,7 @@ def hash_words(raw: np.ndarray, offsets: np.ndarray, places: bool = False):
     after = np.empty(len(raw), bool)
     after[-1], after[:-1] = False, word[1:]
     ends = np.nonzero(word & (~after | first[1:]))[0] + 1
-    size = 1 << max(20, int(len(raw)).bit_length())
+    size = roof(len(raw))
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(WEIGHT[low] * powers(int(BASE), size)[: len(raw)], out=total[1:])
     h = (total[ends] - total[starts]) * powers(int(BASE_INVERSE), size)[starts]
@@ -111,12 +118,28 @@ class Queries:
         which = which.reshape(-1)
         self.at = np.stack([place[first], length[first]], axis=1) if len(place) else np.zeros((0, 2), np.int64)
         self.depth = int(self.at[:, 1].max()) if len(self.at) else 0
-        # Of each window: its different ids, and its first place in each item.
+        # Of each window: its different ids, and its places in all items, sorted by the word before each (START at an item's start).
         pairs = np.unique(np.stack([which, id_of[item]], axis=1), axis=0) if len(place) else np.zeros((0, 2), np.int64)
         self.id_edge, self.id_list = np.searchsorted(pairs[:, 0], np.arange(len(self.at) + 1)), pairs[:, 1]
-        seen, once = np.unique(np.stack([which, item], axis=1), axis=0, return_index=True) if len(place) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
-        self.place_edge = np.searchsorted(seen[:, 0], np.arange(len(self.at) + 1))
-        self.place_list, self.place_item, self.id_of_item = place[once], seen[:, 1], id_of
+        begins = place == self.starts[item]
+        before = np.where(begins, ITEM_START, self.words[np.maximum(place - 1, 0)]) if len(place) else np.zeros(0, np.uint64)
+        order = np.lexsort((before, which))
+        self.place_list, self.place_item, self.id_of_item = place[order], item[order], id_of
+        self.place_edge = np.searchsorted(which[order], np.arange(len(self.at) + 1))
+        self.before = np.unique(before)
+        self.place_key = which[order] * (len(self.before) + 1) + np.searchsorted(self.before, before[order])
+
+    def heads(self, which: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index into `which`, place in place_list) of the places of each window that follow another word than `before`."""
+        begin, end = self.place_edge[which], self.place_edge[which + 1]
+        rank = np.searchsorted(self.before, before)
+        known = self.before[np.minimum(rank, len(self.before) - 1)] == before
+        key = which * (len(self.before) + 1) + rank
+        low = np.where(known, np.searchsorted(self.place_key, key), end)
+        high = np.where(known, np.searchsorted(self.place_key, key, side="right"), end)
+        first, count = np.concatenate([begin, high]), np.concatenate([low - begin, end - high])
+        own = np.repeat(np.tile(np.arange(len(which)), 2), count)
+        return own, np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
 
     def rolled(self, place: np.ndarray, length: np.ndarray, base: np.uint64) -> np.ndarray:
         """64-bit hash of the words of each window."""
@@ -226,36 +249,34 @@ def search(words: np.ndarray, doc: np.ndarray, n_docs: int, q: Queries):
     in_doc, which, places = in_doc[order], which[order], places[order]
     once = np.ones(len(order), bool)
     once[1:] = (np.diff(in_doc) != 0) | (np.diff(which) != 0)
-    in_doc, which, places = in_doc[once], which[once], places[once]  # the first place of each window in each document
-    own, ids = listed(q.id_edge, q.id_list, which)
-    doc_items = np.unique(np.stack([in_doc[own], ids], axis=1), axis=0)
-    own, at_item = listed(q.place_edge, q.place_list, which)
-    _, item = listed(q.place_edge, q.place_item, which)
-    rows = np.stack([in_doc[own], item, places[own], at_item], axis=1)
-    # Only the first place of a diagonal (document word minus item word) is followed to the match's ends.
-    rows = rows[np.lexsort((rows[:, 2], rows[:, 2] - rows[:, 3], rows[:, 1], rows[:, 0]))]
-    chained = np.zeros(len(rows), bool)
-    chained[1:] = (np.diff(rows[:, 0]) == 0) & (np.diff(rows[:, 1]) == 0) & (np.diff(rows[:, 2]) == 1) & (np.diff(rows[:, 3]) == 1)
-    head = rows[~chained]
-    back = followed(shard, ranks, head[:, 2] - 1, head[:, 3] - 1, head[:, 3] - q.starts[head[:, 1]], -1)
-    size = back + followed(shard, ranks, head[:, 2], head[:, 3], q.ends[head[:, 1]] - head[:, 3], 1)
-    whole = np.stack([head[:, 0], head[:, 1], head[:, 2] - back - shard.first[head[:, 0]], head[:, 3] - back - q.starts[head[:, 1]], size], axis=1)
+    own, ids = listed(q.id_edge, q.id_list, which[once])
+    doc_items = np.unique(np.stack([in_doc[once][own], ids], axis=1), axis=0)
+    rank_before = np.where(places == shard.first[in_doc], 0, shard.ranks[np.maximum(places - 1, 0)])
+    own, at = q.heads(which, np.where(rank_before == 0, DOC_START, shard.vocabulary[np.maximum(rank_before - 1, 0)]))
+    in_doc, places, item, item_word = in_doc[own], places[own], q.place_item[at], q.place_list[at]
+    most = np.minimum(shard.first[in_doc] + shard.n_words[in_doc] - places, q.ends[item] - item_word)
+    size = agreed(sums_of(np.where(shard.ranks > 0, shard.vocabulary[np.maximum(shard.ranks - 1, 0)], np.uint64(0))), sums_of(q.words), places, item_word, most)
+    whole = np.stack([in_doc, item, places - shard.first[in_doc], item_word - q.starts[item], size], axis=1)
     return shard.n_words, runs, doc_items, np.unique(whole, axis=0)
 
 
-def followed(shard: Shard, ranks: np.ndarray, doc_word: np.ndarray, item_word: np.ndarray, most: np.ndarray, turn: int) -> np.ndarray:
-    """How many words agree from each pair of places on, backwards or forwards, within `most`; a block of words at a time."""
-    size, live, block = np.zeros(len(most), np.int64), np.arange(len(most)), np.arange(16)
-    while len(live):
-        step = size[live, None] + block
-        inside = step < most[live, None]
-        a = np.clip(doc_word[live, None] + turn * step, 0, len(shard.ranks) - 1)
-        b = np.clip(item_word[live, None] + turn * step, 0, max(0, len(ranks) - 1))
-        same = inside & (doc_word[live, None] + turn * step >= 0) & (shard.ranks[a] == ranks[b])
-        agreed = np.where(same.all(axis=1), len(block), same.argmin(axis=1))
-        size[live] += agreed
-        live = live[agreed == len(block)]
-    return size
+def sums_of(words: np.ndarray) -> np.ndarray:
+    """Running sums of word hashes times powers of BASE, so that a difference tells a stretch of words."""
+    out = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum((words ^ (words >> np.uint64(33))) * powers(int(BASE), roof(len(words)))[: len(words)], out=out[1:])
+    return out
+
+
+def agreed(doc_sums: np.ndarray, item_sums: np.ndarray, doc_word: np.ndarray, item_word: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many words agree from each pair of places on, within `most`, by halving."""
+    back = powers(int(BASE_INVERSE), roof(max(len(doc_sums), len(item_sums))))
+    low, high = np.zeros(len(most), np.int64), most.copy()
+    while (live := np.nonzero(low < high)[0]).size:
+        mid = (low[live] + high[live] + 1) >> 1
+        p, i = doc_word[live], item_word[live]
+        same = (doc_sums[p + mid] - doc_sums[p]) * back[p] == (item_sums[i + mid] - item_sums[i]) * back[i]
+        low[live[same]], high[live[~same]] = mid[same], mid[~same] - 1
+    return low
 
 
 def nested(n: int, owner: np.ndarray, values: pa.Array) -> pa.Array:

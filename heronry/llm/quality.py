@@ -8,14 +8,15 @@ words fails if it
 * has 12 words or more without a sentence mark of any script, unless it is a
   part of wrapped text: a paragraph of two lines or more that has sentence
   marks, at the ends of half of its lines at most (Thai and Lao write none);
-* is a short line with a boilerplate phrase;
+* is a short line of which whole boilerplate phrases make up a third or, for
+  prompts to the reader, half;
 * repeats an earlier line.
 A document is rejected if over half of the characters of such lines go, or
 if the base rules fail: fewer than 50 words, or over half of its words in
 three-word windows found twice or more (windows are compared by 64-bit hash).
 
-Defined cases: null text has no words and fails; blank lines stay and count
-for nothing; a very long text or line is judged whole; a document that loses
+Defined cases: null text has no words and fails; blank lines count for nothing
+and stay, but for those at the ends of a text that loses lines; a very long text or line is judged whole; a document that loses
 just half stays; repeated documents are judged each; an empty table gives no
 rows; columns named q_* are replaced, others pass through.
 """
@@ -33,12 +34,14 @@ SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_LINE_LOSS = 0.5
-#: Phrases of boilerplate lines (fixed values).
-BOILERPLATE = (
-    "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "accept cookies", "uses cookies",
-    "enable javascript", "lorem ipsum", "click here", "read more", "sign up", "log in", "subscribe", "share this", "powered by",
+#: Phrases of boilerplate lines: notices, and prompts to the reader (fixed values).
+NOTICES = (
+    "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "accept cookies", "uses cookies", "enable javascript", "lorem ipsum",
     "política de privacidad", "todos los derechos reservados", "datenschutzerklärung", "alle rechte vorbehalten", "tous droits réservés", "politique de confidentialité",
 )
+PROMPTS = ("click here", "read more", "sign up", "log in", "subscribe", "share this", "powered by")
+#: A line is boilerplate if its phrases, whole words with the characters beside them, make up one part in so many of it.
+NOTICE_PART, PROMPT_PART = 3, 2
 BOILERPLATE_MAX_CHARS = 200
 
 #: Unicode's sentence terminals of the Basic Multilingual Plane, then dots, colons, semicolons and shads.
@@ -53,6 +56,8 @@ MARKED = rf"[{MARKS}\p{{IsThai}}\p{{IsLao}}]"
 MARKED_END = rf"(?md)[{MARKS}][\"'\u2019\u201d\u00bb\u300d\u300f)\]]*[\x20\x09\x0D]*$"
 BLANK_LINES = r"\n(?:[\x20\x09\x0B-\x0D]*\n)+"
 
+BLANK_ENDS = r"^(?:[\x20\x09\x0B-\x0D]*\n)+|(?:\n[\x20\x09\x0B-\x0D]*)+$"
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once a row."""
@@ -96,6 +101,18 @@ def repeated_window_words(words: Column, n_words: Column) -> Column:
     return let(windows, covered)
 
 
+def whole_words(phrases: tuple[str, ...]) -> str:
+    """A pattern for the phrases between characters that aren't letters or digits."""
+    return rf"(?:^|[^\p{{L}}\p{{N}}])(?:{'|'.join(phrases)})(?:[^\p{{L}}\p{{N}}]|$)"
+
+
+def boilerplate(line: Column) -> Column:
+    """Phrases make up enough of a short line; lines without the letters of one are told at once."""
+    low, size = F.lower(line), F.char_length(line)
+    enough = lambda phrases, part: (size - F.char_length(F.regexp_replace(low, whole_words(phrases), ""))) * part >= size
+    return F.when((size <= BOILERPLATE_MAX_CHARS) & low.rlike("|".join((*NOTICES, *PROMPTS))), enough(NOTICES, NOTICE_PART) | enough(PROMPTS, PROMPT_PART)).otherwise(False)
+
+
 def line_fails(line: Column) -> Column:
     """The rules for one line with words, but for repetition and sentence marks."""
     n_chars = F.char_length(line)
@@ -103,12 +120,11 @@ def line_fails(line: Column) -> Column:
     n_marks = F.regexp_count(line, F.lit(r"[|»›·•]"))
     n_symbols = n_chars - F.char_length(without(line, SYMBOLS))
     n_capitals = F.regexp_count(line, F.lit(r"\p{Lu}"))
-    phrase = F.lower(line).rlike("|".join(BOILERPLATE))
     return (
         ((n_marks >= 2) & (n_marks * 4 >= n_words))
         | (n_symbols * 20 > n_chars)
         | ((n_capitals >= 20) & (n_capitals * 10 > n_chars * 3))
-        | ((n_chars <= BOILERPLATE_MAX_CHARS) & phrase)
+        | boilerplate(line)
     )
 
 
@@ -127,6 +143,14 @@ def wrapped_lines(text: Column, has_word: Callable[[Column], Column]) -> Column:
     return F.flatten(F.transform(F.filter(F.split(text, BLANK_LINES), wrapped), lambda p: F.split(p, "\n")))
 
 
+def without_lines(lines: Column, bad: Column, has_word: Callable[[Column], Column]) -> Column:
+    """The text of the lines that aren't bad and of the first of equal ones; blank lines between them stay where they are."""
+    # A blank line is told apart by its number, after a line end that no line holds.
+    told = F.transform(lines, lambda x, k: F.when(has_word(x), x).otherwise(F.concat(x, F.lit("\n"), k.cast("string"))))
+    text = F.array_join(F.transform(F.array_except(F.array_distinct(told), bad), lambda x: F.substring_index(x, "\n", 1)), "\n")
+    return F.regexp_replace(text, BLANK_ENDS, "")
+
+
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`docs` with q_ columns: the base counts, base_failed, the cleaned text, the share of characters lost, kept."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -154,7 +178,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     staged = staged.withColumns({
         "q_base_failed": failed,
         "q_line_loss": F.when(F.col("q_all_chars") > 0, F.round(1 - F.col("q_good_chars") / F.col("q_all_chars"), 6)).otherwise(F.lit(0.0)),
-        "q_cleaned": F.when((F.size("q_good") == F.size("q_full")), F.col("q_text")).otherwise(F.array_join("q_good", "\n")),
+        "q_cleaned": F.when((F.size("q_good") == F.size("q_full")), F.col("q_text")).otherwise(without_lines(F.col("q_lines"), F.array_except("q_unique", "q_good"), has_word)),
     })
     kept = ~F.col("q_base_failed") & (F.col("q_good_chars") >= (1 - MAX_LINE_LOSS) * F.col("q_all_chars"))
     return staged.withColumn("q_kept", settled(kept)).drop("q_text", "q_words", "q_lines", "q_full", "q_unique", "q_unmarked", "q_lost", "q_good")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from heronry.llm.quality import BOILERPLATE, BOILERPLATE_MAX_CHARS, MARKED_END, MARKS
+from heronry.llm.quality import BOILERPLATE_MAX_CHARS, MARKED_END, MARKS, NOTICE_PART, NOTICES, PROMPT_PART, PROMPTS, whole_words
 
 WINDOW = 13
 
@@ -37,7 +37,8 @@ _SPACE, _INK = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 _N_WORDS = f"len(regexp_extract_all(line, '{_INK}+'))"
 _MARKED = rf"[{MARKS}\p{{Thai}}\p{{Lao}}]"
 _END = re.sub(r"\\u([0-9a-f]{4})", lambda m: chr(int(m[1], 16)), MARKED_END.replace("(?md)", "(?m)")).replace("'", "''")
-_PHRASES = "|".join(BOILERPLATE)
+_SHARE = "(length(line) - length(regexp_replace(lower(line), '{}', '', 'g'))) * {} >= length(line)"
+_BOILERPLATE = f"({_SHARE.format(whole_words(NOTICES), NOTICE_PART)} OR {_SHARE.format(whole_words(PROMPTS), PROMPT_PART)})"
 
 QUALITY = f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
@@ -56,7 +57,7 @@ judged AS (SELECT r, length(line) AS n,
   (len(regexp_extract_all(line, '[|»›·•]')) >= 2 AND len(regexp_extract_all(line, '[|»›·•]')) * 4 >= {_N_WORDS})
   OR (length(line) - length(translate(line, '#*$%&|<>', ''))) * 20 > length(line)
   OR (len(regexp_extract_all(line, '\\p{{Lu}}')) >= 20 AND len(regexp_extract_all(line, '\\p{{Lu}}')) * 10 > length(line) * 3)
-  OR (length(line) <= {BOILERPLATE_MAX_CHARS} AND regexp_matches(lower(line), '{_PHRASES}'))
+  OR (length(line) <= {BOILERPLATE_MAX_CHARS} AND {_BOILERPLATE})
   OR (NOT regexp_matches(line, '{_MARKED}') AND {_N_WORDS} >= 12 AND NOT EXISTS (SELECT 1 FROM wrapped AS x WHERE x.r = single.r AND x.line = single.line)) AS bad FROM single),
 good AS (SELECT r, sum(n) FILTER (NOT bad) AS chars FROM judged GROUP BY r),
 counted AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '{_SPACE}', '', 'g'))::BIGINT AS word_chars, (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols,

@@ -28,6 +28,7 @@ writes no shard; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 
@@ -89,10 +90,18 @@ def sequences(batches, path: str, length: int):
         yield row, np.array([len(held)]), docs[:1], crc
 
 
+def qualified(spark, folder: str) -> str:
+    """The folder with the scheme of the cluster's own file system, where it has none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + whole.removeprefix("file:") if re.match("file:/[^/]", whole) else whole
+
+
 def materialise(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, key: int = KEY) -> DataFrame:
     """Writes shard-{k}.bin files to `folder` when it runs; one row per sequence: slot, shard, byte_offset, n_tokens, ids_crc32, first_doc_id."""
     path, stride = tokenizer or default_path(), 2 * length
     per_shard = max(1, shard_bytes // stride)
+    folder = qualified(docs.sparkSession, folder)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def count(batches):
@@ -126,7 +135,7 @@ def materialise(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_co
     def write(batches):
         from pyarrow import fs
 
-        store, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
         out, name, shard = None, "", None
         try:

@@ -9,9 +9,12 @@ reads the files' bytes back. Nothing is shuffled.
 
 Defined cases: null url or html is empty; markup that never closes runs to
 the end of the page, but for a title, whose text is then shown; a very long
-page takes time in proportion to its length; repeated pages give repeated
-records; of files, damaged or cut-off records are left out and the others
-read; an empty table gives no rows; other columns are ignored.
+page takes time in proportion to its length; a payload is unpacked by its
+transfer and content codings (chunked, gzip, deflate; others stay packed) and
+read in its charset; a response's own payload digest is kept, and computed
+where it has none; repeated pages give repeated records; of files, damaged or
+cut-off records are left out and the others read, in time in proportion to the
+file; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +45,9 @@ HREF = re.compile(r"(?:^|[\s\"'/])href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)
 CLOSING = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in (*HIDDEN, "title")}
 GZIP = b"\x1f\x8b\x08"
 STEP = 1 << 16
+#: Longest head of a record, and most bytes that a payload is unpacked to.
+MOST_HEAD, MOST_PAYLOAD = 1 << 16, 1 << 28
+CHARSET = re.compile(r"charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.IGNORECASE)
 
 
 def read_page(page: str) -> tuple[str | None, str, list[str], str]:
@@ -99,12 +105,59 @@ def split_http(block: bytes) -> tuple[str, bytes]:
     return head.decode("utf-8", "replace"), payload
 
 
+def unchunked(body: bytes) -> bytes:
+    """The data of a chunked body; what comes after a damaged chunk is left out."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at, at + 4096)) >= 0:
+        size = body[at:end].partition(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,12}", size) or not int(size, 16):
+            break
+        out.append(body[end + 2 : end + 2 + int(size, 16)])
+        at = end + 4 + int(size, 16)
+    return b"".join(out)
+
+
+def inflated(body: bytes, coding: str) -> bytes:
+    """The data of a gzip or deflate body up to its damage; of another coding the body itself."""
+    if coding not in ("gzip", "x-gzip", "deflate"):
+        return body
+    ways = (31,) if coding != "deflate" else (15, -15)
+    for way in ways:
+        unpack, out, at, size = zlib.decompressobj(way), [], 0, 0
+        try:
+            while not unpack.eof and at < len(body) and size < MOST_PAYLOAD:
+                out.append(unpack.decompress(body[at : at + STEP]))
+                size += len(out[-1])
+                at += STEP
+        except zlib.error:
+            pass
+        if size:
+            return b"".join(out)
+    return b""
+
+
+def page_of(head: str, payload: bytes) -> str:
+    """The text of a payload, by its transfer and content codings and its charset (of the header, else of the page's first kilobyte, else UTF-8)."""
+    named: dict[str, str] = {}
+    for line in head.split("\r\n")[1:]:
+        k, _, v = line.partition(":")
+        named[k.strip().lower()] = v.strip()
+    if "chunked" in named.get("transfer-encoding", "").lower():
+        payload = unchunked(payload)
+    for coding in reversed([x.strip() for x in named.get("content-encoding", "").lower().split(",") if x.strip()]):
+        payload = inflated(payload, coding)
+    told = CHARSET.search(named.get("content-type", "")) or CHARSET.search(payload[:1024].decode("latin-1"))
+    try:
+        return payload.decode(told[1] if told else "utf-8", "replace")
+    except (LookupError, UnicodeError):
+        return payload.decode("utf-8", "replace")
+
+
 def derive(response: dict) -> tuple[dict, dict]:
     """The metadata and conversion records of a response record."""
     head, payload = split_http(response["block"])
-    page = payload.decode("utf-8", "replace")
-    shared = {"refers_to": response["record_id"], "target_uri": response["target_uri"], "date": response["date"], "source_payload_digest": digest(payload)}
-    title, language, links, text = read_page(page)
+    shared = {"refers_to": response["record_id"], "target_uri": response["target_uri"], "date": response["date"], "source_payload_digest": response.get("source_payload_digest") or digest(payload)}
+    title, language, links, text = read_page(page_of(head, payload))
     fields = [("title", " ".join(entities.unescape(title or "").split())), ("language", language), *(("outlink", entities.unescape(x).replace("\n", " ").replace("\r", " ")) for x in links)]
     fields += [(f"source-{k.strip().lower()}", v.strip()) for k, _, v in (line.partition(":") for line in head.split("\r\n")[1:]) if k.strip()]
     described = "".join(f"{k}: {v}\r\n" for k, v in fields).encode()
@@ -119,7 +172,7 @@ def render(record: dict) -> bytes:
     if record.get("refers_to"):
         headers += [("WARC-Refers-To", record["refers_to"]), ("WARC-Refers-To-Target-URI", record["target_uri"]), ("WARC-Refers-To-Date", record["date"]), ("X-Source-Payload-Digest", record["source_payload_digest"])]
     else:
-        headers.append(("WARC-Payload-Digest", digest(split_http(record["block"])[1])))
+        headers.append(("WARC-Payload-Digest", record.get("source_payload_digest") or digest(split_http(record["block"])[1])))
     headers += [("WARC-Block-Digest", digest(record["block"])), ("Content-Type", record["content_type"]), ("Content-Length", str(len(record["block"])))]
     head = "".join([VERSION + "\r\n", *(f"{k}: {v}\r\n" for k, v in headers), "\r\n"]).encode()
     return gzip.compress(head + record["block"] + b"\r\n\r\n", mtime=0)
@@ -151,16 +204,21 @@ def parse(data: bytes) -> list[dict]:
 def parse_plain(data: bytes) -> list[dict]:
     out, at = [], 0
     while (start := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", start)
-        if end < 0:
-            break
+        if start and data[start - 1 : start] != b"\n":  # a version stands at the start of a line
+            at = start + 5
+            continue
+        again = data.find(b"\nWARC/", start, start + MOST_HEAD)
+        end = data.find(b"\r\n\r\n", start, again if again >= 0 else start + MOST_HEAD)
+        if end < 0:  # a head that is cut off
+            at = again + 1 if again >= 0 else start + 5
+            continue
         headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in data[start:end].decode("utf-8", "replace").split("\r\n")[1:])}
         size = headers.get("content-length", "")
         if not size.isdecimal() or end + 4 + int(size) > len(data):
             at = start + 5
             continue
         at = end + 4 + int(size)
-        out.append({"type": headers.get("warc-type", ""), "record_id": headers.get("warc-record-id", ""), "refers_to": headers.get("warc-refers-to"), "target_uri": headers.get("warc-target-uri", ""), "date": headers.get("warc-date", ""), "source_payload_digest": headers.get("x-source-payload-digest"), "content_type": headers.get("content-type", ""), "block": data[end + 4 : at]})
+        out.append({"type": headers.get("warc-type", ""), "record_id": headers.get("warc-record-id", ""), "refers_to": headers.get("warc-refers-to"), "target_uri": headers.get("warc-target-uri", ""), "date": headers.get("warc-date", ""), "source_payload_digest": headers.get("x-source-payload-digest") or headers.get("warc-payload-digest"), "content_type": headers.get("content-type", ""), "block": data[end + 4 : at]})
     return out
 
 

@@ -1,0 +1,128 @@
+"""Inputs that earlier versions got wrong."""
+
+from __future__ import annotations
+
+import gzip
+import time
+import zlib
+
+import pytest
+
+from heronry.llm import quality, token_shards, warc
+
+PROSE = [" ".join(f"{w}{k}" for w in "river market harbour valley north people".split()) + "." for k in range(12)]
+
+
+@pytest.mark.parametrize("line", ["The catalog includes maps.", "A blog in March told it.", "They subscribed to the theory.", "Here you can read more about the war.", "The privacy policy of the government was debated there."])
+def test_phrases_inside_of_prose_stay(spark, line):
+    text = "\n".join([*PROSE, line])
+    assert quality.keep_good(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text == text
+
+
+@pytest.mark.parametrize("line", ["Read more »", "Log in | Sign up", "© 2024 Example Corp. All rights reserved.", "Click here to read more", "Datenschutzerklärung", "SUBSCRIBE!", "Privacy Policy - Terms of Use"])
+def test_lines_of_phrases_go(spark, line):
+    kept = quality.keep_good(spark.createDataFrame([(1, "\n".join([*PROSE, line]))], "doc_id long, text string")).first()
+    assert kept.text == "\n".join(PROSE)
+
+
+def test_blank_lines_and_order_stay(spark):
+    lines = [PROSE[0], "", PROSE[1], "  ", "", "Log in", PROSE[2], PROSE[0], "", *PROSE[3:], ""]
+    kept = quality.keep_good(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")).first()
+    assert kept.text == "\n".join([PROSE[0], "", PROSE[1], "  ", "", PROSE[2], "", *PROSE[3:]])
+
+
+@pytest.mark.parametrize("data", [b"WARC/" * 400_000, b"\nWARC/" * 300_000, b"WARC/1.0\r\n" * 200_000, b"\r\n\r\nWARC/1.0\r\nContent-Length: 99999999\r\n" * 50_000])
+def test_damaged_files_are_read_in_linear_time(data):
+    began = time.process_time()
+    assert warc.parse(data) == [] and time.process_time() - began < 10
+
+
+def response(headers, body):
+    return {"record_id": "<urn:x>", "target_uri": "http://x/", "date": warc.DATE, "block": ("HTTP/1.1 200 OK\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers) + "\r\n").encode() + body}
+
+
+PAGE = "<html><title>Café</title><p>Le café est là.</p></html>"
+
+
+@pytest.mark.parametrize(
+    "headers, body",
+    [
+        ([("Content-Encoding", "gzip")], gzip.compress(PAGE.encode())),
+        ([("Content-Encoding", "deflate")], zlib.compress(PAGE.encode())),
+        ([("Content-Encoding", "deflate")], zlib.compress(PAGE.encode())[2:-4]),
+        ([("Content-Type", "text/html; charset=ISO-8859-1")], PAGE.encode("latin-1")),
+        ([("Content-Type", "text/html; charset=nonsense")], PAGE.encode()),
+        ([], b'<meta charset="windows-1252">' + PAGE.encode("cp1252")),
+        ([("Transfer-Encoding", "chunked"), ("content-encoding", "GZIP")], b"".join(b"%x;a=b\r\n%s\r\n" % (len(p), p) for p in (gzip.compress(PAGE.encode())[:20], gzip.compress(PAGE.encode())[20:])) + b"0\r\n\r\n"),
+    ],
+)
+def test_payloads_are_unpacked_and_read_in_their_charset(headers, body):
+    metadata, conversion = warc.derive(response(headers, body))
+    assert conversion["block"].decode() == "Café\nLe café est là." or "Le café est là." in conversion["block"].decode()
+    assert "title: Café\r\n" in metadata["block"].decode()
+
+
+def test_damaged_payloads_give_what_comes_before():
+    cut = gzip.compress(PAGE.encode() * 50)[:-20]
+    assert b"Le caf" in warc.derive(response([("Content-Encoding", "gzip")], cut))[1]["block"]
+    assert warc.derive(response([("Content-Encoding", "gzip")], b"not gzip"))[1]["block"] == b""
+
+
+def test_the_source_s_own_digest_is_kept():
+    own = response([], PAGE.encode()) | {"type": "response", "content_type": "application/http; msgtype=response", "source_payload_digest": "sha256:abc"}
+    again = warc.parse(warc.render(own))[0]
+    assert [d["source_payload_digest"] for d in warc.derive(again)] == ["sha256:abc"] * 2
+    assert warc.derive(response([], b"x"))[0]["source_payload_digest"] == warc.digest(b"x")
+
+
+def test_shards_go_to_the_cluster_s_own_file_system(spark):
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    assert token_shards.qualified(spark, "/a/b") == "file:///a/b" and token_shards.qualified(spark, "file:///a/b") == "file:///a/b"
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.viewfs.mounttable.other.link./a", "file:///tmp")
+    conf.set("fs.defaultFS", "viewfs://other/")
+    try:
+        assert token_shards.qualified(spark, "/a/b") == "viewfs://other/a/b"
+    finally:
+        conf.set("fs.defaultFS", before) if before else conf.unset("fs.defaultFS")
+
+
+def longest_by_hand(doc, item, window=13):
+    """(longest match, its first word) between two word lists, of at least a window."""
+    best, least = (0, None), min(window, len(item))
+    for p in range(len(doc)):
+        for i in range(len(item)):
+            n = 0
+            while p + n < len(doc) and i + n < len(item) and doc[p + n] == item[i + n]:
+                n += 1
+            if n >= least and n > best[0]:
+                best = (n, p)
+    return best
+
+
+def test_longest_matches_over_all_places(spark):
+    import random
+
+    from heronry.llm import decontaminate
+
+    draw, item = random.Random(9), [f"w{k}" for k in range(14)]
+    gap = lambda n: [f"x{draw.randrange(10**6)}" for _ in range(n)]
+    docs = [item[:13] + gap(3) + item[1:] + gap(2) + item + gap(4), ["same"] * 400, item * 3, gap(5) + item[1:] + item, [draw.choice("ab") for _ in range(300)]]
+    items = [item, ["same"] * 90, [draw.choice("ab") for _ in range(200)], item[1:] + item, ["short", "one"]]
+    for texts in ([item], items):
+        found = decontaminate.report(spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id long, text string"), spark.createDataFrame([(str(k), " ".join(t)) for k, t in enumerate(texts)], "item_id string, text string"))
+        for r in found.collect():
+            by_item = [longest_by_hand(docs[r.doc_id], t) for t in texts]
+            best = max(n for n, _ in by_item)
+            assert (r.longest_match, r.longest_at) == (best, min((p for n, p in by_item if n == best and p is not None), default=None))
+
+
+def test_long_runs_of_one_word_take_little_work():
+    import numpy as np
+
+    from heronry.llm import decontaminate
+
+    q = decontaminate.Queries(["a"], ["w " * 30000], 13)
+    began = time.process_time()
+    _, _, _, matches = decontaminate.search(np.repeat(q.words[:1], 30000), np.zeros(30000, np.int64), 1, q)
+    assert matches[:, 4].max() == 30000 and time.process_time() - began < 10
