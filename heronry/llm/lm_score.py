@@ -43,7 +43,7 @@ from heronry.session import fresh_path, shuffles_dropped
 
 ORDER = 3
 ALPHA = 0.4
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 6 << 20
 PASSES = 6
 #: Rows that go to a Python worker at once; words of a document take some kilobytes.
 BATCH_ROWS = 2000
