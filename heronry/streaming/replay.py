@@ -36,14 +36,26 @@ def replay(stream: DataFrame, mode: str, folder: str | None = None) -> DataFrame
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def split_stream(spark: SparkSession, folder: str, n: int) -> DataFrame:
-    """The table events as n files in order of time, one file a batch."""
+def split_stream(spark: SparkSession, folder: str, n: int, in_order: bool = False) -> DataFrame:
+    """The table events as n files, each a range of time, one file a batch; `in_order` has the batches follow time."""
     path = fresh_folder(spark)
     events = spark.read.parquet(f"{folder}/events.parquet")
     events.repartitionByRange(n, "ts").write.parquet(path)
+    if in_order:
+        put_in_order(spark, path)
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def put_in_order(spark: SparkSession, folder: str) -> None:
+    """Gives a folder's data files times that follow their names, by which a stream of files is read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = sorted((f.getPath().getName(), f.getPath(), f.getModificationTime()) for f in store.listStatus(path) if f.getPath().getName().startswith("part-"))
+    first = min((t for _, _, t in files), default=0) - 1000 * len(files)
+    for k, (_, file, _) in enumerate(files):
+        store.setTimes(file, first + 1000 * k, -1)
+
+
 def tables_in(spark: SparkSession, folder: str) -> list[int]:
     """Numbers of the tables that batches have finished in a folder."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/table-*/_SUCCESS")
