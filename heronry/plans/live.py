@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heronry.plans.registry import query
+from heronry.session import fresh_path
+from heronry.sources.slots import slot_stream
 from heronry.streaming.closures import DAY, HOUR, STORE, Rules, closure_alerts, usual_of
-from heronry.streaming.replay import replay, split_stream
+from heronry.streaming.replay import drain, replay, split_stream
 
 RULES = Rules()
 LATE = HOUR
@@ -79,3 +81,40 @@ def live_closures(t) -> DataFrame:
         t.spark.conf.set(key, before)
     at = lambda c: F.timestamp_millis(c).cast("timestamp_ntz").alias(c)
     return alerts.select("site", "state", at("start"), at("at"), "expected", "seen")
+
+
+#: The feed of one kind of event by three hours; a slot waits 18 hours, and late ones are read up to twenty days back.
+SLOT, WAIT, REREAD = 3 * 3600, 18 * 3600, 20 * 24 * 3600
+
+
+@query(f"""WITH e AS (SELECT epoch_us(ts) // {SLOT}000000 * {SLOT} AS s FROM events WHERE event_type = 'error'),
+p2 AS (SELECT s, count(*) AS n FROM e GROUP BY s),
+p1 AS (SELECT s, n FROM p2 WHERE s < (SELECT min(s) + 15 * 86400 FROM p2) AND (s // {SLOT} % 7 <> 3 OR s = (SELECT min(s) FROM p2))),
+slots AS (SELECT unnest(range(min(s), max(s) + 1, {SLOT})) AS s FROM p2),
+c1 AS (SELECT coalesce(min(slots.s) - {SLOT}, (SELECT max(s) FROM p1)) AS c FROM slots WHERE s <= (SELECT max(s) FROM p1) AND s NOT IN (SELECT s FROM p1) AND (SELECT max(s) FROM p1) - s < {WAIT}),
+c2 AS (SELECT coalesce(min(slots.s) - {SLOT}, (SELECT max(s) FROM p2)) AS c FROM slots WHERE s NOT IN (SELECT s FROM p2) AND (SELECT max(s) FROM p2) - s < {WAIT}),
+told AS (
+  SELECT s, CASE WHEN s IN (SELECT s FROM p1) THEN 'read' ELSE 'lost' END AS state FROM slots, c1 WHERE s <= c1.c
+  UNION ALL SELECT s, CASE WHEN s IN (SELECT s FROM p2) THEN 'read' ELSE 'lost' END FROM slots, c1, c2 WHERE s > c1.c AND s <= c2.c
+  UNION ALL SELECT s, 'late' FROM slots, c1, c2 WHERE s <= c1.c AND s > c1.c - {REREAD} AND s > c2.c - {REREAD} AND s NOT IN (SELECT s FROM p1) AND s IN (SELECT s FROM p2)
+  UNION ALL SELECT s, 'waiting' FROM slots, c2 WHERE s > c2.c)
+SELECT state, count(*)::BIGINT AS n_slots, coalesce(sum(n) FILTER (state IN ('read', 'late')), 0)::BIGINT AS n_lines, make_timestamp(min(s) * 1000000) AS first_slot, make_timestamp(max(s) * 1000000) AS last_slot FROM told LEFT JOIN p2 USING (s) GROUP BY state""")
+def slots_by_cursor(t) -> DataFrame:
+    """Slots read, late, lost and waiting of a feed that is read in two runs; every seventh slot of the first half comes only for the second."""
+    seconds = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / SLOT) * SLOT
+    feed = t.events.filter("event_type = 'error'").select(seconds.alias("s"), F.to_json(F.struct("event_id", "value")).alias("line"))
+    first = feed.agg(F.min("s")).first()[0]
+    if first is None:
+        return t.spark.createDataFrame([], "state string, n_slots long, n_lines long, first_slot timestamp_ntz, last_slot timestamp_ntz")
+    early = (F.col("s") < first + 15 * 86400) & ((F.floor(F.col("s") / SLOT) % 7 != 3) | (F.col("s") == first))
+    folder, state = fresh_path(t.spark, "feed"), fresh_path(t.spark, "feed-state")
+    stamped = feed.withColumn("slot", F.date_format(F.timestamp_seconds("s"), "yyyyMMddHHmmss"))
+    for part in (early, ~early):
+        stamped.filter(part).select("slot", "line").repartition("slot").write.mode("append").option("header", False).partitionBy("slot").text(folder)
+        slots = drain(slot_stream(t.spark, folder, SLOT, WAIT, REREAD), state)
+    last = feed.agg(F.max("s").alias("last"))
+    done = slots.select("slot", "state", "line").agg(F.max(F.unix_seconds("slot")).alias("done"))
+    waiting = done.crossJoin(last).select(F.explode(F.filter(F.sequence(F.lit(first), F.col("last"), F.lit(SLOT)), lambda s: s > F.col("done"))).alias("s"), F.lit("waiting").alias("state"), F.lit(0).alias("line"))  # one row each
+    every = slots.select(F.unix_seconds("slot").alias("s"), "state", "line").unionByName(waiting)
+    at = lambda c: F.timestamp_seconds(c).cast("timestamp_ntz")
+    return every.groupBy("state").agg(F.count_if(F.col("line") == 0).alias("n_slots"), F.count_if(F.col("line") > 0).alias("n_lines"), at(F.min("s")).alias("first_slot"), at(F.max("s")).alias("last_slot"))

@@ -36,6 +36,24 @@ def replay(stream: DataFrame, mode: str, folder: str | None = None) -> DataFrame
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+def drain(stream: DataFrame, folder: str) -> DataFrame:
+    """What a stream of a source with offsets of its own has given so far, over all runs with this `folder`; reads what is there now and stops."""
+    spark = stream.sparkSession
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    run = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/state").start()
+    try:
+        run.processAllAvailable()
+    finally:
+        run.stop()
+    wanted = spark.createDataFrame([], stream.schema)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/out")
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out").select(*stream.columns) if there else wanted
+
+
 def split_stream(spark: SparkSession, folder: str, n: int, in_order: bool = False) -> DataFrame:
     """The table events as n files, each a range of time, one file a batch; `in_order` has the batches follow time."""
     path = fresh_folder(spark)
