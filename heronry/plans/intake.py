@@ -23,7 +23,7 @@ def slot_files(t) -> DataFrame:
     return e.crossJoin(F.broadcast(last)).filter("slot <= last").groupBy("stream", "slot").agg(F.count("*").alias("n")).select("stream", named.alias("file"), "n")  # one row
 
 
-@query("""WITH p AS (SELECT DISTINCT event_type AS source, CAST(ts AS DATE) AS day FROM events WHERE event_id % 97 = 0), b AS (SELECT min(CAST(ts AS DATE)) AS a, max(CAST(ts AS DATE)) AS b FROM events),
+@query("""WITH p AS (SELECT DISTINCT event_type || '-' || (user_id % 10) AS source, CAST(ts AS DATE) AS day FROM events), b AS (SELECT min(CAST(ts AS DATE)) AS a, max(CAST(ts AS DATE)) AS b FROM events),
 x AS (SELECT source, CAST(day AS DATE) AS day FROM (SELECT DISTINCT source FROM p), (SELECT unnest(generate_series(a, b, INTERVAL 1 DAY)) AS day FROM b)), m AS (SELECT * FROM x ANTI JOIN p USING (source, day)),
 i AS (SELECT source, day, day - row_number() OVER (PARTITION BY source ORDER BY day)::INT AS island FROM m)
 SELECT source, CAST(min(day) AS VARCHAR) AS first, CAST(max(day) AS VARCHAR) AS last, count(*)::BIGINT AS n FROM i GROUP BY source, island""")
@@ -31,7 +31,8 @@ def pending_ranges(t) -> DataFrame:
     """A source's days are folders; the days that aren't there, as ranges to fetch."""
     path = fresh_path(t.spark, "days")
     day = F.to_date("ts")
-    t.events.filter("event_id % 97 = 0").select("event_id", F.col("event_type").alias("source"), F.year(day).alias("year"), day.alias("day")).write.partitionBy("source", "year", "day").csv(path)
+    source = F.concat_ws("-", "event_type", F.col("user_id") % 10)
+    t.events.select("event_id", source.alias("source"), F.year(day).alias("year"), day.alias("day")).repartition("source").write.partitionBy("source", "year", "day").csv(path)
     present = t.spark.read.schema("event_id long, source string, year int, day date").csv(path).select("source", "day").distinct()
     bounds = t.events.agg(F.min(day).alias("a"), F.max(day).alias("b"))
     expected = bounds.select(F.explode(F.sequence("a", "b")).alias("day")).crossJoin(F.broadcast(present.select("source").distinct()))  # sources by days: the size of the plan

@@ -76,13 +76,13 @@ def survivor_choice(t) -> DataFrame:
     return best.filter("size > 1")
 
 
-@query("""WITH p AS (SELECT l_orderkey AS k, list_sort(list(DISTINCT l_partkey)) AS parts FROM lineitem GROUP BY 1), m AS (SELECT a.k, a.parts AS own, b.parts AS taken FROM p a JOIN p b ON b.k = a.k + 1 WHERE a.k % 4 = 1),
+@query("""WITH p AS (SELECT l_orderkey AS k, list_sort(list(DISTINCT l_partkey)) AS parts FROM lineitem GROUP BY 1), m AS (SELECT a.k, a.parts AS own, b.parts AS taken FROM p a JOIN p b ON b.k = a.k + 1),
 c AS (SELECT *, list_filter(list_distinct(list_concat(own, taken)), lambda x: x % 7 <> 0) AS now FROM m)
 SELECT k, len(now)::BIGINT AS n_before, array_to_string(list_sort(list_filter(now, lambda x: list_contains(own, x) OR NOT list_contains(taken, x))), ',') AS after FROM c""")
 def unmerge(t) -> DataFrame:
     """A merge is taken back: what it copied goes, what the record had before or lost since doesn't change."""
     parts = t.lineitem.groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_set("l_partkey").alias("own"))
-    pairs = parts.filter("k % 4 = 1").join(parts.select((F.col("k") - 1).alias("k"), F.col("own").alias("taken")), "k")
+    pairs = parts.join(parts.select((F.col("k") - 1).alias("k"), F.col("own").alias("taken")), "k")
     now = pairs.withColumn("now", F.filter(F.array_union("own", "taken"), lambda x: x % 7 != 0))
     copied = F.array_except("taken", "own")
     return now.select("k", F.size("now").cast("long").alias("n_before"), F.array_join(F.array_sort(F.array_except("now", copied)), ",").alias("after"))

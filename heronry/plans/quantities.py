@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heronry.operators.hulls import convex_hull
 from heronry.operators.windows import epoch
+from heronry.functions.tails import at_least, binomial_at_least, quantile
 from heronry.plans.registry import query
 
 _JD = "(s / 86400.0 + 2440587.5)"
 _D = "(s / 86400.0 + 2440587.5 - 2451545.0)"
 
 
-@query(f"WITH e AS (SELECT event_id, date_diff('second', TIMESTAMP '1970-01-01', ts) AS s FROM events) SELECT event_id, round({_JD}, 6) AS jd, round((280.46061837 + 360.98564736629 * {_D}) % 360, 4) AS sidereal FROM e WHERE s > 946728000")
+@query(f"WITH e AS (SELECT event_id, date_diff('second', TIMESTAMP '1970-01-01', ts) AS s FROM events) SELECT event_id, round({_JD}, 6) AS jd, round(((280.46061837 + 360.98564736629 * {_D}) % 360 + 360) % 360, 4) AS sidereal FROM e")
 def julian_sidereal(t) -> DataFrame:
     """Julian day and mean sidereal time in degrees."""
-    e = t.events.select("event_id", epoch("ts").alias("s")).filter("s > 946728000")
+    e = t.events.select("event_id", epoch("ts").alias("s"))
     days = F.col("s") / 86400.0 + 2440587.5
-    return e.select("event_id", F.round(days, 6).alias("jd"), F.round((280.46061837 + 360.98564736629 * (days - 2451545.0)) % 360, 4).alias("sidereal"))
+    return e.select("event_id", F.round(days, 6).alias("jd"), F.round(((280.46061837 + 360.98564736629 * (days - 2451545.0)) % 360 + 360) % 360, 4).alias("sidereal"))
 
 
 _LON = f"radians(218.316 + 13.176396 * {_D} + 6.289 * sin(radians(134.963 + 13.064993 * {_D})))"
@@ -90,29 +92,20 @@ def flag_bits(t) -> DataFrame:
 
 
 @query("""WITH m AS (SELECT o_orderpriority AS kind, date_trunc('month', o_orderdate) AS month, count(*) AS n FROM orders GROUP BY ALL), s AS (SELECT kind, avg(n) AS mean, var_samp(n) AS var, arg_max(n, month) AS k FROM m GROUP BY kind),
-r AS (SELECT *, CASE WHEN var > 1.05 * mean THEN mean * mean / (var - mean) END AS r FROM s),
-p AS (SELECT kind, k, mean, r, list_transform(range(0, 2000), lambda i: CASE WHEN r IS NULL THEN exp(-mean + i * ln(mean) - lgamma(i + 1)) ELSE exp(lgamma(i + r) - lgamma(r) - lgamma(i + 1) + r * ln(r / (r + mean)) + i * ln(mean / (r + mean))) END) AS p FROM r),
-q AS (SELECT kind, k, r, unnest(range(0, 2000)) AS i, unnest(p) AS p FROM p), c AS (SELECT kind, k, r, i, p, sum(p) OVER (PARTITION BY kind ORDER BY i) AS cum FROM q)
+r AS (SELECT *, CAST(mean + 40 * sqrt(greatest(mean, coalesce(var, 0))) + 100 + k AS BIGINT) AS upto, CASE WHEN var > 1.05 * mean THEN mean * mean / (var - mean) END AS r FROM s),
+p AS (SELECT kind, k, mean, r, upto, list_transform(range(0, upto), lambda i: CASE WHEN r IS NULL THEN exp(-mean + i * ln(mean) - lgamma(i + 1)) ELSE exp(lgamma(i + r) - lgamma(r) - lgamma(i + 1) + r * ln(r / (r + mean)) + i * ln(mean / (r + mean))) END) AS p FROM r),
+q AS (SELECT kind, k, r, unnest(range(0, upto)) AS i, unnest(p) AS p FROM p), c AS (SELECT kind, k, r, i, p, sum(p) OVER (PARTITION BY kind ORDER BY i) AS cum FROM q)
 SELECT kind, any_value(k)::BIGINT AS k, any_value(r) IS NOT NULL AS dispersed, round(1 - sum(p) FILTER (i < k), 6) AS upper_tail, min(i) FILTER (cum >= 0.1)::BIGINT AS q10, min(i) FILTER (cum >= 0.9)::BIGINT AS q90 FROM c GROUP BY kind""")
 def count_tails(t) -> DataFrame:
     """Upper tail of the latest month's count, and the quantiles of the band, under Poisson or, if dispersed, the negative binomial."""
     m = t.orders.groupBy(F.col("o_orderpriority").alias("kind"), F.date_trunc("month", "o_orderdate").alias("month")).agg(F.count("*").alias("n"))
     s = m.groupBy("kind").agg(F.avg("n").alias("mean"), F.var_samp("n").alias("var"), F.max_by("n", "month").alias("k"))
     s = s.withColumn("r", F.when(F.col("var") > 1.05 * F.col("mean"), F.col("mean") * F.col("mean") / (F.col("var") - F.col("mean"))))
-    r, mean = F.col("r"), F.col("mean")
-    first = F.when(r.isNull(), -mean).otherwise(r * F.log(r / (r + mean)))
-    growth = lambda i: F.when(r.isNull(), F.log(mean) - F.log(i)).otherwise(F.log((i + r - 1) / i) + F.log(mean / (r + mean)))
-    start = F.struct(first.alias("log"), F.exp(first).alias("cum"), F.when(F.col("k") > 0, F.exp(first)).otherwise(F.lit(0.0)).alias("below"), F.when(F.exp(first) >= 0.1, 0).alias("q10"), F.when(F.exp(first) >= 0.9, 0).alias("q90"))
-
-    def step(acc, i):
-        log = acc["log"] + growth(i)
-        cum = acc["cum"] + F.exp(log)
-        below = acc["below"] + F.when(i < F.col("k"), F.exp(log)).otherwise(F.lit(0.0))
-        reached = lambda q, name: F.coalesce(acc[name], F.when(cum >= q, i.cast("int")))
-        return F.struct(log.alias("log"), cum.alias("cum"), below.alias("below"), reached(0.1, "q10").alias("q10"), reached(0.9, "q90").alias("q90"))
-
-    folded = s.withColumn("f", F.aggregate(F.sequence(F.lit(1), F.lit(1999)), start, step))
-    return folded.select("kind", "k", r.isNotNull().alias("dispersed"), F.round(1 - F.col("f.below"), 6).alias("upper_tail"), F.col("f.q10").cast("long").alias("q10"), F.col("f.q90").cast("long").alias("q90"))
+    r = F.col("r")
+    tail = F.pandas_udf(lambda k, mean, r: pd.Series([at_least(int(a), b, None if c != c else c) for a, b, c in zip(k, mean, r)]), "double")
+    band = lambda q: F.pandas_udf(lambda mean, r: pd.Series([quantile(q, b, None if c != c else c) for b, c in zip(mean, r)]), "long")
+    r = r.cast("double")
+    return s.select("kind", "k", r.isNotNull().alias("dispersed"), F.round(tail("k", "mean", r), 6).alias("upper_tail"), band(0.1)("mean", r).alias("q10"), band(0.9)("mean", r).alias("q90"))
 
 
 @query("""WITH o AS (SELECT o_orderpriority AS kind, date_diff('month', CAST(o_orderdate AS DATE), (SELECT max(CAST(o_orderdate AS DATE)) FROM orders)) AS back FROM orders), a AS (SELECT count(*) FILTER (back < 3) AS n, count(*) FILTER (back BETWEEN 3 AND 14) AS n0 FROM o),
@@ -126,15 +119,8 @@ def binomial_tail(t) -> DataFrame:
     o = t.orders.crossJoin(F.broadcast(last)).select(F.col("o_orderpriority").alias("kind"), back.alias("back"))  # one row
     g = o.groupBy("kind").agg(F.count_if(F.col("back") < 3).alias("k"), F.count_if(F.col("back").between(3, 14)).alias("k0"))
     p = g.crossJoin(F.broadcast(g.agg(F.sum("k").alias("n"), F.sum("k0").alias("n0")))).filter("n > 0").withColumn("p", (F.col("k0") + 1.0) / (F.col("n0") + 2.0))
-    n, k, odds = F.col("n"), F.col("k"), F.log(F.col("p") / (1 - F.col("p")))
-    first = n * F.log(1 - F.col("p"))
-    start = F.struct(first.alias("log"), F.when(k == 0, F.exp(first)).otherwise(F.lit(0.0)).alias("tail"))
-
-    def step(acc, i):
-        log = acc["log"] + F.log((n - i + 1) / i) + odds
-        return F.struct(log.alias("log"), (acc["tail"] + F.when(i >= k, F.exp(log)).otherwise(F.lit(0.0))).alias("tail"))
-
-    return p.select("kind", F.round(k / n - F.col("p"), 6).alias("change"), F.round(F.aggregate(F.sequence(F.lit(1).cast("long"), n), start, step)["tail"], 6).alias("tail"))
+    tail = F.pandas_udf(lambda k, n, p: pd.Series([binomial_at_least(int(a), int(b), c) for a, b, c in zip(k, n, p)]), "double")
+    return p.select("kind", F.round(F.col("k") / F.col("n") - F.col("p"), 6).alias("change"), F.round(tail("k", "n", "p"), 6).alias("tail"))
 
 
 _ROUTE = "SELECT c_nationkey AS route, c_custkey AS k, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i, CAST(c_custkey * 37 % 100 AS DOUBLE) AS x, CAST(c_custkey * 91 % 100 AS DOUBLE) AS y FROM customer"
