@@ -69,7 +69,7 @@ OTHER_YEAR, LONGEST, LATE_NIGHT = 300, 60 * DAY, 2 * HOUR
 
 
 @query(f"""WITH l AS (SELECT l_orderkey, max(l_shipdate) AS e FROM lineitem GROUP BY 1),
-p AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 = 0 THEN o_orderdate - INTERVAL 1 YEAR ELSE o_orderdate END + (o_custkey % 24) * INTERVAL 1 HOUR AS s0, e + INTERVAL 12 HOUR + (o_orderkey % 20) * INTERVAL 1 HOUR AS pub, e + INTERVAL 12 HOUR AS e0, o_orderkey % 3 = 0 AS by_day, o_orderkey % 4 = 0 AS about, o_orderkey % 2 = 0 AS evening, o_orderkey % 5 = 0 AS night, o_orderkey % 3 AS back FROM orders JOIN l ON l_orderkey = o_orderkey),
+p AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 = 0 THEN o_orderdate - INTERVAL 1 YEAR ELSE o_orderdate END + (o_custkey % 24) * INTERVAL 1 HOUR AS s0, e + INTERVAL 12 HOUR + (o_orderkey % 20) * INTERVAL 1 HOUR AS pub, e + INTERVAL 12 HOUR AS e0, o_orderkey % 3 = 0 AS by_day, o_orderkey % 4 = 0 AS about, o_orderkey % 2 = 0 AS evening, o_orderkey % 5 = 0 AS night, o_orderkey % 3 + 1 AS back FROM orders JOIN l ON l_orderkey = o_orderkey),
 a AS (SELECT *, {_S.format('s0')} AS s, {_S.format('e0')} AS e, {_S.format('pub')} AS p, {_S.format("s0 + (year(pub) - year(s0)) * INTERVAL 1 YEAR")} AS moved FROM p),
 b AS (SELECT *, p - s > {OTHER_YEAR * DAY} AND moved <= e AND e - moved <= {LONGEST} AS year_moved FROM a), c AS (SELECT *, CASE WHEN year_moved THEN moved ELSE s END AS s1, p // {DAY} * {DAY} - back * {DAY} AS told FROM b),
 d AS (SELECT *, evening AND by_day AND told + {18 * HOUR} < e AS evening_moved FROM c), f AS (SELECT *, CASE WHEN evening_moved THEN told + {18 * HOUR} ELSE s1 END AS s2 FROM d),
@@ -84,7 +84,7 @@ def corrected_periods(t) -> DataFrame:
     a = p.select("k", epoch("s0").alias("s"), epoch("e0").alias("e"), epoch("pub").alias("p"), F.unix_seconds(F.col("s0") + F.make_interval(years=F.year("pub") - F.year("s0"))).alias("moved"))
     k = F.col("k")
     b = a.withColumn("year_moved", (F.col("p") - F.col("s") > OTHER_YEAR * DAY) & (F.col("moved") <= F.col("e")) & (F.col("e") - F.col("moved") <= LONGEST))
-    c = b.withColumns({"s": F.when(F.col("year_moved"), F.col("moved")).otherwise(F.col("s")), "told": F.floor(F.col("p") / DAY) * DAY - k % 3 * DAY})
+    c = b.withColumns({"s": F.when(F.col("year_moved"), F.col("moved")).otherwise(F.col("s")), "told": F.floor(F.col("p") / DAY) * DAY - (k % 3 + 1) * DAY})
     evening, morning = F.col("told") + 18 * HOUR, F.col("told") + 9 * HOUR
     d = c.withColumn("evening_moved", (k % 2 == 0) & (k % 3 == 0) & (evening < F.col("e"))).withColumn("s", F.when(F.col("evening_moved"), evening).otherwise(F.col("s")))
     g = d.withColumn("night_moved", (k % 5 == 0) & (k % 4 == 0) & (F.col("e") - morning > LATE_NIGHT) & (morning > F.col("s"))).withColumn("e", F.when(F.col("night_moved"), morning).otherwise(F.col("e")))
@@ -177,7 +177,11 @@ def class_bounds(t) -> DataFrame:
     c = t.part.select(F.col("p_brand").alias("class"), speed.alias("speed")).groupBy("class").agg(F.count("*").alias("n_models"), F.bool_and(F.col("speed").isNotNull()).alias("all_known"), F.max("speed").alias("most"))
     need = t.lineitem.filter("l_quantity > 0").groupBy("l_orderkey").agg(F.max(F.col("l_extendedprice") / F.col("l_quantity")).alias("need"))
     bounds = c.withColumn("bound", F.when(F.col("all_known"), F.col("most"))).drop("most")
-    over = need.join(F.broadcast(bounds.filter("bound is not null").select("class", "bound")), F.col("need") > F.col("bound")).groupBy("class").agg(F.count("*").alias("n_discarded"))  # a few classes
+    # A case's place among the different bounds, of which there are as many as classes; then counts from each place on.
+    marks = bounds.agg(F.array_sort(F.collect_set("bound")).alias("marks"))
+    placed = need.crossJoin(F.broadcast(marks)).groupBy(F.size(F.filter("marks", lambda m: m < F.col("need"))).alias("place")).agg(F.count("*").alias("n"))  # one row
+    ranked = bounds.crossJoin(F.broadcast(marks)).withColumn("own", F.array_position("marks", F.col("bound"))).drop("marks")
+    over = ranked.join(F.broadcast(placed), F.col("place") >= F.col("own")).groupBy("class").agg(F.sum("n").alias("n_discarded"))  # classes by places
     return bounds.join(over, "class", "left").select("class", "n_models", "all_known", "bound", F.coalesce("n_discarded", F.lit(0)).alias("n_discarded"))
 
 

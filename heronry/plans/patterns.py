@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from heronry.functions.geo import synthetic_lat, synthetic_lon
 from heronry.operators.covers import circle_cover
 from heronry.operators.edges import refined_edges
+from heronry.operators.holding import Network, holding_windows, holdings
+from heronry.operators.nearby import near_pairs
 from heronry.operators.ridge import ridge_logistic
 from heronry.operators.windows import epoch
 from heronry.plans import series
 from heronry.plans.registry import ORACLE_SQL, query
-from heronry.plans.spatial import sites
+from heronry.plans.spatial import KM, LAT, LON, sites
 
 HOUR, STRAY_SHARE = 3600, 0.25
 
@@ -54,3 +57,35 @@ def busy_day_regression(t) -> DataFrame:
     lagged = daily.select("kind", (F.col("n") > week).cast("int").alias("busy"), (F.lag("n", 1).over(w) / week - 1).alias("before"), (F.avg("n").over(w.rowsBetween(-3, -1)) / week - 1).alias("three"), (F.dayofweek("day") / 7.0).alias("weekday"), F.row_number().over(w).alias("i")).filter("i > 7")
     fitted = ridge_logistic(lagged, "kind", ["before", "three", "weekday"], "busy", 1.0)
     return fitted.select("kind", *(F.round(F.get("coefficients", F.lit(k)), 6).alias(f"b{k}") for k in range(4)))
+
+
+#: Candidates lie within this distance and time; a small window of days holds few of them.
+NEAR_KM, NEAR_S = 400.0, 2 * 86_400
+
+
+@query(f"""WITH r AS (SELECT o_orderkey AS id, c_nationkey AS nation, {LAT.format("o_custkey")} AS lat, {LON.format("o_custkey")} AS lon, {series.EPOCH.format('o_orderdate')} AS at_, o_orderpriority AS kind FROM orders JOIN customer ON c_custkey = o_custkey),
+p AS (SELECT a.id AS a, b.id AS b, {KM.format(a="a.lat", b="a.lon", c="b.lat", d="b.lon")} AS km, a.kind <> b.kind AS other FROM r a JOIN r b ON a.nation = b.nation AND a.id < b.id AND abs(a.at_ - b.at_) <= {NEAR_S}),
+n AS (SELECT * FROM p WHERE km <= {NEAR_KM} AND NOT (other AND (a + b) % 5 = 0)), l AS (SELECT a AS id, b AS other, km FROM n UNION ALL SELECT b, a, km FROM n)
+SELECT id, count(*)::BIGINT AS n_candidates, arg_min(other, (round(km, 6), other)) AS nearest, round(min(km), 4) AS km FROM l GROUP BY id""")
+def nearby_candidates(t) -> DataFrame:
+    """For each record, how many others of its nation are near in time and space and not kept apart, and the nearest."""
+    k = F.col("o_custkey")
+    who = t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("nation"))
+    r = t.orders.join(who, "o_custkey").select("nation", F.col("o_orderkey").alias("id"), synthetic_lat(k).alias("lat"), synthetic_lon(k).alias("lon"), epoch("o_orderdate").alias("at"))
+    kinds = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("kind"))
+    pairs = near_pairs(r, NEAR_KM, NEAR_S, ["nation"]).join(kinds.toDF("a", "kind1"), "a").join(kinds.toDF("b", "kind2"), "b")
+    kept = pairs.filter((F.col("kind1") == F.col("kind2")) | ((F.col("a") + F.col("b")) % 5 != 0))
+    links = kept.select(F.inline(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other"), "km"), F.struct(F.col("b").alias("id"), F.col("a").alias("other"), "km"))))
+    return links.groupBy("id").agg(F.count("*").alias("n_candidates"), F.min_by("other", F.struct(F.round("km", 6), "other")).alias("nearest"), F.round(F.min("km"), 4).alias("km"))
+
+
+@query()
+def holding_patterns(t) -> DataFrame:
+    """Holding patterns in the tracks of the event types, told by a trained network; no SQL twin, held-out accuracy is tested. Hours stand for seconds."""
+    s = epoch("ts")
+    day = F.floor(s / 86_400)
+    # Every third day a track circles, on other days it sways or turns once.
+    heading = F.when(day % 3 == 0, (s % 86_400) * 360.0 / 14_400).when(day % 3 == 1, 90 + 70 * F.sin(s / 9000.0)).otherwise(F.least(F.lit(150.0), (s % 86_400) / 300.0))
+    points = t.events.select("event_type", s.alias("at"), F.pmod(heading, F.lit(360.0)).alias("heading"))
+    found = holdings(holding_windows(points, "event_type", Network(), unit=120.0), "event_type")
+    return found.select("event_type", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "n_windows")
