@@ -9,6 +9,7 @@ from heronry.functions.geo import synthetic_lat, synthetic_lon
 from heronry.operators.covers import circle_cover
 from heronry.operators.edges import refined_edges
 from heronry.operators.holding import Network, holding_windows, holdings
+from heronry.operators.merges import merge_in_order, resolve_overlaps
 from heronry.operators.nearby import near_pairs
 from heronry.operators.ridge import ridge_logistic
 from heronry.operators.windows import epoch
@@ -89,3 +90,24 @@ def holding_patterns(t) -> DataFrame:
     points = t.events.select("event_type", s.alias("at"), F.pmod(heading, F.lit(360.0)).alias("heading"))
     found = holdings(holding_windows(points, "event_type", Network(), unit=120.0), "event_type")
     return found.select("event_type", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "n_windows")
+
+
+@query()
+def merges_in_order(t) -> DataFrame:
+    """Orders of a nation and priority merged in order of time, survivors judged again; no SQL twin, held against one pass by hand."""
+    who = t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("nation"))
+    k = F.col("o_orderkey")
+    at = F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + F.col("o_custkey") % 24 * HOUR
+    r = t.orders.join(who, "o_custkey").select("nation", F.col("o_orderpriority").alias("kind"), k.alias("id"), at.alias("start"), (k % 3).alias("class"), (F.col("o_orderstatus") == "F").alias("public"), (k % 17 == 0).alias("locked"))
+    return merge_in_order(r, ["nation", "kind"])
+
+
+@query()
+def bulletins_resolved(t) -> DataFrame:
+    """Bulletins of each nation: parts of longer totals and overlaps don't count; no SQL twin, held against one pass by hand."""
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").alias("n"), F.max(F.unix_seconds(F.col("l_shipdate").cast("timestamp"))).alias("published"))
+    flags = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag").agg(F.sum("l_quantity").alias("q")).groupBy("o_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("l_returnflag", "q"))).alias("regions"))  # three flags
+    k = F.col("o_orderkey")
+    start = F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + k % 24 * HOUR
+    b = t.orders.join(lines, "o_orderkey").join(flags, "o_orderkey").select(F.col("o_custkey").alias("who"), k.alias("id"), start.alias("start"), (start + (k % 9 + 1) * 40 * 86_400).alias("end"), "published", "n", (k % 4 == 0).alias("total"), (k % 5 != 0).alias("exact"), F.when(k % 3 == 0, F.col("regions")).alias("regions"))
+    return resolve_overlaps(b, "who")
