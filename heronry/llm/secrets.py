@@ -47,15 +47,17 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "learned")
 MIN_VALUE = 6
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,}|-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,}|-----BEGIN [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----")
 #: Values in URLs: the password before an @, a parameter named like a key.
 IN_URL = re.compile(r"(?<=://)[^\s/?#@:\"'<>]*:([^\s/@\"<>]+)@|(?<=[?&])[\w.-]{0,40}?(?:pass|pwd|secret|token|key|auth|sig)[\w.-]{0,40}=([^\s&#\"'<>]+)", re.IGNORECASE | re.ASCII)
+#: What follows is a file inside of the text, such as an image.
+EMBEDDED = ";base64,"
 MIN_RUN, MIN_LETTERS, LETTERS = 16, 20, re.compile("[A-Za-z]{12}")
 RUN_BEFORE, RUN_AFTER = re.compile(r"[A-Za-z0-9+/_=.-]*\Z"), re.compile(r"[A-Za-z0-9+/_=.-]*")
 #: A token around a base match, up to so many characters each way.
 TOKEN, BEFORE_IT, AFTER_IT = 80, re.compile(r"[A-Za-z0-9_-]*\Z"), re.compile(r"[A-Za-z0-9_-]*")
 BEFORE, INSIDE, AFTER = 24, 40, 12
-MOST_THRESHOLD = 0.5
+MOST_THRESHOLD = 0.45
 LENGTH = BEFORE + INSIDE + AFTER
 WIDTH, FILTERS = 5, 24
 SYMBOLS = string.ascii_letters + string.digits + "+/_=.-:;,\"'`()[]{}<>@#$%&*!? \n"
@@ -83,6 +85,8 @@ def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int,
     out = list(beside(in_url, taken))
     for s, e in beside([m.span() for m in CANDIDATE.finditer(text)], sorted([*taken, *((s, e, "") for s, e in out)])):
         run = text[s:e]
+        if text[max(0, s - len(EMBEDDED)) : s] == EMBEDDED:
+            continue
         if run.startswith("-----BEGIN ") or (len(run) >= MIN_RUN and any(c.isdigit() for c in run) and any(c.isalpha() for c in run)) or (len(run) >= MIN_LETTERS and LETTERS.search(run)):
             out.append((s, e))
     return sorted(out)
@@ -151,6 +155,9 @@ def generated_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
             lambda: body(20, 64),
             lambda: body(20, 32),
             lambda: body(16, 24),
+            lambda: pick(rng.choice([alnum, alnum, low + digits, up + digits, b64]), 16, 18),
+            lambda: pick(rng.choice([alnum, alnum, alnum, low + digits]), 16, 17),
+            lambda: pick(rng.choice([alnum, low + digits, low + digits]), 18, 26),
             lambda: pick(low + up, 28, 48),
             lambda: pick(low, 2, 6) + rng.choice("_-") + body(16, 48),
             lambda: pick(low, 2, 4) + rng.choice("_-") + word(1, 2) + rng.choice("_-") + body(18, 40),
@@ -159,7 +166,7 @@ def generated_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
             lambda: "eyJ" + pick(b64[:-2] + "_-", 20, 40) + "." + pick(b64[:-2] + "_-", 30, 60) + "." + pick(b64[:-2] + "_-", 20, 43),
             lambda: pick(up, 2, 2) + "." + pick(alnum, 20, 24) + "." + pick(alnum + "_-", 36, 44),
             lambda: pick(b64, 40, 86) + "==",
-            lambda: "-----BEGIN " + rng.choice(["RSA ", "EC ", "OPENSSH ", ""]) + "PRIVATE KEY-----",
+            lambda: "-----BEGIN " + rng.choice(["RSA ", "EC ", "OPENSSH ", "PGP ", ""]) + "PRIVATE KEY-----",
         ])()
 
     def secret() -> tuple[str, str, str]:
@@ -175,6 +182,7 @@ def generated_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
             (f"export {joined('_', 1, 3).upper()}=", "\n" + prose()),
             (f"{word()} = '", "'\n" + word()),
             (f'{word()}.{word()}("', '")'),
+            (f'{word()} = {word().capitalize()}("', '")'),
             (f'"{word()}": "', '",'),
             (f"{word()}: ", "\n"),
             (f"Authorization: {rng.choice(['Bearer', 'Basic', 'bearer'])} ", "\n"),
@@ -213,9 +221,12 @@ def generated_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
             lambda: f"{joined('-', 1, 2)}-{rng.randint(0, 20)}.{rng.randint(0, 20)}.{rng.randint(0, 99)}{rng.choice(['.tar.gz', '.zip', '-py3-none-any.whl', '-SNAPSHOT.jar', ''])}",
             lambda: f"{rng.randint(1990, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}T{rng.randint(10, 23)}-{rng.randint(10, 59)}-00{rng.choice(['Z', '.000Z', '+0000'])}",
             lambda: "-".join([hexes(8), hexes(4), hexes(4), hexes(4), hexes(12)]),
+            lambda: "-".join([hexes(8), hexes(4), hexes(4), hexes(4), hexes(12)]),
             lambda: "-".join([hexes(8), hexes(4), hexes(4), hexes(4), hexes(12)]).upper(),
             lambda: pick("ACGT", 16, 90) + rng.choice(["", number()]),
+            lambda: pick("ACGT", 24, 60) + rng.choice(["", number()]),
             lambda: pick("acgt", 16, 60) + rng.choice(["", number()]),
+            lambda: pick("ACDEFGHIKLMNPQRSTVWY", 24, 60),
             lambda: pick("ACDEFGHIKLMNPQRSTVWY"[:4], 16, 40) + number(),
             lambda: rng.choice(low + up) * rng.randint(16, 60) + rng.choice(["", number()]),
             lambda: (word(1, 1) + rng.choice(["", "-"])) * rng.randint(6, 12) + rng.choice(["", number()]),
@@ -229,7 +240,7 @@ def generated_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
         value = "".join(c for c in value if c.isascii() and (c.isalnum() or c in "+/_=.-"))
         while len(value) < 16:
             value += rng.choice(".-_/") + word()
-        before, after = rng.choice([("", ""), ("", "\n"), (prose() + " ", " " + prose()), (prose() + " ", rng.choice([".", ",", "\n"])), (prose() + " https:", ""), (word() + "@", " " + prose()), ("see ", ""), (f"{word()} = '", "'"), (f"{joined('_', 1, 3).upper()}=", "\n"), (f'"{word()}": "', '",'), ("(", ")"), ("import ", "\n"), (f'src="', '"')])  # noqa: F541
+        before, after = rng.choice([("", ""), ("", "\n"), (prose() + " ", " " + prose()), (prose() + " ", rng.choice([".", ",", "\n"])), (prose() + " https:", ""), (word() + "@", " " + prose()), ("see ", ""), (f"{word()} = '", "'"), (f"{joined('_', 1, 3).upper()}=", "\n"), (f'"{word()}": "', '",'), (f'{word()}.{word()}("', '")'), (f'{word()} = {word().capitalize()}("', '")'), ("(", ")"), ("import ", "\n"), (f'src="', '"')])  # noqa: F541
         return before, value, after
 
     out = []
@@ -318,7 +329,7 @@ def read_windows(findings: list[tuple[str, int, int, int]]):
 
 
 @cache
-def trained(n_findings: int = 12000, recall: float = 0.97, seed: int = 11, epochs: int = 4) -> Network:
+def trained(n_findings: int = 20000, recall: float = 0.97, seed: int = 11, epochs: int = 4) -> Network:
     """A network trained on all windows of three quarters of the findings and calibrated on the rest."""
     rows, net = generated_findings(n_findings, seed), Network(seed)
     cut = 3 * len(rows) // 4
