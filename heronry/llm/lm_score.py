@@ -25,7 +25,7 @@ the next begins. Rows are in proportion to the text; each pass reads the words.
 Words are op1's: digits, lower-cased A-Z letters and characters beyond ASCII.
 Defined cases: null or word-free text has no words, score 0 and a null mean;
 repeated rows are separate documents, each vouching for the others; a very
-long text is a shard of its own, hashed in one piece; an empty table gives no
+long text shares its shard with the texts before it and is hashed in one piece; an empty table gives no
 rows; other columns are ignored.
 """
 

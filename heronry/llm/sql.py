@@ -101,4 +101,29 @@ def _clusters(k: int = 40, rounds: int = 5, size: int = 64) -> str:
 
 CLUSTERS = _clusters()
 
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": DECONTAMINATION, "op6_quality_rules": QUALITY, "op8_chat": CHAT, "op13_clusters": CLUSTERS}
+
+def _features(rows: str) -> str:
+    """(r, f): the words and the pairs of words of (r, w)."""
+    return f"SELECT r, f FROM (SELECT r, a AS f FROM {rows} UNION ALL SELECT r, a || ' ' || lead(a) OVER (PARTITION BY r ORDER BY p) FROM {rows}) WHERE f IS NOT NULL"
+
+
+#: crc32 bit by bit: a byte goes in, then eight shifts (-1) follow.
+_STEPS = "flatten(list_transform(range(0, octet_length(encode(f))), lambda i: [('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+_CRC = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {_STEPS}), lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295)"
+
+RESAMPLE = f"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_words("text")} AS w FROM documents), items AS (SELECT row_number() OVER () AS r, {_words("text")} AS w FROM benchmark),
+doc_words AS (SELECT r, unnest(w) AS a, generate_subscripts(w, 1) AS p FROM docs), item_words AS (SELECT r, unnest(w) AS a, generate_subscripts(w, 1) AS p FROM items),
+doc_features AS MATERIALIZED ({_features("doc_words")}), item_features AS MATERIALIZED ({_features("item_words")}),
+buckets AS MATERIALIZED (SELECT f, {_CRC} % 10000 AS bucket FROM (SELECT f FROM doc_features UNION SELECT f FROM item_features)),
+source AS (SELECT bucket, count(*) AS n FROM doc_features JOIN buckets USING (f) GROUP BY bucket), target AS (SELECT bucket, count(*) AS n FROM item_features JOIN buckets USING (f) GROUP BY bucket),
+totals AS (SELECT (SELECT count(*) FROM doc_features)::DOUBLE AS s, (SELECT count(*) FROM item_features)::DOUBLE AS t),
+gains AS (SELECT source.bucket, floor(1000 * ln((coalesce(target.n, 0) + 1)::DOUBLE * (s + 10000) / ((source.n + 1)::DOUBLE * (t + 10000))))::BIGINT AS gain FROM source LEFT JOIN target USING (bucket), totals),
+weights AS (SELECT r, count(*) AS n, (sum(gain) - ((sum(gain) % count(*)) + count(*)) % count(*)) // count(*) AS weight FROM doc_features JOIN buckets USING (f) JOIN gains USING (bucket) GROUP BY r),
+scored AS (SELECT r, doc_id, len(w) AS n_words, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+  coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM docs LEFT JOIN weights USING (r)),
+placed AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST, n_features, weight) AS place, count(*) OVER () AS able FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * able // 100 THEN place END AS rank FROM scored LEFT JOIN placed USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": DECONTAMINATION, "op6_quality_rules": QUALITY, "op8_chat": CHAT, "op11_resample": RESAMPLE, "op13_clusters": CLUSTERS}
