@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronry.functions.geo import synthetic_lat, synthetic_lon
+from heronry.functions.tails import at_least
 from heronry.operators.windows import epoch
 from heronry.plans.registry import query
 
@@ -196,3 +198,63 @@ def escalation_reasons(t) -> DataFrame:
     reasons = [(unsure, "little confidence: length"), (missing, "missing: quality"), (F.col("lang").isNull() | (F.col("lang") == ""), "missing: language"), (unquoted, "no quote: quality"), (good & toxic, "contradiction: quality and toxic"), (toxic, "critical: toxic")]
     several = unsure.cast("int") + missing.cast("int") + unquoted.cast("int") >= 2
     return d.select("doc_id", F.concat_ws(",", *(F.when(c, why) for c, why in reasons)).alias("reasons"), (several | toxic).alias("escalate"))
+
+
+@query("""SELECT p_type AS class, count(*)::BIGINT AS n, CASE WHEN count(*) = count(lo) THEN min(lo) END AS lowest, CASE WHEN count(*) = count(hi) THEN max(hi) END AS highest, count(*) FILTER (lo IS NULL OR hi IS NULL)::BIGINT AS n_unknown
+FROM (SELECT p_type, CASE WHEN p_partkey % 307 <> 5 THEN round(p_retailprice * 0.9, 2) END AS lo, CASE WHEN p_partkey % 401 <> 9 THEN round(p_retailprice * (1 + p_size / 100.0), 2) END AS hi FROM part) GROUP BY p_type""")
+def class_envelopes(t) -> DataFrame:
+    """The interval that holds all intervals of a class; one unknown bound leaves that bound unknown."""
+    k, price = F.col("p_partkey"), F.col("p_retailprice")
+    p = t.part.select(F.col("p_type").alias("class"), F.when(k % 307 != 5, F.round(price * 0.9, 2)).alias("lo"), F.when(k % 401 != 9, F.round(price * (1 + F.col("p_size") / 100.0), 2)).alias("hi"))
+    known = lambda c, f: F.when(F.count("*") == F.count(c), f(c))
+    return p.groupBy("class").agg(F.count("*").alias("n"), known("lo", F.min).alias("lowest"), known("hi", F.max).alias("highest"), F.count_if(F.col("lo").isNull() | F.col("hi").isNull()).alias("n_unknown"))
+
+
+#: A streak is a sum of four weeks that the 52 before would give with at most this probability (fixed value).
+STREAK = 0.01
+
+
+@query(f"""WITH w AS (SELECT o_orderpriority AS kind, date_diff('day', DATE '1970-01-05', CAST(o_orderdate AS DATE)) // 7 AS week FROM orders), b AS (SELECT min(week) AS a, max(week) AS b FROM w),
+g AS (SELECT kind, week, count(w2) AS n FROM (SELECT DISTINCT kind FROM w) CROSS JOIN (SELECT unnest(range(a, b + 1)) AS week FROM b) LEFT JOIN (SELECT kind, week, 1 AS w2 FROM w) USING (kind, week) GROUP BY ALL),
+s AS (SELECT kind, week, sum(n) OVER (PARTITION BY kind ORDER BY week ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS k, avg(n) OVER p AS mean, var_samp(n) OVER p AS var, count(*) OVER p AS past FROM g WINDOW p AS (PARTITION BY kind ORDER BY week ROWS BETWEEN 55 PRECEDING AND 4 PRECEDING)),
+r AS (SELECT kind, week, k::BIGINT AS k, 4 * mean AS m, CASE WHEN var > 1.05 * mean THEN 4 * mean * mean / (var - mean) END AS r FROM s WHERE past = 52 AND mean > 0),
+t AS (SELECT *, 1 - coalesce(list_sum(list_transform(range(0, k), lambda i: CASE WHEN r IS NULL THEN exp(-m + i * ln(m) - lgamma(i + 1)) ELSE exp(lgamma(i + r) - lgamma(r) - lgamma(i + 1) + r * ln(r / (r + m)) + i * ln(m / (r + m))) END)), 0) AS tail FROM r)
+SELECT kind, week, k, round(m, 6) AS expected, round(greatest(tail, 0), 6) AS tail, round(greatest(tail, 0), 6) <= {STREAK} AND k > m AS streak FROM t""")
+def streak_tails(t) -> DataFrame:
+    """Each four weeks' orders against the 52 weeks before them, by the upper tail of their dispersion."""
+    day = F.to_date("o_orderdate")
+    week = F.floor(F.date_diff(day, F.lit("1970-01-05").cast("date")) / 7)
+    counts = t.orders.groupBy(F.col("o_orderpriority").alias("kind"), week.alias("week")).agg(F.count("*").alias("n"))
+    bounds = counts.agg(F.min("week").alias("a"), F.max("week").alias("b"))
+    grid = counts.select("kind").distinct().crossJoin(F.broadcast(bounds)).select("kind", F.explode(F.sequence("a", "b")).alias("week"))  # kinds by weeks
+    dense = grid.join(counts, ["kind", "week"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    w = Window.partitionBy("kind").orderBy("week")  # a row a week
+    past = w.rowsBetween(-55, -4)
+    s = dense.select("kind", "week", F.sum("n").over(w.rowsBetween(-3, 0)).alias("k"), F.avg("n").over(past).alias("mean"), F.var_samp("n").over(past).alias("var"), F.count("*").over(past).alias("past")).filter("past = 52 and mean > 0")
+    mean, var = F.col("mean"), F.col("var")
+    r = s.select("kind", "week", "k", (4 * mean).alias("m"), F.when(var > 1.05 * mean, 4 * mean * mean / (var - mean)).cast("double").alias("r"))
+    tail = F.pandas_udf(lambda k, m, r: pd.Series([at_least(int(a), b, None if c != c else c) for a, b, c in zip(k, m, r)]), "double")
+    told = r.withColumn("tail", F.round(F.greatest(tail("k", "m", "r"), F.lit(0.0)), 6))
+    return told.select("kind", "week", "k", F.round("m", 6).alias("expected"), "tail", ((F.col("tail") <= STREAK) & (F.col("k") > F.col("m"))).alias("streak"))
+
+
+@query("""WITH c AS (SELECT source, lang, count(*) AS c FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY ALL), z AS (SELECT source, sum(c) AS n FROM c GROUP BY source), l AS (SELECT lang, sum(c) AS n FROM c GROUP BY lang), a AS (SELECT sum(c) AS n, count(DISTINCT lang) AS k FROM c)
+SELECT c.source, sum(c)::BIGINT AS n, round(sum(c * ln(c.c / (z.n - 1.0 + a.k))) / sum(c), 6) AS own, round(sum(c * ln(l.n / (a.n - 1.0 + a.k))) / sum(c), 6) AS overall, round(avg(ln(1.0 / a.k)), 6) AS uniform, round(sum(c) FILTER (c.c - 1 >= (SELECT max(d.c) FROM c d WHERE d.source = c.source AND d.lang <> c.lang) OR z.n = c.c) / sum(c), 6) AS hit
+FROM c JOIN z USING (source) JOIN l USING (lang), a GROUP BY c.source""".replace("(SELECT max(d.c) FROM c d WHERE d.source = c.source AND d.lang <> c.lang)", "c.rival").replace("FROM c JOIN z", "FROM (SELECT c.*, (SELECT max(d.c) FROM c d WHERE d.source = c.source AND d.lang <> c.lang) AS rival FROM c) AS c JOIN z"))
+def leave_one_out(t) -> DataFrame:
+    """Log scores of each source's classes with the judged document left out of every count, beside the overall and the even reference.
+
+    All documents of a source and class have the same counts without
+    themselves, so the scores come from the table of counts.
+    """
+    c = t.documents.filter("source is not null and lang is not null").groupBy("source", "lang").agg(F.count("*").alias("c"))
+    by_class = c.groupBy("lang").agg(F.sum("c").alias("in_class"))
+    total = c.agg(F.sum("c").alias("all"), F.count_distinct("lang").alias("k"))
+    w = Window.partitionBy("source")  # a row a class
+    ranked = c.select("*", F.sum("c").over(w).alias("in_source"), F.element_at(F.array_sort(F.collect_list("c").over(w)), -1).alias("top"), F.sort_array(F.collect_list("c").over(w), False).alias("sizes"))
+    rival = F.when(F.col("c") == F.col("top"), F.get("sizes", F.lit(1))).otherwise(F.col("top"))
+    joined = ranked.withColumn("rival", rival).join(by_class, "lang").crossJoin(F.broadcast(total))  # one row
+    own, overall = F.log(F.col("c") / (F.col("in_source") - 1.0 + F.col("k"))), F.log(F.col("in_class") / (F.col("all") - 1.0 + F.col("k")))
+    hit = (F.col("c") - 1 >= F.col("rival")) | (F.col("in_source") == F.col("c"))
+    mean = lambda x: F.round(F.sum(F.col("c") * x) / F.sum("c"), 6)
+    return joined.groupBy("source").agg(F.sum("c").alias("n"), mean(own).alias("own"), mean(overall).alias("overall"), F.round(F.avg(F.log(1.0 / F.col("k"))), 6).alias("uniform"), F.round(F.sum(F.when(hit, F.col("c"))) / F.sum("c"), 6).alias("hit"))
