@@ -43,11 +43,14 @@ def pending_ranges(t) -> DataFrame:
 
 @query(f"SELECT user_id, event_type AS kind, {_S} AS s, CAST(round(value * 100) AS BIGINT) AS height FROM events")
 def trace_format(t) -> DataFrame:
-    """Traces as text, a head line for each aircraft and a line for each point, written and read again; a record ends where the next head begins."""
+    """Traces as text, a head line for each aircraft and day and a line for each point, written and read again.
+
+    A record ends where the next head begins; as it holds one day, it doesn't grow with the archive.
+    """
     path = fresh_path(t.spark, "traces")
     point = F.struct(epoch("ts").alias("s"), "event_id", "event_type", F.round(F.col("value") * 100).cast("long").alias("height"))
     lines = F.transform(F.array_sort(F.collect_list(point)), lambda p: F.concat_ws(" ", p["s"], p["event_type"], p["height"]))
-    t.events.groupBy("user_id").agg(F.array_join(lines, "\n").alias("body")).select(F.concat(F.lit("#"), "user_id", F.lit("\n"), "body").alias("value")).write.text(path)
+    t.events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.array_join(lines, "\n").alias("body")).select(F.concat(F.lit("#"), "user_id", F.lit("\n"), "body").alias("value")).write.text(path)
     record = t.spark.read.option("lineSep", "\n#").text(path).select(F.split(F.regexp_replace("value", "^#|\n$", ""), "\n").alias("r"))
     rows = record.select(F.get("r", F.lit(0)).cast("long").alias("user_id"), F.explode(F.slice("r", F.lit(2), F.size("r"))).alias("line")).filter("line <> ''")
     part = lambda k: F.get(F.split("line", " "), F.lit(k))
@@ -61,11 +64,21 @@ def hourly_archive(t) -> DataFrame:
     rows = t.events.select("event_id", "value", F.col("event_type").alias("source"), F.floor(epoch("ts") / 3600).alias("hour"))
     schema = "event_id long, value double, source string, hour long"
     for batch in (rows.filter("event_id % 3 <> 0"), rows.filter("event_id % 2 = 0"), rows):
-        fresh = batch.join(t.spark.read.schema(schema).json(path).select("event_id"), "event_id", "left_anti") if archived(t, path) else batch
-        fresh.select("event_id", "value", "source", "hour").write.mode("append").partitionBy("source", "hour").json(path)
+        fresh = batch.join(touched(t.spark.read.schema(schema).json(path), batch).select("event_id"), "event_id", "left_anti") if archived(t, path) else batch
+        fresh.select("event_id", "value", "source", "hour").repartition("source", "hour").write.mode("append").partitionBy("source", "hour").json(path)
     return t.spark.read.schema(schema).json(path).groupBy("source", "hour").agg(F.count("*").alias("n"))
 
 
+#: Hours up to which a batch's own are listed, so that only their folders are read.
+LISTED_HOURS = 1024
+
+
+def touched(archive: DataFrame, batch: DataFrame) -> DataFrame:
+    """What the archive holds of the hours that a batch has; of many hours, the archive is read whole."""
+    hours = [r[0] for r in batch.select("hour").distinct().limit(LISTED_HOURS + 1).collect()]
+    return archive.filter(F.col("hour").isin(hours)) if len(hours) <= LISTED_HOURS else archive
+
+
 def archived(t, path: str) -> bool:
     where = t.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(t.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)

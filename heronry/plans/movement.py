@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronry.operators.windows import epoch, islands, seasonal_baseline
+from heronry.operators.joins import few
 from heronry.plans.registry import query
 
 HOUR = 3600
@@ -111,8 +112,10 @@ def alert_lead_time(t) -> DataFrame:
     day = lambda c: F.floor(c / (24 * HOUR))
     dealt = alerts.withColumn("day", F.explode(F.sequence(day(F.col("alerted")), day(F.col("alerted") + 48 * HOUR))))
     news = t.events.filter("value >= 60").select(F.col("event_type").alias("place"), epoch("ts").alias("s")).withColumn("day", day(F.col("s")))
-    met = dealt.join(news, ["place", "day"], "left").withColumn("lead", F.when((F.col("s") >= F.col("alerted")) & (F.col("s") <= F.col("alerted") + 48 * HOUR), F.col("s") - F.col("alerted")))
-    return met.groupBy("place", "alerted").agg(F.min("lead").alias("lead_seconds"))
+    # Few alerts are broadcast, so that the news stay where they are.
+    met = news.join(F.broadcast(dealt) if few(dealt) else dealt, ["place", "day"]).filter(F.col("s").between(F.col("alerted"), F.col("alerted") + 48 * HOUR))
+    first = met.groupBy("place", "alerted").agg(F.min(F.col("s") - F.col("alerted")).alias("lead_seconds"))
+    return alerts.select("place", "alerted").join(first, ["place", "alerted"], "left")
 
 
 @query("""WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, max(value) AS v FROM events GROUP BY ALL), l AS (SELECT user_id, list(v ORDER BY day) AS v FROM d GROUP BY 1 HAVING count(*) >= 6),

@@ -100,11 +100,15 @@ def evidence_combine(t) -> DataFrame:
 w AS (SELECT p, n, coalesce(sum(n) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c)
 SELECT sum(p)::BIGINT AS n_positive, sum(n)::BIGINT AS n_negative, round(sum(p * (below + n / 2.0)) / (sum(p) * sum(n)), 6)::DOUBLE AS auc FROM w""")
 def auc_midrank(t) -> DataFrame:
-    """Ties count half. The running sum is over different lengths, not over documents."""
+    """Ties count half. The running sum is over different lengths, in blocks of them, not over documents."""
     joined = t.labels.join(t.documents.select("doc_id", "n_chars"), "doc_id")
     counted = joined.groupBy("n_chars").agg(F.count_if(F.col("quality") == 1).alias("p"), F.count_if(F.col("quality") == 0).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("n_chars").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counted.withColumn("below", below)
+    counted = counted.withColumn("block", F.floor(F.col("n_chars") / 256))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = counted.groupBy("block").agg(F.sum("n").alias("n"))
+    blocks = blocks.select("block", before(Window.orderBy("block")).alias("blocks_below"))  # one row for 256 lengths
+    inside = counted.withColumn("inside", before(Window.partitionBy("block").orderBy("n_chars")))
+    ranked = inside.join(blocks, "block").withColumn("below", F.col("blocks_below") + F.col("inside"))
     return ranked.agg(F.sum("p").alias("n_positive"), F.sum("n").alias("n_negative"), F.round(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2.0)) / (F.sum("p") * F.sum("n")), 6).alias("auc"))
 
 
