@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heronry.operators.graphs import cut
 from heronry.operators.shapes import KM_A_DEGREE, edges_of, near_sides, points_in_polygons, wind_zone, zone_km2, zone_samples
 from heronry.plans.registry import query
 from heronry.plans.spatial import PEOPLE, SITES, people, sites
@@ -107,7 +108,7 @@ def reachable_zones(t) -> DataFrame:
     able = able.filter(F.col("speed").isNotNull() & (F.col("speed") * 3.6 * F.col("minutes") / 60 <= MOST_KM))
     zones = able.withColumn("zone", wind_zone(F.col("speed"), F.col("minutes"), (k * 13 % 21) - 10.0, (k * 29 % 17) - 8.0, TURN))
     samples = zone_samples(zones.withColumn("km2", F.round(zone_km2(F.col("zone")), 4)), "zone", "lat", "lon", GRID).select("s_suppkey", "class", "km2", "sample_lat", "sample_lon")
-    samples = samples.withColumn("sample", F.xxhash64("s_suppkey", "class", "sample_lat", "sample_lon"))
+    samples = cut(samples.withColumn("sample", F.xxhash64("s_suppkey", "class", "sample_lat", "sample_lon")))  # read twice
     land = points_in_polygons(samples, nations(t), x="sample_lon", y="sample_lat").groupBy("s_suppkey", "class", "sample").agg(F.min("nation").alias("nation"))
     by_nation = land.groupBy("s_suppkey", "class", "nation").agg(F.count("*").alias("n"))
     shares = by_nation.groupBy("s_suppkey", "class").agg(F.sum("n").alias("n_on_land"), F.count("*").alias("n_nations"), F.max_by("nation", F.struct("n", -F.col("nation"))).alias("main_nation"))
