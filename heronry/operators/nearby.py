@@ -4,33 +4,55 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heronry.functions.geo import EARTH_KM, haversine_km
-from heronry.operators.joins import cells_around
 
 
-def near_pairs(records: DataFrame, km: float, seconds: int, keys: list[str] | None = None, degrees: float = 2.0) -> DataFrame:
+def near_buckets(km: float, seconds: int, degrees: float) -> tuple[Column, Column]:
+    """The buckets of (lat, lon, at) that a record is dealt to, an array, and its own one."""
+    reach = km / EARTH_KM
+    n = max(1, int(360 / degrees))
+    degrees, length = 360 / n, 4 * seconds
+    cell = lambda v: F.floor(v / degrees)
+    bucket = lambda span, cx, cy: (span * n + cx) * (2 * n + 1) + cy + n
+    high = math.degrees(reach) + 1e-6
+    lat, east = F.col("lat"), F.col("lon") + 180
+    # Half the circle's width in degrees; one that holds a pole is as wide as the earth.
+    wide = F.when(F.abs(lat) + high < 89.9, F.degrees(F.asin(F.least(F.lit(1.0), math.sin(min(reach, math.pi / 2)) / F.cos(F.radians(lat))))) + 1e-6).otherwise(180.0)
+    first = cell(east - wide)
+    xs = F.transform(F.sequence(first, F.least(cell(east + wide), first + n - 1)), lambda x: F.pmod(x, F.lit(n)))
+    ys = F.sequence(cell(F.greatest(lat - high, F.lit(-90.0))), cell(F.least(lat + high, F.lit(90.0))))
+    spans = F.sequence(F.floor(F.col("at") / length), F.floor((F.col("at") + seconds) / length))
+    dealt = F.flatten(F.transform(spans, lambda s: F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: bucket(s, x, y))))))
+    return dealt, bucket(F.floor(F.col("at") / length), F.pmod(cell(east), F.lit(n)), cell(lat))
+
+
+def near_pairs(records: DataFrame, km: float, seconds: int, keys: list[str] | None = None, degrees: float = 10.0, also: list[str] | None = None) -> DataFrame:
     """(keys, a, b, km, apart): pairs a < b of records (keys, id, lat, lon, at) within `km` and `seconds` of each other.
 
     One bucketing in space and time at once: a record goes to its own cell and
-    span, and as a candidate to all cells in reach and to the spans beside its
-    own, so a pair meets once, in the bucket of its larger id. A place with
-    many records is as many buckets as it has spans.
+    span, and as the earlier one of a pair to the cells that its circle touches
+    and to the spans up to `seconds` after it, so a pair meets once, in the
+    bucket of its later record. Cells are wider than the circle and spans four
+    times as long as the time, so that a record is dealt to few. A place with
+    many records is as many buckets as it has spans. Columns named in `also`
+    come along as <name>_a and <name>_b.
     """
-    keys = keys or []
-    reach = math.degrees(km / EARTH_KM)
-    reach_lat = max(1, math.ceil(reach / degrees))
-    edge = F.least(F.lit(89.9), F.abs(F.col("lat")) + reach)
-    reach_lon = F.least(F.lit(int(180 / degrees) - 1), F.greatest(F.lit(1), F.ceil(F.lit(reach) / F.cos(F.radians(edge)) / degrees))).cast("int")
-    span = F.floor(F.col("at") / seconds)
-    fields = [*keys, "id", "lat", "lon", "at"]
-    one = records.select(*fields, F.array_distinct(cells_around(F.col("lat"), F.col("lon"), degrees, reach_lat, reach_lon)).alias("cells"), span.alias("own"))
-    one = one.withColumn("cell", F.explode("cells")).withColumn("span", F.explode(F.sequence(F.col("own") - 1, F.col("own") + 1)))
-    one = one.select(*keys, F.col("id").alias("a"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.col("at").alias("at1"), F.col("cell.cy").alias("cy"), F.col("cell.cx").alias("cx"), "span")
-    n = int(360 / degrees)
-    two = records.select(*keys, F.col("id").alias("b"), "lat", "lon", "at", F.floor(F.col("lat") / degrees).alias("cy"), F.pmod(F.floor((F.col("lon") + 180) / degrees), F.lit(n)).alias("cx"), span.alias("span"))
-    met = one.join(two, [*keys, "cy", "cx", "span"]).filter((F.col("a") < F.col("b")) & (F.abs(F.col("at") - F.col("at1")) <= seconds))
-    apart = haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat"), F.col("lon"))
-    return met.withColumn("km", apart).filter(F.col("km") <= km).select(*keys, "a", "b", "km", F.abs(F.col("at") - F.col("at1")).alias("apart"))
+    keys, also = keys or [], also or []
+    high = math.degrees(km / EARTH_KM) + 1e-6
+    dealt, own = near_buckets(km, seconds, degrees)
+    fields = ["id", "lat", "lon", "at", *also]
+    side = lambda mark, where: records.filter("id is not null and lat is not null and lon is not null and at is not null").select(*keys, *(F.col(c).alias(f"{c}_{mark}") for c in fields), where.alias("__b"))
+    one, two = side("a", F.explode(dealt)), side("b", own)
+    apart = F.col("at_b") - F.col("at_a")
+    later = (apart >= 0) & (apart <= seconds) & ((apart > 0) | (F.col("id_a") < F.col("id_b"))) & (F.col("id_a") != F.col("id_b"))
+    met = one.join(two, [*keys, "__b"]).filter(later & (F.abs(F.col("lat_a") - F.col("lat_b")) <= high))
+    # The distance is told from the smaller id, whichever came first.
+    turned = F.col("id_a") > F.col("id_b")
+    ordered = met.select(*keys, apart.alias("apart"), turned.alias("__t"), *(F.col(f"{c}_{m}") for c in fields for m in "ab"))
+    a = lambda c: F.when(F.col("__t"), F.col(f"{c}_b")).otherwise(F.col(f"{c}_a"))
+    b = lambda c: F.when(F.col("__t"), F.col(f"{c}_a")).otherwise(F.col(f"{c}_b"))
+    near = ordered.withColumn("km", haversine_km(a("lat"), a("lon"), b("lat"), b("lon"))).filter(F.col("km") <= km)
+    return near.select(*keys, a("id").alias("a"), b("id").alias("b"), "km", "apart", *(f(c).alias(f"{c}_{m}") for c in also for f, m in ((a, "a"), (b, "b"))))

@@ -72,10 +72,9 @@ def nearby_candidates(t) -> DataFrame:
     """For each record, how many others of its nation are near in time and space and not kept apart, and the nearest."""
     k = F.col("o_custkey")
     who = t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("nation"))
-    r = t.orders.join(who, "o_custkey").select("nation", F.col("o_orderkey").alias("id"), synthetic_lat(k).alias("lat"), synthetic_lon(k).alias("lon"), epoch("o_orderdate").alias("at"))
-    kinds = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("kind"))
-    pairs = near_pairs(r, NEAR_KM, NEAR_S, ["nation"]).join(kinds.toDF("a", "kind1"), "a").join(kinds.toDF("b", "kind2"), "b")
-    kept = pairs.filter((F.col("kind1") == F.col("kind2")) | ((F.col("a") + F.col("b")) % 5 != 0))
+    r = t.orders.join(who, "o_custkey").select("nation", F.col("o_orderkey").alias("id"), synthetic_lat(k).alias("lat"), synthetic_lon(k).alias("lon"), epoch("o_orderdate").alias("at"), F.col("o_orderpriority").alias("kind"))
+    pairs = near_pairs(r, NEAR_KM, NEAR_S, ["nation"], also=["kind"])
+    kept = pairs.filter((F.col("kind_a") == F.col("kind_b")) | ((F.col("a") + F.col("b")) % 5 != 0))
     links = kept.select(F.inline(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other"), "km"), F.struct(F.col("b").alias("id"), F.col("a").alias("other"), "km"))))
     return links.groupBy("id").agg(F.count("*").alias("n_candidates"), F.min_by("other", F.struct(F.round("km", 6), "other")).alias("nearest"), F.round(F.min("km"), 4).alias("km"))
 

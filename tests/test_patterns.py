@@ -7,9 +7,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from heronry.operators import holding
-from heronry.operators.nearby import near_pairs
+from heronry.operators.nearby import near_buckets, near_pairs
 
 
 @pytest.fixture(scope="module")
@@ -66,3 +67,14 @@ def test_near_pairs(spark):
         return 2 * 6371.0 * math.asin(math.sqrt(min(1, h)))
 
     assert got == {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and abs(a[4] - b[4]) <= 86400 and km(a, b) <= 700} and got
+
+
+def test_near_pairs_deals_a_record_to_few_buckets(spark):
+    draw = random.Random(3)
+    rows = [(k, draw.uniform(-70, 70), draw.uniform(-180, 180), draw.randrange(0, 90 * 86400), "ab"[k % 2]) for k in range(2000)]
+    df = spark.createDataFrame(rows, "id long, lat double, lon double, at long, kind string")
+    dealt, own = near_buckets(400.0, 2 * 86400, 10.0)
+    sizes = df.select(F.size(dealt).alias("n"), F.array_contains(dealt, own).alias("own")).agg(F.avg("n"), F.bool_and("own")).first()
+    assert sizes[0] < 7 and sizes[1]
+    pairs = near_pairs(df, 400.0, 2 * 86400, also=["kind"]).collect()
+    assert pairs and all((r.kind_a, r.kind_b) == ("ab"[r.a % 2], "ab"[r.b % 2]) and r.a < r.b for r in pairs)
