@@ -121,13 +121,24 @@ def in_zone(sides: Column, cx: Column, cy: Column, x: Column, y: Column) -> Colu
     return F.exists(sides, lambda e: triangle(e, cx, cy) | triangle(e, F.lit(0.0), F.lit(0.0)))
 
 
-def zone_samples(zones: DataFrame, zone: str, lat: str, lon: str, side: int = 20) -> DataFrame:
-    """`zones` with a row for each point of an even grid over the zone's box that lies in it: sample_lat, sample_lon on the plane around (lat, lon)."""
+def zone_grid(zones: DataFrame, zone: str, side: int = 20) -> DataFrame:
+    """`zones` with a row for each point (sample_x, sample_y), in kilometres from the incident, of an even grid over the zone's box that lies in it."""
     z = F.col(zone)
     xs, ys = F.concat(F.transform(z["ring"], lambda p: p["x"]), F.array(F.lit(0.0))), F.concat(F.transform(z["ring"], lambda p: p["y"]), F.array(F.lit(0.0)))
     place = lambda a, b, k: F.col(a) + (F.col(b) - F.col(a)) * (k + 0.5) / side
     # The box and the sides are made once a zone, below the grid.
     boxed = zones.withColumns({"__xa": F.array_min(xs), "__xb": F.array_max(xs), "__ya": F.array_min(ys), "__yb": F.array_max(ys), "__sides": sides_turned(z)})
     grid = boxed.withColumns({"__i": F.explode(F.sequence(F.lit(0), F.lit(side - 1)))}).withColumns({"__j": F.explode(F.sequence(F.lit(0), F.lit(side - 1)))})
-    grid = grid.withColumns({"__x": place("__xa", "__xb", F.col("__i")), "__y": place("__ya", "__yb", F.col("__j"))}).filter(in_zone(F.col("__sides"), z["cx"], z["cy"], F.col("__x"), F.col("__y")))
-    return grid.withColumns({"sample_lat": F.col(lat) + F.col("__y") / KM_A_DEGREE, "sample_lon": F.col(lon) + F.col("__x") / (KM_A_DEGREE * F.cos(F.radians(F.col(lat))))}).drop("__i", "__j", "__x", "__y", "__xa", "__xb", "__ya", "__yb", "__sides")
+    grid = grid.withColumns({"sample_x": place("__xa", "__xb", F.col("__i")), "sample_y": place("__ya", "__yb", F.col("__j"))}).filter(in_zone(F.col("__sides"), z["cx"], z["cy"], F.col("sample_x"), F.col("sample_y")))
+    return grid.drop("__i", "__j", "__xa", "__xb", "__ya", "__yb", "__sides")
+
+
+def on_earth(lat: Column, lon: Column, x: Column, y: Column) -> tuple[Column, Column]:
+    """(lat, lon) of a point (x, y) in kilometres on the plane around a place."""
+    return lat + y / KM_A_DEGREE, lon + x / (KM_A_DEGREE * F.cos(F.radians(lat)))
+
+
+def zone_samples(zones: DataFrame, zone: str, lat: str, lon: str, side: int = 20) -> DataFrame:
+    """`zones` with a row for each point of its grid: sample_lat, sample_lon on the plane around (lat, lon)."""
+    to_lat, to_lon = on_earth(F.col(lat), F.col(lon), F.col("sample_x"), F.col("sample_y"))
+    return zone_grid(zones, zone, side).withColumns({"sample_lat": to_lat, "sample_lon": to_lon}).drop("sample_x", "sample_y")
