@@ -8,25 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heronry.functions.geo import EARTH_KM, haversine_km
+from heronry.operators.joins import circle_cells
 
 
 def near_buckets(km: float, seconds: int, degrees: float) -> tuple[Column, Column]:
     """The buckets of (lat, lon, at) that a record is dealt to, an array, and its own one."""
-    reach = km / EARTH_KM
-    n = max(1, int(360 / degrees))
-    degrees, length = 360 / n, 4 * seconds
-    cell = lambda v: F.floor(v / degrees)
+    n, length = max(1, int(360 / degrees)), 4 * seconds
+    xs, ys, own_x, own_y = circle_cells(km, degrees)
     bucket = lambda span, cx, cy: (span * n + cx) * (2 * n + 1) + cy + n
-    high = math.degrees(reach) + 1e-6
-    lat, east = F.col("lat"), F.col("lon") + 180
-    # Half the circle's width in degrees; one that holds a pole is as wide as the earth.
-    wide = F.when(F.abs(lat) + high < 89.9, F.degrees(F.asin(F.least(F.lit(1.0), math.sin(min(reach, math.pi / 2)) / F.cos(F.radians(lat))))) + 1e-6).otherwise(180.0)
-    first = cell(east - wide)
-    xs = F.transform(F.sequence(first, F.least(cell(east + wide), first + n - 1)), lambda x: F.pmod(x, F.lit(n)))
-    ys = F.sequence(cell(F.greatest(lat - high, F.lit(-90.0))), cell(F.least(lat + high, F.lit(90.0))))
     spans = F.sequence(F.floor(F.col("at") / length), F.floor((F.col("at") + seconds) / length))
     dealt = F.flatten(F.transform(spans, lambda s: F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: bucket(s, x, y))))))
-    return dealt, bucket(F.floor(F.col("at") / length), F.pmod(cell(east), F.lit(n)), cell(lat))
+    return dealt, bucket(F.floor(F.col("at") / length), own_x, own_y)
 
 
 def near_pairs(records: DataFrame, km: float, seconds: int, keys: list[str] | None = None, degrees: float = 10.0, also: list[str] | None = None) -> DataFrame:
