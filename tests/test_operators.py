@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import datetime
+import math
 import random
 from collections import defaultdict
 
 from heronry.operators.graphs import connected_components, paths
+from heronry.operators import joins
 from heronry.operators.phrases import containing, similar_sets
 from heronry.operators.windows import ewma
 from heronry.plans.catalogue import QUERIES
@@ -121,3 +123,23 @@ def test_uncertain_date_overlap_counts_every_event(spark, tmp_path):
     span = {k: (u, t.date() - datetime.timedelta(days=k % 2), t.date()) for k, u, t in rows if u is not None and t is not None}
     want = {k: sum(o != k and v[0] == span[k][0] and span[k][1] <= v[2] and v[1] <= span[k][2] for o, v in span.items()) if k in span else 0 for k, _, _ in rows}
     assert {r.id: r.n for r in QUERIES["uncertain_date_overlap_counts"](spark, str(tmp_path)).collect()} == want
+
+
+def test_nearest_and_radius_joins_by_places(spark):
+    """Rows that share places, at the date line and near a pole too, against all pairs; a crowded place is dealt over salts."""
+    draw = random.Random(11)
+    place = lambda: draw.choice([(draw.uniform(-80, 80), draw.uniform(-180, 180)), (10.0, 179.9), (10.0, -179.9), (89.5, 0.0), (89.5, 170.0)])
+    left, right = ([(k, *place()) for k in range(n)] for n in (120, 90))
+    one = spark.createDataFrame([*left, (900, None, 1.0)], "i long, lat double, lon double")
+    two = spark.createDataFrame([*right, (901, 1.0, None)], "j long, lat double, lon double")
+
+    def km(a, b):
+        h = math.sin(math.radians(b[1] - a[1]) / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+        return 2 * 6371.0 * math.asin(math.sqrt(min(1, h)))
+
+    want = {(a[0], b[0]) for a in left for b in right if km(a, b) <= 900}
+    for most in (7, 4_000_000):
+        got = [(r.i, r.j) for r in joins.radius_join(one, two, 900, most=most).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want
+    nearest = {a[0]: min((round(km(a, b), 6), b[0]) for b in right if km(a, b) <= 900)[1] for a in left if any(km(a, b) <= 900 for b in right)}
+    assert {r.i: r.j for r in joins.nearest_within(one, two, "j", 900).collect()} == nearest
