@@ -82,7 +82,11 @@ def signal(moves: list[int], horizon: int, usual: Usual, r: Rules) -> tuple[int,
     n = bisect.bisect_right(moves, horizon)
     recent = n - bisect.bisect_left(moves, horizon - r.open_for)
     best, missing = None, 0.0
-    for k in range(n):
+    # No factor is above the high one: what fails with it fails at every start, and more than `most` seen since fail at any.
+    if recent > max(1.0, r.seen_share * usual.expected(horizon - r.open_for, horizon) * r.high_factor):
+        return None
+    most = r.seen_share * (usual.expected(horizon - r.longest, horizon) * r.high_factor)
+    for k in range(min(n, int(most) + 1)):
         start = moves[n - 1 - k]
         if horizon - start > r.longest:
             break
@@ -113,7 +117,8 @@ class ClosureAlerts(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.seen = handle.getListState("seen", "at long, report boolean")
+        #: One row a frame: its movements and its reports.
+        self.seen = handle.getListState("seen", "moves array<long>, reports array<long>")
         self.usual = handle.getValueState("usual", "counts array<long>, days long, first_day long, silent array<long>")
         #: Next tick, and the open signal and alert: since, start, detected, expected, seen, confirmed.
         self.now = handle.getValueState("now", "tick long, since long, start long, detected long, expected double, n long, confirmed boolean")
@@ -129,7 +134,8 @@ class ClosureAlerts(StatefulProcessor):
         for frame in rows:
             at = frame["at"].astype("int64")
             if len(at):
-                self.seen.appendList([(int(a), bool(b)) for a, b in zip(at, frame["report"])])
+                told = frame["report"].astype(bool)
+                self.seen.appendValue((at[~told].tolist(), at[told].tolist()))
                 first = int(at.min()) if first is None else min(first, int(at.min()))
         if first is not None and not self.now.exists():
             tick = (first // self.rules.step + 1) * self.rules.step
@@ -142,15 +148,16 @@ class ClosureAlerts(StatefulProcessor):
         tick, *held = self.now.get()
         counts, days, first_day, silent = self.usual.get() if self.usual.exists() else ([0] * 24, 1, 0, [])
         usual, silent = Usual(list(counts), days, first_day), set(silent)
-        rows = sorted(self.seen.get())
-        moves, reports = [a for a, b in rows if not b], [a for a, b in rows if b]
+        rows = list(self.seen.get())
+        moves, reports = sorted(a for m, _ in rows for a in m), sorted(a for _, s in rows for a in s)
         published, out = list(self.published.get()), []
         while tick <= upto:
             held = self.judge(tick, held, moves, reports, usual, silent, published, out)
             tick += r.step
         self.now.update((tick, *held))
         self.handle.registerTimer(tick)
-        replaced(self.seen, [(a, b) for a, b in rows if a >= tick - r.memory])
+        moves, reports = (x[bisect.bisect_left(x, tick - r.memory) :] for x in (moves, reports))
+        replaced(self.seen, [(moves, reports)] if moves or reports else [])
         replaced(self.published, published)
         if out:
             yield pd.DataFrame([(int(key[0]), *x) for x in out], columns=[c.split()[0] for c in OUTPUT.split(", ")])

@@ -88,3 +88,18 @@ def test_signal_conditions():
     assert signal([], end, usual, RULES) is None
     one = [*quiet, end + 30 * HOUR // 10]
     assert signal(one, end + 12 * HOUR, usual, RULES)[:2] == (quiet[-1], 1)  # one straggler inside of the silence
+
+
+def test_a_busy_site_is_not_walked_through():
+    """A tick asks for few expectations, however many movements the day has; a silence after a busy day is still told."""
+    asked = []
+
+    class Counted(Usual):
+        def expected(self, a, b):
+            asked.append(a)
+            return super().expected(a, b)
+
+    usual, end = Counted([3600] * 24, 3, START // DAY), START + 2 * DAY
+    moves = list(range(START, end, 1000 * 3))
+    assert signal(moves, end, usual, RULES) is None and len(asked) < 10
+    assert signal(moves, end + 4 * HOUR, usual, RULES)[:2] == (moves[-1], 0)
