@@ -17,18 +17,24 @@ def word_grams(words: Column, n: int) -> Column:
 def containing(docs: DataFrame, phrases: DataFrame, n: int = 5) -> DataFrame:
     """Pairs (doc, phrase) of `docs` (doc, folded) and `phrases` (phrase, folded) where whole words of the text are the phrase.
 
-    A phrase is looked up by its first n words, a shorter one by its first
-    word, among the hashes of each text's runs; texts are only read again for
-    the candidates. Few phrases are broadcast, so runs that begin none are
-    dropped where they are made. Null and empty phrases are in no text.
+    A phrase is looked up by the hash of its first n words, a shorter one by
+    that of all, among those of each place of a text. Few phrases are broadcast
+    and checked where the text is read, so no text moves or is read again; with
+    more, texts are read again for the candidates. Null and empty phrases are
+    in no text.
     """
     words = F.split("folded", " ")
-    anchor = F.when(F.size(words) >= n, F.array_join(F.slice(words, 1, n), " ")).otherwise(F.element_at(words, 1))
-    anchors = phrases.filter("folded <> ''").select("phrase", F.col("folded").alias("wanted"), F.xxhash64(anchor).alias("h"))
-    runs = F.array_distinct(F.transform(F.array_union(word_grams(F.col("ws"), n), F.col("ws")), lambda x: F.xxhash64(x)))
-    met = docs.select("doc", words.alias("ws")).select("doc", F.explode(runs).alias("h")).join(F.broadcast(anchors) if few(anchors) else anchors, "h").select("doc", "phrase", "wanted").distinct()
-    checked = met.join(docs.select("doc", "folded"), "doc").filter(F.contains(F.concat(F.lit(" "), "folded", F.lit(" ")), F.concat(F.lit(" "), "wanted", F.lit(" "))))
-    return checked.select("doc", "phrase")
+    head = F.slice(words, F.lit(1), F.least(F.size(words), F.lit(n)))
+    anchors = phrases.filter("folded <> ''").select("phrase", F.col("folded").alias("wanted"), F.size(head).alias("m"), F.xxhash64(head).alias("h"))
+    lengths = sorted(r.m for r in anchors.select("m").distinct().collect())  # n at most
+    word = lambda k: F.get("ws", F.col("i") + k)
+    runs = F.array(*(F.when(F.col("i") + m <= F.size("ws"), F.xxhash64(*(word(k) for k in range(m)))) for m in lengths)).cast("array<bigint>")
+    places = docs.select("doc", "folded", words.alias("ws")).withColumn("i", F.explode(F.sequence(F.lit(0), F.size("ws") - 1)))
+    holds = F.contains(F.concat(F.lit(" "), "folded", F.lit(" ")), F.concat(F.lit(" "), "wanted", F.lit(" ")))
+    if few(anchors):
+        return places.withColumn("h", F.explode(runs)).join(F.broadcast(anchors), "h").filter(holds).select("doc", "phrase").distinct()
+    met = places.select("doc", F.explode(runs).alias("h")).distinct().join(anchors, "h").select("doc", "phrase", "wanted")
+    return met.join(docs.select("doc", "folded"), "doc").filter(holds).select("doc", "phrase").distinct()
 
 
 def similar_sets(sets: DataFrame, percent: int) -> DataFrame:

@@ -89,6 +89,16 @@ def test_phrases_in_texts(spark):
     assert got == [(1, 1), (1, 6), (2, 1), (2, 2), (2, 5), (2, 6), (5, 1), (5, 2), (5, 6)]
 
 
+def test_texts_are_read_once_for_few_phrases(spark, tmp_path):
+    """Hashes of runs and of single words agree with those of the phrases; texts aren't read again for the candidates."""
+    spark.createDataFrame([(k, f"w{k} a b c d e f {k}") for k in range(50)], "doc int, folded string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    phrases = spark.createDataFrame([(1, "a b c d e f"), (2, "w7"), (3, "c d e f 9"), (4, "f 3"), (5, "a b c d e g")], "phrase int, folded string")
+    met = containing(docs, phrases)
+    assert met._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+    assert sorted((r.phrase, r.doc) for r in met.collect()) == [(1, k) for k in range(50)] + [(2, 7), (3, 9), (4, 3)]
+
+
 def test_similar_sets_against_all_pairs(spark):
     rng = random.Random(3)
     seen, rows = set(), []
