@@ -184,3 +184,18 @@ def test_radius_join_keeps_its_tasks(spark):
     two = spark.createDataFrame([(k, -0.0 if k % 2 else 0.0, k % 50 / 10.0) for k in range(300)], "j long, lat double, lon double")
     met = joins.radius_join(one, two, 5, most=40)
     assert met.rdd.getNumPartitions() >= joins.TASKS and met.count() == 50 * 6 * 6
+
+
+def test_a_mean_on_a_bound_of_classes(spark, tmp_path):
+    """A mean of 80 is not above 80, however the doubles are added."""
+    a, b = next(x for x in ((80 + k / 100, 80 - k / 100) for k in range(1, 99)) if _added([x[0]] * 60 + [x[1]] * 60) > 80)
+    rows = [(k, 1, "xy"[k % 2], datetime.datetime(2024, 1, 1), a if k < 60 else b) for k in range(120)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp_ntz, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    assert [r["class"] for r in QUERIES["anomaly_classes"](spark, str(tmp_path)).collect()] == ["ordinary"]
+
+
+def _added(values):
+    total = 0.0
+    for v in values:
+        total += v
+    return total / len(values)
