@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from heronry.operators.joins import few
 
+#: So many of a set's rarest words come along with each of its prefix words.
+RAREST = 4
+
 
 def word_grams(words: Column, n: int) -> Column:
     """All runs of n words of an array, space-joined; none if there are fewer. Pass a column of its own: an expression would be computed for every run."""
@@ -44,17 +47,34 @@ def similar_sets(sets: DataFrame, percent: int) -> DataFrame:
     similar share one of their first size - ceil(percent * size) + 1 words.
     At the first word they share, what is left of both has to hold all words
     that they need in common, which drops most meetings at frequent words.
+    Each word sets one of 256 bits; bits that only one of both sets has set
+    stand for at least as many words that aren't shared, so most pairs that
+    aren't similar are dropped where they meet, before any words move. A pair
+    that has met at one of the rarest words before isn't told again.
     Ids and sets have to be different.
     """
     each = sets.select("id", "block", F.size("words").alias("n"), F.explode("words").alias("word"))
     known = each.groupBy("block", "word").agg(F.count("*").alias("df"))
     least = F.floor((F.col("n") * percent + 99) / 100)
-    ordered = each.join(known, ["block", "word"]).groupBy("id", "block", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("o"))
-    prefix = ordered.select("id", "block", "n", F.posexplode(F.slice("o", F.lit(1), (F.col("n") - least + 1).cast("int"))).alias("i", "p"))
-    side = lambda name: prefix.select("block", F.col("p.word").alias("word"), F.col("id").alias(name), F.col("n").alias(f"n{name}"), (F.col("n") - F.col("i")).alias(f"left_{name}"))
+    place = F.xxhash64("word").bitwiseAND(255)
+    bit = lambda k: F.bit_or(F.when(F.shiftright(place, 6) == k, F.expr("shiftleft(1L, CAST(xxhash64(word) & 63 AS INT))")).otherwise(F.lit(0).cast("long")))
+    marks = range(4)
+    ordered = each.join(known, ["block", "word"]).groupBy("id", "block", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("o"), *(bit(k).alias(f"m{k}") for k in marks))
+    rarest = F.transform(F.slice("o", 1, RAREST), lambda x: x["word"])
+    prefix = ordered.select("id", "block", "n", rarest.alias("rarest"), *(f"m{k}" for k in marks), F.posexplode(F.slice("o", F.lit(1), (F.col("n") - least + 1).cast("int"))).alias("i", "p")).filter("p.df > 1")
+    before = F.slice("rarest", F.lit(1), F.least(F.col("i"), F.lit(RAREST)))
+    side = lambda name: prefix.select("block", F.col("p.word").alias("word"), F.col("id").alias(name), F.col("n").alias(f"n{name}"), (F.col("n") - F.col("i")).alias(f"left_{name}"), *(F.col(f"m{k}").alias(f"m{k}{name}") for k in marks), before.alias(f"before_{name}"))
+    both = F.col("na") + F.col("nb")
     like = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    enough = F.least("left_a", "left_b") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
-    met = side("a").join(side("b"), ["block", "word"]).filter((F.col("a") < F.col("b")) & like & enough).select("a", "b").distinct()
-    words = lambda side: sets.select(F.col("id").alias(side), F.col("words").alias(f"w{side}"))
-    counted = met.join(words("a"), "a").join(words("b"), "b").select("a", "b", F.size(F.array_intersect("wa", "wb")).cast("long").alias("n_shared"), F.size(F.array_union("wa", "wb")).cast("long").alias("n_all"))
+    enough = F.least("left_a", "left_b") * (100 + percent) >= both * percent
+    apart = sum((F.bit_count(F.col(f"m{k}a").bitwiseXOR(F.col(f"m{k}b"))) for k in marks), F.lit(0))
+    near = (both - apart) * (100 + percent) >= 2 * percent * both
+    first = ~F.arrays_overlap("before_a", "before_b")
+    met = side("a").join(side("b"), ["block", "word"]).filter((F.col("a") < F.col("b")) & like & enough & near & first).select("a", "b").distinct()
+    # A set moves once a pair, as one string; a space inside of a word is escaped.
+    joined = F.array_join(F.transform("words", lambda w: F.replace(F.replace(w, F.lit("%"), F.lit("%25")), F.lit(" "), F.lit("%20"))), " ")
+    words = lambda name: sets.select(F.col("id").alias(name), F.size("words").cast("long").alias(f"n{name}"), joined.alias(f"w{name}"))
+    shared = F.size(F.array_intersect(F.split("wa", " "), F.split("wb", " "))).cast("long")
+    # Exploded, so that filters don't count it anew.
+    counted = met.join(words("a"), "a").join(words("b"), "b").select("a", "b", "na", "nb", F.explode(F.array(shared)).alias("n_shared")).select("a", "b", "n_shared", (both - F.col("n_shared")).alias("n_all"))
     return counted.filter(F.col("n_shared") * 100 >= F.col("n_all") * percent)

@@ -114,6 +114,40 @@ def test_similar_sets_against_all_pairs(spark):
         assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
 
 
+def test_sets_that_only_meet_do_not_move(spark):
+    """Pairs that share a rare word and are not similar are dropped where they meet."""
+    rng = random.Random(4)
+    rows = [(k, "x", [f"own{k}-{i}" for i in range(4)] + [f"hub{k % 4}"] + rng.sample([f"often{i}" for i in range(20)], 7)) for k in range(400)]
+    rows += [(400 + k, "x", rows[k][2][:9] + [f"new{k}-{i}" for i in range(3)]) for k in range(20)]
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and 2 * len({*a[2]} & {*b[2]}) >= len({*a[2]} | {*b[2]})}
+    before = _records_shuffled(spark)
+    got = similar_sets(spark.createDataFrame(rows, "id int, block string, words array<string>"), 50).collect()
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want) >= 20
+    assert _records_shuffled(spark) - before < 20_000
+
+
+def _records_shuffled(spark):
+    bus, gateway = spark.sparkContext._jsc.sc().listenerBus(), spark.sparkContext._gateway
+    bus.waitUntilEmpty()
+    every = gateway.jvm.java.util.ArrayList()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(every, False, False, gateway.new_array(gateway.jvm.double, 0), every)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_similar_sets_with_spaces_in_words_and_long_sets(spark):
+    """Words with spaces, percent signs and none at all stay apart, and sets of more words than signs have bits are counted right."""
+    rng = random.Random(5)
+    words = ["", " ", "%", "%20", "%25", "a b", "a%20b", "a", "b", "a ", " b", "é"]
+    rows = [(k, "xy"[k % 2], rng.sample(words, 7 + k % 4)) for k in range(40)]
+    base = [f"w{i}" for i in range(900)]
+    rows += [(100 + k, "x", [w for w in base if rng.random() < 0.5 + k / 40]) for k in range(16)]
+    rows = list({(block, *sorted(held)): (k, block, held) for k, block, held in rows}.values())
+    for percent in (50, 85):
+        want = {(a[0], b[0], len({*a[2]} & {*b[2]}), len({*a[2]} | {*b[2]})) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and 100 * len({*a[2]} & {*b[2]}) >= percent * len({*a[2]} | {*b[2]})}
+        got = similar_sets(spark.createDataFrame(rows, "id int, block string, words array<string>"), percent).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 def test_ewma_over_several_blocks_and_nulls(spark):
     rng = random.Random(9)
     values = [None, *(rng.choice([None, rng.uniform(-5, 5)]) if k % 7 == 0 else rng.uniform(-5, 5) for k in range(250))]
