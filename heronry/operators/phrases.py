@@ -53,8 +53,10 @@ def similar_sets(sets: DataFrame, percent: int) -> DataFrame:
     that has met at one of the rarest words before isn't told again.
     Ids and sets have to be different.
     """
+    # The same rows and columns for all three reads of the sets, so that their exchange is made once.
+    sets = sets.filter((F.size("words") > 0) & F.col("words").isNotNull() & F.col("block").isNotNull())
     each = sets.select("id", "block", F.size("words").alias("n"), F.explode("words").alias("word"))
-    known = each.groupBy("block", "word").agg(F.count("*").alias("df"))
+    known = each.groupBy("block", "word").agg(F.count("id").alias("df"))
     least = F.floor((F.col("n") * percent + 99) / 100)
     place = F.xxhash64("word").bitwiseAND(255)
     bit = lambda k: F.bit_or(F.when(F.shiftright(place, 6) == k, F.expr("shiftleft(1L, CAST(xxhash64(word) & 63 AS INT))")).otherwise(F.lit(0).cast("long")))
